@@ -1,6 +1,6 @@
 """Every registered query, grouped by subject."""
 
-from . import demand_queries  # noqa: F401
+from . import demand_queries, object_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

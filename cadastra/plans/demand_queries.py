@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import demand as D
 from ..functions.geo import fixed
 from ..operators import demand as op
+from ..session import materialise
 from ..sources import citydata as city
 from ..sources import objects as store
 from ..sources.citydata import cte, sql_fixed, sql_hav
@@ -34,7 +35,8 @@ def demand_inputs(spark, sf):
     buildings = parsed_buildings(spark, sf)
     residuals = op.zone_residuals(op.zone_building_totals(buildings.filter(F.size("coordinates") > 0), city.zones(spark, sf)))
     events = op.building_trip_events(op.explicit_buildings(buildings.filter(F.size("coordinates") > 0)))
-    return op.demand_ends(events, residuals, gateway_flows(spark, sf))
+    # Read several times below, so worked out once and kept as a table.
+    return materialise(op.demand_ends(events, residuals, gateway_flows(spark, sf)), "demand_ends")
 
 
 # ---- SQL for the same inputs ------------------------------------------------
