@@ -263,5 +263,6 @@ def point_at(line: str, metres: str, metric=agent_pts) -> str:
 def slice_path(line: str, start_m: str, end_m: str, metric=haversine_pts) -> str:
     """Part of a line between two distances along it (interior vertices kept)."""
     cum = cumulative(line, metric)
-    inner = (f"transform(filter(arrays_zip({line} as p, {cum} as d), _z -> _z.d > {start_m} and _z.d < {end_m}), _z -> _z.p)")
+    inner = (f"transform(filter(zip_with({line}, {cum}, (_v, _d) -> named_struct('p', _v, 'd', _d)),"
+             f" _z -> _z.d > {start_m} and _z.d < least({end_m}, element_at({cum}, -1))), _z -> _z.p)")
     return f"concat(array({point_at(line, start_m, metric)}), {inner}, array({point_at(line, end_m, metric)}))"

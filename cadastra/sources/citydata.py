@@ -138,10 +138,11 @@ _DERIVED: dict[str, tuple[str, list[list[str]], list[str]]] = {
     "observations": ("events", [
         ["event_id AS ord", "user_id AS vehicle_id", "ts", "event_type", "value",
          "CASE WHEN value > 60 THEN 60.0 ELSE value END AS speed_raw"],
-        ["ord", "vehicle_id", "ts", "event_type", "CAST(speed_raw AS DOUBLE) / 3 AS speed_mps",
-         "concat('r', CAST((ord * 7) % 200 AS VARCHAR(20))) AS road_id",
-         "concat('seg', CAST((ord * 7) % 200 AS VARCHAR(20)), '_', CAST(ord % 2 AS VARCHAR(2))) AS segment_key",
-         "CAST(30 + 10 * ((ord * 7) % 6) AS DOUBLE) AS limit_kmh", "1 + (ord * 7) % 200 % 4 AS lanes"],
+        ["*", "vehicle_id * 4 + (ord * 7) % 16 AS road"],
+        ["ord", "vehicle_id", "ts", "event_type", "CAST(speed_raw AS DOUBLE) / 3 AS speed_mps", "road % 4 + 1 AS lanes",
+         "concat('r', CAST(road AS VARCHAR(20))) AS road_id",
+         "concat('r', CAST(road AS VARCHAR(20)), '_', CAST(ord % 2 AS VARCHAR(2))) AS segment_key",
+         "CAST(30 + 10 * (road % 6) AS DOUBLE) AS limit_kmh"],
     ], []),
     "trips": ("lineitem", [
         ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate AS depart_ts", "l_returnflag", "l_linestatus",
