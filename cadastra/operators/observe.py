@@ -131,14 +131,14 @@ def largest_remainder(shares: DataFrame, key: str, total: int = 100) -> DataFram
     return df.withColumn("rank", rank).selectExpr(key, "ord", "whole + int(rank <= left_over) as share")
 
 
-def cumulative_weights(pairs: DataFrame, key: list[str], order: list[str], chunks: int = 64) -> DataFrame:
-    """Running sum of weights in order, for weighted draws.
+def cumulative_weights(pairs: DataFrame, key: list[str], order: str, chunk: int = 4096) -> DataFrame:
+    """Running sum of weights in ``order`` (a whole number), for weighted draws.
 
-    Rows fall into hash chunks of ``key`` groups and are summed chunk by chunk; the
-    chunk totals give each chunk its start.
+    Each stretch of ``chunk`` numbers is summed on its own; the stretches' totals
+    give every stretch its start, so one large key is spread over many tasks.
     """
-    b = pairs.withColumn("_c", F.expr(f"pmod(xxhash64({', '.join(order)}), {chunks}L)"))
+    b = pairs.withColumn("_c", F.expr(f"floor({order} / {chunk})"))
     start = (b.groupBy(*key, "_c").agg(F.sum("weight").alias("t"))
              .withColumn("start", F.sum("t").over(W.partitionBy(*key).orderBy("_c")) - F.col("t")).drop("t"))
-    inner = F.sum("weight").over(W.partitionBy(*key, "_c").orderBy(*order))
+    inner = F.sum("weight").over(W.partitionBy(*key, "_c").orderBy(order))
     return b.withColumn("_w", inner).join(start, [*key, "_c"]).withColumn("cumulative", F.col("start") + F.col("_w")).drop("_w", "_c", "start")

@@ -138,7 +138,8 @@ def remainder(spark, sf):
     return ob.largest_remainder(s, "k")
 
 
-@query("e08_cumulative_weights", None)
+@query("e08_cumulative_weights", """SELECT o_orderpriority AS grp, o_orderkey AS ord, CAST(floor(o_totalprice / 1000) AS BIGINT) AS weight,
+  CAST(sum(CAST(floor(o_totalprice / 1000) AS BIGINT)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS BIGINT) AS cumulative FROM orders""")
 def cumulative(spark, sf):
     p = city.table(spark, sf, "orders").selectExpr("o_orderpriority as grp", "o_orderkey as ord", "floor(o_totalprice / 1000) as weight")
-    return ob.cumulative_weights(p, ["grp"], ["ord"])
+    return ob.cumulative_weights(p, ["grp"], "ord")
