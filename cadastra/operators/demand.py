@@ -163,3 +163,9 @@ def demand_totals(explicit: DataFrame, residuals: DataFrame) -> DataFrame:
                       F.sum("residual_employment").alias("residual_employment"),
                       F.sum("total_population").alias("zone_population"), F.sum("total_employment").alias("zone_employment"))
     return b.join(z, F.lit(True))
+
+
+def zone_counts(placed: DataFrame, zones: DataFrame) -> DataFrame:
+    """Roads, buildings and gateways per zone from (kind, id, zone_id) rows; zones without any count 0."""
+    n = placed.groupBy("zone_id").agg(*[F.expr(f"count_if(kind = '{k}')").alias(f"{k}s") for k in ("road", "building", "gateway")])
+    return zones.select("zone_id").join(n, "zone_id", "left").na.fill(0)

@@ -20,14 +20,20 @@ from ..session import forget, materialise
 SAFE_METRES_PER_DEG = 111000.0
 
 
-def tile_boxes(df: DataFrame, box: str, size: float, pad: float = 0.0) -> DataFrame:
+def metre_pad(metres: float, box: str = "box") -> str:
+    """Degrees that certainly cover ``metres`` around the box, as SQL text."""
+    return f"({float(metres)!r}D / ({SAFE_METRES_PER_DEG!r}D * cos(radians(greatest(abs({box}.min_lat), abs({box}.max_lat))))))"
+
+
+def tile_boxes(df: DataFrame, box: str, size: float, pad: float | str = 0.0) -> DataFrame:
     """One row per tile (``tx``, ``ty``) the padded box overlaps."""
-    return (df.selectExpr("*", f"explode({grid_span(f'{box}.min_lon - {pad!r}D', f'{box}.max_lon + {pad!r}D', size)}) as tx")
-            .selectExpr("*", f"explode({grid_span(f'{box}.min_lat - {pad!r}D', f'{box}.max_lat + {pad!r}D', size)}) as ty"))
+    p = pad if isinstance(pad, str) else f"{pad!r}D"
+    return (df.selectExpr("*", f"explode({grid_span(f'{box}.min_lon - {p}', f'{box}.max_lon + {p}', size)}) as tx")
+            .selectExpr("*", f"explode({grid_span(f'{box}.min_lat - {p}', f'{box}.max_lat + {p}', size)}) as ty"))
 
 
 def join_points(points: DataFrame, shapes: DataFrame, size: float, *, box: str = "box", by: Sequence[str] = ("city",),
-                pad: float = 0.0, salts: int = 1) -> DataFrame:
+                pad: float | str = 0.0, salts: int = 1) -> DataFrame:
     """Pairs of a point (``lon``, ``lat``) and a shape whose padded box shares the point's tile.
 
     ``salts`` spreads the points of a crowded tile over that many tasks.
