@@ -44,9 +44,10 @@ def in_polygon(x: str, y: str, ring: str, mode: str = "plain", tolerance: float
 
 
 def shoelace(ring: str) -> str:
-    """Unsigned area in squared degrees."""
-    return (f"abs(aggregate({ring_sides(ring)}, 0D, (_acc, _s) -> _acc + _s.a.lon * _s.b.lat"
-            f" - _s.b.lon * _s.a.lat)) / 2")
+    """Unsigned area in squared degrees, taken around the first vertex to keep precision."""
+    ox, oy = f"element_at({ring}, 1).lon", f"element_at({ring}, 1).lat"
+    return (f"abs(aggregate({ring_sides(ring)}, 0D, (_acc, _s) -> _acc + (_s.a.lon - {ox}) * (_s.b.lat - {oy})"
+            f" - (_s.b.lon - {ox}) * (_s.a.lat - {oy}))) / 2")
 
 
 def mean_of(ring: str, field: str) -> str:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import demand as D
 from ..functions.geo import bounds, haversine, js_round, planar
-from ..functions.polygons import in_polygon, mean_of
+from ..functions.polygons import in_polygon, mean_of, shoelace
 from ..session import pin
+from .polygons import clip_rings
 from .spatial import join_points
 
 ZONE_TILE_DEG = 0.002
@@ -169,3 +171,92 @@ def zone_counts(placed: DataFrame, zones: DataFrame) -> DataFrame:
     """Roads, buildings and gateways per zone from (kind, id, zone_id) rows; zones without any count 0."""
     n = placed.groupBy("zone_id").agg(*[F.expr(f"count_if(kind = '{k}')").alias(f"{k}s") for k in ("road", "building", "gateway")])
     return zones.select("zone_id").join(n, "zone_id", "left").na.fill(0)
+
+
+# ---- study rectangles -----------------------------------------------------------
+
+STUDY_KINDS = {"car": "split.car", "two_wheeler": "split.two_wheeler", "bus_auto": "split.bus + split.other"}
+
+
+def study_ends(buildings: DataFrame, zones: DataFrame, gateways: DataFrame, boxes: DataFrame, period: str) -> DataFrame:
+    """Origins and destinations of one period inside each city's study rectangle.
+
+    All buildings count, at their entrance or vertex mean. A zone's residual, taken
+    against every building inside it, is shared by the part of its area in the
+    rectangle and placed at the mean of the clipped ring's vertices.
+    """
+    b = with_mean_point(buildings)
+    inside = "lon >= min_lon and lon <= max_lon and lat >= min_lat and lat <= max_lat"
+    # Rectangles are one row per study, so this join prunes early.
+    near = b.join(boxes, "city").filter(inside)
+    events = building_trip_events(near.drop("min_lon", "min_lat", "max_lon", "max_lat")).filter(F.col("period") == period)
+    events = events.join(near.select("city", "id", "lon", "lat"), ["city", "id"]).selectExpr(
+        "city", "role", "id", "lon", "lat", "trips as volume", "split")
+    held = points_in_zones(b, zones, ["id", "residents", "employees"]).groupBy("zone_id").agg(
+        F.expr("sum(coalesce(residents, 0))").alias("residents"), F.expr("sum(coalesce(employees, 0))").alias("employees"))
+    z = clip_rings(zones.join(boxes, "city").withColumn("_full", F.expr(shoelace("boundary"))))
+    z = z.join(held, "zone_id", "left").filter("size(clipped) > 0").selectExpr(
+        "*", f"least(1D, {shoelace('clipped')} / greatest(1e-20D, _full)) as part").filter("part > 0")
+    share = D.PERIOD_SHARE[period]
+    pop = f"greatest(0L, total_population - coalesce(residents, 0L)) * part * {D.ZONE_RESIDENT_TRIPS}D * {share}D"
+    emp = f"greatest(0L, total_employment - coalesce(employees, 0L)) * part * {D.ZONE_EMPLOYEE_TRIPS}D * {share}D"
+    roles = {"AM_Peak": ("origin", "destination"), "PM_Peak": ("destination", "origin")}.get(period)
+    out = events
+    if roles:
+        out = out.unionByName(z.selectExpr(
+            "city", f"inline(array(named_struct('role', '{roles[0]}', 'volume', {pop}), named_struct('role', '{roles[1]}', 'volume', {emp})))", "zone_id as id",
+            f"{mean_of('clipped', 'lon')} as lon", f"{mean_of('clipped', 'lat')} as lat", f"{D.default_split()} as split"))
+    g = gateways.join(boxes, "city").filter(inside)
+    for role, column in (("origin", "inbound"), ("destination", "outbound")):
+        out = out.unionByName(g.selectExpr("city", f"'{role}' as role", "gateway_id as id", "lon", "lat", f"{column}['{period}'] as volume", "split"))
+    return out.filter("volume > 0").selectExpr("city", f"'{period}' as period", "role", "id", "'' as type", "lon", "lat", "volume", "split")
+
+
+def top_destinations(ends: DataFrame, k: int = 32, *, by: Sequence[str] = ("city",), salts: int = 4) -> DataFrame:
+    """The ``k`` strongest destinations of every origin and their share of its flow.
+
+    The rank limit is applied in each task before rows move, so at most ``k``
+    candidates per origin and task are exchanged.
+    """
+    keys = [*by, "period"]
+    o, d, weight, differs = _gravity_sides(ends, keys, salts, planar)
+    pairs = o.join(d, [*keys, "salt"]).filter(differs).selectExpr(*keys, "origin_id", "destination_id", "volume", "split", f"{weight} as weight")
+    rank = F.row_number().over(W.partitionBy(*keys, "origin_id").orderBy(F.desc("weight"), "destination_id"))
+    best = pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.withColumn("share", F.col("weight") / F.sum("weight").over(W.partitionBy(*keys, "origin_id")))
+
+
+def study_demand(ends: DataFrame, k: int = 32, *, by: Sequence[str] = ("city",)) -> DataFrame:
+    """Vehicles per hour by kind between places of a study rectangle (not rounded)."""
+    kinds = ", ".join(f"named_struct('kind', '{n}', 'vph', volume * share * ({s}))" for n, s in STUDY_KINDS.items())
+    return top_destinations(ends, k, by=by).selectExpr(*by, "origin_id", "destination_id", f"inline(array({kinds}))").filter("vph > 0")
+
+
+# ---- zone access ------------------------------------------------------------------
+
+# Weight of a node by the class of its last listed road.
+ACCESS_MULTIPLIER = {"highway": 3.0, "arterial": 2.0, "collector": 1.2}
+
+
+def zone_access_weights(zones: DataFrame, nodes: DataFrame, edges: DataFrame, *, by: Sequence[str] = ("city",), nearest: int = 3) -> DataFrame:
+    """Share of each zone's traffic per node: nodes inside it, else the three nearest.
+
+    ``edges``: ``src``, ``dst``, ``ord_key``, ``capacity``, ``road_class``. The class that
+    counts is that of the edge listed last at the node.
+    """
+    inside = points_in_zones(nodes, zones, ["node"])
+    empty = zones.join(inside.select("zone_id").distinct(), "zone_id", "left_anti").selectExpr(
+        *by, "zone_id", f"{mean_of('boundary', 'lon')} as zlon", f"{mean_of('boundary', 'lat')} as zlat")
+    ranked = nearest_k(empty, nodes, nearest, by=by)
+    at = edges.selectExpr("ord_key", "capacity", "road_class", "explode(array_distinct(array(src, dst))) as node").groupBy("node").agg(
+        F.expr("greatest(1000, max(capacity))").alias("cap"), F.expr("max_by(road_class, ord_key)").alias("cls"))
+    m = "case cls " + " ".join(f"when '{c}' then {v}D" for c, v in ACCESS_MULTIPLIER.items()) + " when 'local' then 0.5D else 1D end"
+    w = inside.unionByName(ranked).join(at, "node", "left").selectExpr(*by, "zone_id", "node", f"{m} * ln(1 + coalesce(cap, 1000)) as weight")
+    return w.withColumn("weight", F.col("weight") / F.sum("weight").over(W.partitionBy(*by, "zone_id")))
+
+
+def nearest_k(centres: DataFrame, nodes: DataFrame, k: int, *, by: Sequence[str] = ("city",)) -> DataFrame:
+    """The ``k`` nodes nearest to each centre (``zlon``, ``zlat``) of its own group."""
+    df = centres.join(nodes.select(*by, "node", "lon", "lat"), list(by)).withColumn("d", F.expr(haversine("zlon", "zlat", "lon", "lat")))
+    rank = F.row_number().over(W.partitionBy(*by, "zone_id").orderBy("d", "node"))
+    return df.withColumn("rank", rank).filter(F.col("rank") <= k).select(*by, "node", "zone_id")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
-from ..functions import polygons as P
 from ..session import pin
 from ..sources import citydata as city
 from .demand import points_in_zones
+from .polygons import clip_rings  # noqa: F401 - part of this module's surface
 from .spatial import segments, vertices
 
 
@@ -24,15 +24,6 @@ def edge_points_in_zones(spark, sf_dir: str, mode: str) -> DataFrame:
     return points_in_zones(pts, zones, ["id"], mode=mode).select("id", "zone_id")
 
 
-def clip_rings(rings: DataFrame, ring: str = "boundary") -> DataFrame:
-    """Part of each ring inside its own box: one half-plane after another (column ``clipped``)."""
-    df = rings.withColumnRenamed(ring, "clipped")
-    for axis, limit, above in P.BOX_CUTS:
-        rest = [c for c in df.columns if c != "clipped"]
-        df = pin(df.withColumnRenamed("clipped", "_r"), clipped=P.clip_half_plane("_r", axis, limit, above)).select(*rest, "clipped")
-    return df
-
-
 def cells_crossed(lines: DataFrame, size_m: float) -> DataFrame:
     """Mercator grid cells each line passes through, found column by column.
 

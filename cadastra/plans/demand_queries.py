@@ -185,3 +185,47 @@ def weights(spark, sf):
     return op.gravity_shares(demand_inputs(spark, sf)).select(
         "city", "period", "origin_id", "pairs", F.expr(fixed("share_sum", 6)).alias("share_sum"),
         F.expr(fixed("top_share", 6)).alias("top_share"))
+
+
+# ---- study rectangle, top destinations, zone access ------------------------------
+
+def study_boxes(spark, sf):
+    return city.derive(spark, sf, "sites").filter("j = 0").selectExpr(
+        "city", "(ox + 10000) / 1e7 as min_lon", "(ox + 60000) / 1e7 as max_lon", "(oy + 8000) / 1e7 as min_lat", "(oy + 35000) / 1e7 as max_lat")
+
+
+_ALL = EVENTS_CTE.replace("""WHERE category IN ('office','retail','commercial') OR employees > 100 OR residents > 150
+       OR source = 'manual' OR own OR split_car IS NOT NULL""", "").replace("lon0 AS lon, lat0 AS lat", "mlon AS lon, mlat AS lat").replace("SELECT city, building_id, lon0, lat0, role", "SELECT city, building_id, mlon, mlat, role")
+_STUDY_ENDS = cte("buildings", "zones", "gateways", "sites") + _ALL + ZONE_CTE + """,
+box AS (SELECT city, ox + 10000 AS bx0, ox + 60000 AS bx1, oy + 8000 AS by0, oy + 35000 AS by1 FROM sites WHERE j = 0),
+held AS (SELECT zone_id, CAST(sum(residents) AS BIGINT) AS residents, CAST(sum(employees) AS BIGINT) AS employees FROM zhit JOIN b0 USING (building_id) GROUP BY 1),
+zc AS (SELECT z.city, z.zone_id, greatest(x0, bx0) AS cx0, least(x1, bx1) AS cx1, greatest(y0, by0) AS cy0, least(y1, by1) AS cy1, 46000.0::DOUBLE * 46000 - 46000.0::DOUBLE * 9000 / 2 AS full_area, total_population, total_employment FROM zones z JOIN box USING (city)),
+zp AS (SELECT zc.*, (cx1 - cx0)::DOUBLE * (cy1 - cy0) / full_area AS part, greatest(0, total_population - coalesce(residents, 0)) AS rp, greatest(0, total_employment - coalesce(employees, 0)) AS re FROM zc LEFT JOIN held USING (zone_id) WHERE cx1 > cx0 AND cy1 > cy0),
+ends AS (SELECT e.city, id, lon, lat, role, trips AS volume, s_car FROM events e JOIN box b ON b.city = e.city AND lon BETWEEN bx0 / 1e7 AND bx1 / 1e7 AND lat BETWEEN by0 / 1e7 AND by1 / 1e7 WHERE period = 'AM_Peak'
+ UNION ALL SELECT city, zone_id, (cx0 + cx1) / 2 / 1e7, (cy0 + cy1) / 2 / 1e7, v.role, v.f, NULL FROM zp, LATERAL (VALUES ('origin', rp * part * 1.8::DOUBLE * 0.35::DOUBLE), ('destination', re * part * 1.2::DOUBLE * 0.35::DOUBLE)) v(role, f) WHERE v.f > 0),
+w AS (SELECT o.city, o.id AS origin_id, d.id AS destination_id, o.volume, o.s_car, d.volume / pow(greatest(100, sqrt(pow((d.lon - o.lon) * 111320.0::DOUBLE * cos(radians(o.lat)), 2) + pow((d.lat - o.lat) * 111320.0::DOUBLE, 2))), 2) AS w
+ FROM ends o JOIN ends d ON d.city = o.city AND o.role = 'origin' AND d.role = 'destination' AND o.id <> d.id),
+top AS (SELECT *, w / sum(w) OVER (PARTITION BY city, origin_id) AS share FROM (SELECT *, row_number() OVER (PARTITION BY city, origin_id ORDER BY w DESC, destination_id) AS rk FROM w) WHERE rk <= 32)
+"""
+
+
+def study_ends(spark, sf):
+    b = parsed_buildings(spark, sf).filter(F.size("coordinates") > 0)
+    return materialise(op.study_ends(b, city.zones(spark, sf), gateway_flows(spark, sf), study_boxes(spark, sf), "AM_Peak"), "study_ends")
+
+
+@query("g16_study_demand", _STUDY_ENDS + f"""SELECT city, origin_id, destination_id, k.kind, {sql_fixed('volume * share * k.f', 6)} AS vph FROM top, LATERAL (VALUES ('car', coalesce(s_car, 0.25::DOUBLE)),
+  ('two_wheeler', CASE WHEN s_car IS NULL THEN 0.35::DOUBLE ELSE 0 END), ('bus_auto', CASE WHEN s_car IS NULL THEN 0.2::DOUBLE + 0.02::DOUBLE ELSE 0 END)) k(kind, f) WHERE volume * share * k.f > 0""")
+def study_demand(spark, sf):
+    return op.study_demand(study_ends(spark, sf)).withColumn("vph", F.expr(fixed("vph", 6)))
+
+
+_PLW = "d.trips / pow(greatest(100.0::DOUBLE, sqrt(pow((d.lon - o.lon) * 111320.0::DOUBLE * cos(radians(o.lat)), 2) + pow((d.lat - o.lat) * 111320.0::DOUBLE, 2))), 2)"
+
+
+@query("f04_top_destinations", _IN + ENDS_CTE + f""", w AS (SELECT o.city, o.period, o.id AS origin_id, d.id AS destination_id, {_PLW} AS w FROM ends o JOIN ends d ON o.city = d.city AND o.period = d.period WHERE o.role = 'origin' AND d.role = 'destination' AND o.id <> d.id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY city, period, origin_id ORDER BY w DESC, destination_id) AS rk FROM w)
+ SELECT city, period, origin_id, count(*) AS destinations, {sql_fixed('min(w) / max(w)', 6)} AS spread FROM r WHERE rk <= 32 GROUP BY ALL""")
+def top_destinations(spark, sf):
+    best = op.top_destinations(demand_inputs(spark, sf))
+    return best.groupBy("city", "period", "origin_id").agg(F.expr("count(1)").alias("destinations"), F.expr(fixed("min(weight) / max(weight)", 6)).alias("spread"))

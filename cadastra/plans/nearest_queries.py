@@ -277,3 +277,21 @@ def touching(spark, sf):
     lines = roads(spark, sf).selectExpr("city", "road_id as id", "coordinates")
     areas = city.zones(spark, sf).selectExpr("city", "zone_id as area_id", "boundary")
     return ne.lines_touching_areas(lines, areas).select("id", "area_id")
+
+
+_ACC = cte("roads", "zones") + _NODES + """, zr AS (SELECT city, zone_id, unnest([x0,x1,x1,xm,x0])/1e7 AS ax, unnest([y0,y0,y1,ym,y1])/1e7 AS ay, unnest([x1,x1,xm,x0,x0])/1e7 AS bx, unnest([y0,y1,ym,y1,y0])/1e7 AS by_ FROM zones),
+ ins AS (SELECT n.node, z.zone_id FROM nodes n JOIN zr z USING (city) WHERE (z.by_ > n.lat) <> (z.ay > n.lat) AND n.lon < (z.ax - z.bx) * (n.lat - z.by_) / (z.ay - z.by_) + z.bx GROUP BY ALL HAVING count(*) % 2 = 1),
+ at AS (SELECT node, greatest(1000, max(capacity)) AS cap, arg_max(road_class, ord) AS cls FROM (SELECT ord, capacity, road_class, city * 121 + r * 11 + c AS node FROM roads UNION ALL SELECT ord, capacity, road_class, city * 121 + (r + vertical) * 11 + c + 1 - vertical FROM roads) GROUP BY 1)"""
+
+
+@query("d03_zone_access_weights", _ACC.replace(" at AS (", " nat AS (") + f""", w AS (SELECT zone_id, node, CASE cls WHEN 'highway' THEN 3.0::DOUBLE WHEN 'arterial' THEN 2 WHEN 'collector' THEN 1.2::DOUBLE ELSE 0.5::DOUBLE END * ln(1 + cap) AS w FROM ins JOIN nat USING (node))
+ SELECT zone_id, node, {sql_fixed('w / sum(w) OVER (PARTITION BY zone_id)', 7)} AS weight FROM w""")
+def zone_access(spark, sf):
+    edges = city.derive(spark, sf, "roads").selectExpr("ord as ord_key", "capacity", "road_class", "city * 121 + r * 11 + c as src", "city * 121 + (r + vertical) * 11 + c + 1 - vertical as dst")
+    return dm.zone_access_weights(city.zones(spark, sf), grid_nodes(spark, sf), edges).selectExpr("zone_id", "node", f"{fixed('weight', 7)} as weight")
+
+
+@query("e11_nearest_three_nodes", cte("roads", "gateways") + _NODES + f""" SELECT gateway_id AS zone_id, node FROM (SELECT gateway_id, node, row_number() OVER (PARTITION BY gateway_id ORDER BY {sql_hav('g.x / 1e7', 'g.y / 1e7', 'n.lon', 'n.lat')}, node) AS rk FROM gateways g JOIN nodes n USING (city)) WHERE rk <= 3""")
+def nearest_three(spark, sf):
+    centres = city.derive(spark, sf, "gateways").selectExpr("city", "gateway_id as zone_id", "x / 1e7 as zlon", "y / 1e7 as zlat")
+    return dm.nearest_k(centres, grid_nodes(spark, sf), 3).select("zone_id", "node")

@@ -65,7 +65,7 @@ _TRIPS = """, o AS (SELECT vehicle_id, ts, ord, speed_mps, CASE WHEN ts - lag(ts
 """
 
 
-@query("s03_stream_trip_completion", cte("observations") + _TRIPS + """ SELECT t.vehicle_id, epoch(min(t.ts))::BIGINT AS depart_s, count(*) > 0 AS done, CAST(coalesce(max(n.stops), 0) AS BIGINT) AS stops FROM t LEFT JOIN n USING (vehicle_id, trip) GROUP BY t.vehicle_id, t.trip""")
+@query("s03_stream_trip_completion", cte("observations") + _TRIPS + """ SELECT t.vehicle_id, CAST(floor(epoch(min(t.ts))) AS BIGINT) AS depart_s, count(*) > 0 AS done, CAST(coalesce(max(n.stops), 0) AS BIGINT) AS stops FROM t LEFT JOIN n USING (vehicle_id, trip) GROUP BY t.vehicle_id, t.trip""")
 def trip_completion(spark, sf):
     out = sm.stream_trip_completion(_stream(spark, observations(spark, sf)), gap_s=6 * 3600.0)
     return _finish(spark, out).filter("vehicle_id >= 0").selectExpr("vehicle_id", "unix_timestamp(depart_ts) as depart_s", "arrive_ts is not null as done", "stops")

@@ -20,6 +20,7 @@ from ..operators.tables import upsert
 
 # Fixed value: a vehicle standing longer than this counts as stuck.
 STUCK_SECONDS = 180
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_road_occupancy(observations: DataFrame, window: str = "1 minute", late: str = "2 minutes") -> DataFrame:
@@ -67,7 +68,7 @@ class TripTracker(StatefulProcessor):
         self.handle = handle
         self.trip = handle.getValueState("trip", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("ts")
         finished = []
         state = list(self.trip.get()) if self.trip.exists() else None
@@ -91,25 +92,36 @@ class TripTracker(StatefulProcessor):
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
         self.handle.registerTimer(int((state[1] + self.gap_s) * 1000))
-        yield pd.DataFrame(finished, columns=TRIP_SCHEMA.names)
+        yield self._frame(finished)
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         rows = []
         if self.trip.exists():
             rows.append(self._row(key, list(self.trip.get())))
             self.trip.clear()
-        yield pd.DataFrame(rows, columns=TRIP_SCHEMA.names)
+        yield self._frame(rows)
 
     @staticmethod
     def _row(key, s) -> tuple:
-        return (int(key[0]), pd.Timestamp(s[0], unit="s"), pd.Timestamp(s[1], unit="s"), float(s[1] - s[0]), int(s[2]), bool(s[5]))
+        return (int(key[0]), round(s[0] * 1e6), round(s[1] * 1e6), float(s[1] - s[0]), int(s[2]), bool(s[5]))
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=TRIP_SCHEMA.names)
+        for c in ("depart_ts", "arrive_ts"):
+            out[c] = out[c].astype("int64").astype("datetime64[us]")
+        return out
 
     def close(self) -> None:
         pass
 
 
 def stream_trip_completion(observations: DataFrame, gap_s: float = 600.0, late: str = "5 minutes") -> DataFrame:
-    """Finished trips per vehicle, kept as a small state row with an event-time timer."""
+    """Finished trips per vehicle, kept as a small state row with an event-time timer.
+
+    Named state and timers need the RocksDB state store, so the session is set to it.
+    """
+    observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return observations.select("vehicle_id", "ts", "speed_mps").withWatermark("ts", late).groupBy("vehicle_id").transformWithStateInPandas(
         statefulProcessor=TripTracker(gap_s), outputStructType=TRIP_SCHEMA, outputMode="Append", timeMode="EventTime")
 
