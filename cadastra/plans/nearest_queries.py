@@ -71,7 +71,7 @@ def zone_summary(spark, sf):
  s AS (SELECT city, ord, edge_id, fn, tn, 0 AS seg, xa0 / 1e7 AS ax, ya0 / 1e7 AS ay, xm / 1e7 AS bx, ym / 1e7 AS by_ FROM e UNION ALL SELECT city, ord, edge_id, fn, tn, 1, xm / 1e7, ym / 1e7, xb0 / 1e7, yb0 / 1e7 FROM e),
  j AS (SELECT b.building_id AS id, x0 / 1e7 AS lon, y0 / 1e7 AS lat, s.*, greatest(0, least(1, ((x0 / 1e7 - ax) * (bx - ax) + (y0 / 1e7 - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) AS t FROM buildings b JOIN s USING (city)),
  d AS (SELECT *, ax + t * (bx - ax) AS x, ay + t * (by_ - ay) AS y FROM j), m AS (SELECT *, sqrt(pow(lon - x, 2) + pow(lat - y, 2)) AS d FROM d)
- SELECT city, id, arg_min(edge_id, (d, ord)) AS edge_id, arg_min(CASE WHEN {sql_hav('x', 'y', 'ax', 'ay')} < {sql_hav('x', 'y', 'bx', 'by_')} THEN fn ELSE tn END, (d, ord)) AS access_node FROM m GROUP BY ALL""")
+ SELECT city, id, arg_min(edge_id, (d, ord, seg)) AS edge_id, arg_min(CASE WHEN {sql_hav('x', 'y', 'ax', 'ay')} < {sql_hav('x', 'y', 'bx', 'by_')} THEN fn ELSE tn END, (d, ord, seg)) AS access_node FROM m GROUP BY ALL""")
 def building_access(spark, sf):
     return ne.building_access(corners(spark, sf), grid_lines(spark, sf)).select("city", "id", "edge_id", "access_node")
 

@@ -69,17 +69,17 @@ def trips(spark, sf):
                                                      *[f"{fixed(c, d)} as {c}" for c, d in (("mean_travel_s", 3), ("mean_delay_s", 3), ("stops_per_trip", 4))])
 
 
-@query("d21_segment_speed_ratio", _O + f"SELECT segment_key, {sql_fixed('avg(least(1, speed_mps / (limit_kmh / 3.6::DOUBLE)))', 5)} AS speed_share, count(*) AS n FROM observations GROUP BY 1")
+@query("d21_segment_speed_ratio", _O + f"SELECT segment_key, {sql_fixed('avg(least(1, speed_mps / (limit_kmh / 3.6::DOUBLE)))', 8)} AS speed_share, count(*) AS n FROM observations GROUP BY 1")
 def speed_ratio(spark, sf):
-    return ob.segment_speed_ratio(observations(spark, sf)).selectExpr("segment_key", f"{fixed('speed_share', 5)} as speed_share", "n")
+    return ob.segment_speed_ratio(observations(spark, sf)).selectExpr("segment_key", f"{fixed('speed_share', 8)} as speed_share", "n")
 
 
-@query("d22_watched_roads", _O + f""", w AS (SELECT road_id, count(DISTINCT vehicle_id) AS passed, {sql_fixed('avg(speed_mps) * 3.6::DOUBLE', 4)} AS mean_speed_kmh,
+@query("d22_watched_roads", _O + f""", w AS (SELECT road_id, count(DISTINCT vehicle_id) AS passed, {sql_fixed('avg(speed_mps) * 3.6::DOUBLE', 8)} AS mean_speed_kmh,
   floor(epoch(max(ts)))::BIGINT - floor(epoch(min(ts)))::BIGINT AS span_s FROM observations WHERE road_id IN (SELECT road_id FROM roads WHERE road_class = 'highway') GROUP BY 1)
  SELECT road_id, passed, mean_speed_kmh, CASE WHEN span_s >= 120 THEN CAST(floor(passed / (span_s / 3600) + 0.5) AS BIGINT) END AS per_hour FROM w""")
 def watched(spark, sf):
     roads = city.derive(spark, sf, "roads").filter("road_class = 'highway'")
-    return ob.watched_roads(observations(spark, sf), roads).selectExpr("road_id", "passed", f"{fixed('mean_speed_kmh', 4)} as mean_speed_kmh", "per_hour")
+    return ob.watched_roads(observations(spark, sf), roads).selectExpr("road_id", "passed", f"{fixed('mean_speed_kmh', 8)} as mean_speed_kmh", "per_hour")
 
 
 _RUNS = cte("trips") + f""", a AS (SELECT l_linenumber AS line, {_TM} FROM trips WHERE l_returnflag <> 'A' GROUP BY 1), b AS (SELECT l_linenumber AS line, {_TM} FROM trips WHERE l_returnflag <> 'N' GROUP BY 1),

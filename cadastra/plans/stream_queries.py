@@ -53,10 +53,10 @@ def occupancy(spark, sf):
 
 
 @query("s02_stream_segment_speed", cte("observations") + f""", w AS (SELECT *, unnest([time_bucket(INTERVAL 3 HOUR, ts), time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR]) AS window_start FROM observations)
- SELECT window_start, segment_key, {sql_fixed('avg(least(1, speed_mps / (limit_kmh / 3.6::DOUBLE)))', 5)} AS speed_share, count(*) AS n FROM w GROUP BY ALL""")
+ SELECT window_start, segment_key, {sql_fixed('avg(least(1, speed_mps / (limit_kmh / 3.6::DOUBLE)))', 8)} AS speed_share, count(*) AS n FROM w GROUP BY ALL""")
 def segment_speed(spark, sf):
     out = sm.stream_segment_speed(_stream(spark, observations(spark, sf)), "6 hours", "3 hours", "10 minutes")
-    return _finish(spark, out).filter("segment_key <> 'closing'").withColumn("speed_share", F.expr(fixed("speed_share", 5)))
+    return _finish(spark, out).filter("segment_key <> 'closing'").withColumn("speed_share", F.expr(fixed("speed_share", 8)))
 
 
 _TRIPS = """, o AS (SELECT vehicle_id, ts, ord, speed_mps, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM observations WINDOW w AS (PARTITION BY vehicle_id ORDER BY ts, ord)),
