@@ -9,11 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import demand as D
-from ..functions.geo import bounds, haversine, js_round, planar
+from ..functions.geo import bounds, box, degrees_apart, haversine, js_round, planar
 from ..functions.polygons import in_polygon, mean_of, shoelace
-from ..session import pin
+from ..session import materialise, pin
+from .graph import shortest
 from .polygons import clip_rings
-from .spatial import join_points
+from .spatial import join_points, nearest_global
 
 ZONE_TILE_DEG = 0.002
 
@@ -260,3 +261,28 @@ def nearest_k(centres: DataFrame, nodes: DataFrame, k: int, *, by: Sequence[str]
     df = centres.join(nodes.select(*by, "node", "lon", "lat"), list(by)).withColumn("d", F.expr(haversine("zlon", "zlat", "lon", "lat")))
     rank = F.row_number().over(W.partitionBy(*by, "zone_id").orderBy("d", "node"))
     return df.withColumn("rank", rank).filter(F.col("rank") <= k).select(*by, "node", "zone_id")
+
+
+# ---- routing readiness ---------------------------------------------------------------
+
+def nearest_seed_nodes(places: DataFrame, nodes: DataFrame, *, by: Sequence[str] = ("city",)) -> DataFrame:
+    """Node nearest to each place in raw degrees (``id``, ``node``)."""
+    n = nodes.selectExpr(*by, "node", "lon as nlon", "lat as nlat", f"{box('lon', 'lat', 'lon', 'lat')} as box")
+    rank = f"struct({degrees_apart('lon', 'lat', 'nlon', 'nlat')} as d, node)"
+    return nearest_global(places, n, rank, point_key=["id"], by=by, degrees=True).select(*by, "id", "best.node")
+
+
+def route_readiness(pairs: DataFrame, seeded: DataFrame, edges: DataFrame, *, by: Sequence[str] = ("city",)) -> DataFrame:
+    """Per group: OD pairs, those with a valid origin and destination, routed and failed ones.
+
+    Every pair is checked, not a sample. Reachability is found once per distinct start
+    node. A pair whose two ends share one node counts as failed.
+    """
+    p = pairs.select(*by, "origin_id", "destination_id").distinct()
+    p = p.join(seeded.selectExpr(*by, "id as origin_id", "node as a"), [*by, "origin_id"], "left").join(
+        seeded.selectExpr(*by, "id as destination_id", "node as b"), [*by, "destination_id"], "left")
+    p = materialise(p, "od_nodes")
+    reach = shortest(edges.selectExpr("src", "dst", "0D as w", "edge_id"), p.filter("a is not null").selectExpr("a as k", "a as node", "0D as d").distinct())
+    ok = p.join(reach.selectExpr("k as a", "node as b", "true as linked"), ["a", "b"], "left").selectExpr("*", "coalesce(linked, false) and a <> b as ok")
+    return ok.groupBy(*by).agg(F.expr("count(1)").alias("od_pairs"), F.expr("count(a)").alias("valid_origins"), F.expr("count(b)").alias("valid_destinations"),
+                               F.expr("count_if(ok)").alias("routed"), F.expr("count_if(not ok)").alias("failed"))

@@ -74,10 +74,11 @@ def vertices(lines: DataFrame, keep: Sequence[str], line: str = "coordinates") -
 
 
 def nearest_global(points: DataFrame, shapes: DataFrame, rank: str, *, point_key: Sequence[str], box: str = "box",
-                   by: Sequence[str] = ("city",), first_size: float = 0.002, rounds: int = 16) -> DataFrame:
+                   by: Sequence[str] = ("city",), first_size: float = 0.002, rounds: int = 16, degrees: bool = False) -> DataFrame:
     """Nearest shape at any distance, without a cross join.
 
-    ``rank`` is a struct expression that begins with the distance ``d`` in metres.
+    ``rank`` is a struct expression that begins with the distance ``d`` in metres, or
+    in raw degrees with ``degrees``.
     Tiles start small and double. A point is settled once its best shape is nearer
     than the padding searched, since nothing outside can beat it; only unsettled
     points go on to the next, wider round. Adds the winning struct as ``best``.
@@ -86,7 +87,7 @@ def nearest_global(points: DataFrame, shapes: DataFrame, rank: str, *, point_key
     for _ in range(rounds):
         best = join_points(todo, shapes, size, box=box, by=by, pad=size).groupBy(*point_key).agg(
             F.expr(f"min({rank})").alias("best"), F.expr("max(cos(radians(lat)))").alias("shrink"))
-        found = materialise(best.filter(f"best.d <= {size * SAFE_METRES_PER_DEG!r}D * shrink").drop("shrink"), "nearest")
+        found = materialise(best.filter(f"best.d <= {size!r}D" if degrees else f"best.d <= {size * SAFE_METRES_PER_DEG!r}D * shrink").drop("shrink"), "nearest")
         done = found if done is None else done.unionByName(found)
         rest = materialise(todo.join(found, list(point_key), "left_anti"), "unsettled")
         forget(cached)
