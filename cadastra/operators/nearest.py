@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions.polygons import in_polygon
-from ..session import pin
+from ..session import materialise, pin
 from .geometry import cells_crossed
 from .spatial import join_boxes, join_points, metre_pad, nearest_global, segments, vertices
 
@@ -110,19 +110,15 @@ def building_access(buildings: DataFrame, edges: DataFrame, cell_m: float = 200.
         df = df.selectExpr("*", f"{G.degrees_apart('lon', 'lat', x, y)} as d", f"case when {first_nearer} then from_node else to_node end as access")
         return df.groupBy(*by, "id").agg(F.expr("min(struct(d, ord, edge_id, seg, access))").alias("b")).select(
             *by, "id", "b.d", "b.edge_id", F.col("b.access").alias("access_node"))
-    found = ranked(near)
+    found = materialise(ranked(near), "access")
     missing = buildings.select(*by, "id", "lon", "lat").join(found, [*by, "id"], "left_anti")
-    return found.unionByName(_far_access(missing, seg, by))
-
-
-def _far_access(missing: DataFrame, seg: DataFrame, by) -> DataFrame:
-    """Nearest edge anywhere in the city for the few buildings without a near one."""
-    t = G.project_t("lon", "lat", "a.lon", "a.lat", "b.lon", "b.lat")
-    x, y = G.along("a.lon", "b.lon", t), G.along("a.lat", "b.lat", t)
-    first = f"{G.haversine(x, y, 'a.lon', 'a.lat')} < {G.haversine(x, y, 'b.lon', 'b.lat')}"
-    df = missing.join(seg, list(by)).groupBy(*by, "id").agg(F.expr(
-        f"min(struct({G.degrees_apart('lon', 'lat', x, y)} as d, ord, edge_id, seg, case when {first} then from_node else to_node end as access))").alias("b"))
-    return df.select(*by, "id", "b.d", "b.edge_id", F.col("b.access").alias("access_node"))
+    if missing.isEmpty():
+        return found
+    first = f"{G.haversine(G.along('a.lon', 'b.lon', t), G.along('a.lat', 'b.lat', t), 'a.lon', 'a.lat')} < {G.haversine(G.along('a.lon', 'b.lon', t), G.along('a.lat', 'b.lat', t), 'b.lon', 'b.lat')}"
+    gap = G.degrees_apart("lon", "lat", G.along("a.lon", "b.lon", t), G.along("a.lat", "b.lat", t))
+    rank = f"struct({gap} as d, ord, edge_id, seg, case when {first} then from_node else to_node end as access)"
+    far = nearest_global(materialise(missing, "unplaced"), seg, rank, point_key=["id"], by=by, first_size=0.004, degrees=True)
+    return found.unionByName(far.select(*by, "id", "best.d", "best.edge_id", F.col("best.access").alias("access_node")))
 
 
 def gateway_nodes(gateways: DataFrame, nodes: DataFrame, *, by: Sequence[str] = ("city",)) -> DataFrame:

@@ -20,9 +20,9 @@ from .registry import query
 _GAPS = cte("roads") + "," + ROAD_SEGMENTS + """, sg AS (SELECT s.city, s.road_id, s.seg, s.ax, s.ay, s.bx, s.by_, r.xa / 1e7 AS x0, r.ya / 1e7 AS y0, 111320.0::DOUBLE * cos(radians(r.ya / 1e7)) AS kx, r.lane_count * 3.5::DOUBLE + 3 AS width FROM road_segments s JOIN roads r USING (road_id)),
  l AS (SELECT *, sqrt(pow((bx - ax) * kx, 2) + pow((by_ - ay) * 111320.0::DOUBLE, 2)) AS len FROM sg), la AS (SELECT *, sum(len) OVER (PARTITION BY road_id) AS total, CASE WHEN seg = 0 THEN 0 ELSE sum(len) OVER (PARTITION BY road_id) - len END AS along FROM l),
  pr AS (SELECT p.road_id, p.seg, p.len, p.total, p.along, q.road_id AS oid, q.seg AS oseg, q.width / 2 + 1.5 AS half, q.width / 2 + 6 AS lim, (p.ax - p.x0) * p.kx AS ax, (p.ay - p.y0) * 111320.0::DOUBLE AS ay, (p.bx - p.x0) * p.kx AS bx, (p.by_ - p.y0) * 111320.0::DOUBLE AS by_,
-  (q.ax - p.x0) * p.kx AS cx, (q.ay - p.y0) * 111320.0::DOUBLE AS cy, (q.bx - p.x0) * p.kx AS ex, (q.by_ - p.y0) * 111320.0::DOUBLE AS ey FROM la p JOIN la q ON p.city = q.city AND p.road_id <> q.road_id),
+  (q.ax - p.x0) * p.kx AS cx, (q.ay - p.y0) * 111320.0::DOUBLE AS cy, (q.bx - p.x0) * p.kx AS ex, (q.by_ - p.y0) * 111320.0::DOUBLE AS ey, p.bx - p.ax AS rx, p.by_ - p.ay AS ry, q.bx - q.ax AS sx, q.by_ - q.ay AS sy, q.ax - p.ax AS qx, q.ay - p.ay AS qy FROM la p JOIN la q ON p.city = q.city AND p.road_id <> q.road_id),
  cr AS (SELECT *, (bx - ax) * (ey - cy) - (by_ - ay) * (ex - cx) AS den, sqrt(pow(ex - cx, 2) + pow(ey - cy, 2)) AS fl FROM pr),
- c1 AS (SELECT *, ((cx - ax) * (ey - cy) - (cy - ay) * (ex - cx)) / den AS t, ((cx - ax) * (by_ - ay) - (cy - ay) * (bx - ax)) / den AS u FROM cr WHERE abs(den) >= 1e-9),
+ c1 AS (SELECT *, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS t, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS u FROM cr WHERE abs(den) >= 1e-9),
  oe AS (SELECT *, cx AS px, cy AS py FROM cr WHERE oseg = 0 UNION ALL SELECT *, ex, ey FROM cr WHERE oseg = 1), ot AS (SELECT *, greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / (len * len))) AS t FROM oe),
  me AS (SELECT *, 0 AS k, ax AS px, ay AS py FROM cr WHERE seg = 0 UNION ALL SELECT *, 1, bx, by_ FROM cr WHERE seg = 1), mt AS (SELECT *, greatest(0, least(1, ((px - cx) * (ex - cx) + (py - cy) * (ey - cy)) / (fl * fl))) AS u FROM me),
  gaps AS (SELECT road_id, total, along + t * len - half / greatest(abs(den) / (len * fl), 0.35::DOUBLE) AS g0, along + t * len + half / greatest(abs(den) / (len * fl), 0.35::DOUBLE) AS g1 FROM c1 WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1

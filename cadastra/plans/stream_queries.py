@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geo import fixed
-from ..session import scratch_path
+from ..session import scratch_path, stream_partitions
 from ..sources import citydata as city
 from ..sources.citydata import cte, sql_fixed
 from ..streaming import streams as sm
@@ -36,8 +36,9 @@ def _stream(spark, df, order: str = "ts"):
 def _finish(spark, out, mode: str = "append"):
     """Run a streaming plan until its input is used up and return what it wrote."""
     sink, state = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")
-    q = out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start(sink)
-    q.awaitTermination()
+    with stream_partitions(spark):
+        q = out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start(sink)
+        q.awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
 
 
@@ -90,5 +91,6 @@ def apply_changes(spark, sf):
     # The same changes arrive twice; each must count once.
     path = scratch_path(spark, "changes")
     changes.unionByName(changes).write.parquet(path)
-    sm.stream_apply_changes(spark.readStream.schema(changes.schema).parquet(path), table, state).awaitTermination()
+    with stream_partitions(spark):
+        sm.stream_apply_changes(spark.readStream.schema(changes.schema).parquet(path), table, state).awaitTermination()
     return spark.read.parquet(f"{table}/v1").select("id", "updated_at")

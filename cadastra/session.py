@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,23 @@ def forget(df: DataFrame | None) -> None:
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def stream_partitions(spark: SparkSession):
+    """State partitions for a stream started inside: the cluster's cores, unless chosen by the user.
+
+    A stream keeps the number it starts with and is not coalesced at run time, so the
+    general default of 200 fits neither a small session nor a large cluster.
+    """
+    key, default = "spark.sql.shuffle.partitions", "200"
+    before = spark.conf.get(key)
+    if before == default:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def pin(df: DataFrame, **columns: str) -> DataFrame:
     """Add columns (SQL text) that are computed once and then only referred to.
 
