@@ -30,7 +30,7 @@ _GAPS = cte("roads") + "," + ROAD_SEGMENTS + """, sg AS (SELECT s.city, s.road_i
   UNION ALL SELECT road_id, total, CASE WHEN k = 0 THEN 0 ELSE total - half END, CASE WHEN k = 0 THEN half ELSE total END FROM mt WHERE sqrt(pow(cx + u * (ex - cx) - px, 2) + pow(cy + u * (ey - cy) - py, 2)) <= lim),
  cl AS (SELECT road_id, total, greatest(0, g0) AS g0, least(total, g1) AS g1 FROM gaps WHERE least(total, g1) > greatest(0, g0)),
  fr AS (SELECT *, CASE WHEN g0 <= max(g1) OVER (PARTITION BY road_id ORDER BY g0, g1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM cl),
- il AS (SELECT *, sum(fresh) OVER (PARTITION BY road_id ORDER BY g0, g1 ROWS UNBOUNDED PRECEDING) AS island FROM fr), mg AS (SELECT road_id, total, island, min(g0) AS g0, max(g1) AS g1 FROM il GROUP BY ALL)
+ il AS (SELECT *, sum(fresh) OVER (PARTITION BY road_id ORDER BY g0, fresh DESC, g1 ROWS UNBOUNDED PRECEDING) AS island FROM fr), mg AS (SELECT road_id, total, island, min(g0) AS g0, max(g1) AS g1 FROM il GROUP BY ALL)
 """
 
 
