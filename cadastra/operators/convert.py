@@ -161,3 +161,32 @@ def insert_vertex(roads: DataFrame) -> DataFrame:
     return roads.selectExpr(
         "*", "concat(slice(coordinates, 1, at), array(p), slice(coordinates, at + 1, size(coordinates))) as new_coordinates",
         f"transform(sections, _s -> named_struct('first', {first}, 'last', {last}, 'lanes', _s.lanes)) as new_sections")
+
+
+def retained_indices(before: str, after: str) -> str:
+    """Where each point of ``before`` is found again in ``after``, in order; null if one is missing.
+
+    Both are arrays of ``struct<lon,lat>``. Every point is looked for behind the match of
+    the one before it.
+    """
+    pos = f"int(array_position(slice({after}, _acc.seen + 1, greatest(size({after}), 1)), _p))"
+    return (f"aggregate({before}, named_struct('seen', 0, 'idx', cast(array() as array<int>), 'ok', true), (_acc, _p) -> named_struct("
+            f"'seen', _acc.seen + {pos}, 'idx', concat(_acc.idx, array(_acc.seen + {pos} - 1)), 'ok', _acc.ok and {pos} > 0),"
+            f" _acc -> case when _acc.ok then _acc.idx end)")
+
+
+def remapped_sections(roads: DataFrame) -> DataFrame:
+    """Repaired sections of roads whose line was densified or thinned since they were drawn.
+
+    Where the sections cover the source line and its vertices are all still there, their
+    ends move to the vertices' new places first; then they are repaired as usual.
+    Columns: ``sections``, ``source_coordinates``, ``coordinates``, ``geometry_modified``.
+    """
+    def flat(c):
+        return f"transform({c}, _p -> struct(_p.lon as lon, _p.lat as lat))"
+    df = pin(roads, _b=flat("source_coordinates"), _a=flat("coordinates"))
+    df = pin(df, _idx=f"case when not geometry_modified and {complete_coverage('sections', 'size(source_coordinates)')}"
+                      f" and not {complete_coverage('sections', 'size(coordinates)')} then {retained_indices('_b', '_a')} end")
+    moved = "transform(sections, _s -> named_struct('first', double(get(_idx, int(_s.first))), 'last', double(get(_idx, int(_s.last))), 'lanes', _s.lanes))"
+    df = df.withColumn("_sections", F.expr(f"case when _idx is not null then {moved} else sections end")).withColumn("_n", F.expr("size(coordinates)"))
+    return repaired_sections(df, "_sections", "_n").selectExpr(*roads.columns, "repaired")

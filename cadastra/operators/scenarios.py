@@ -60,7 +60,7 @@ def ordered_scenarios(scenarios: DataFrame) -> DataFrame:
 
 def is_user_built() -> str:
     """SQL condition: drawn by a planner rather than imported."""
-    return "(not startswith(id, 'osm_') and not has_provenance and osm_id is null and coalesce(source, '') <> 'OSM')"
+    return "(not startswith(id, 'osm_') and not coalesce(has_provenance, false) and osm_id is null and coalesce(source, '') <> 'OSM')"
 
 
 def project_list(objects: DataFrame) -> DataFrame:

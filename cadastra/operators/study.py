@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import angle_between, norm_deg
 from ..session import materialise
 from . import graph as G
+from .nearest import road_hits
 
 
 @dataclass
@@ -204,3 +205,19 @@ def junction_control(edges: DataFrame, signalled: DataFrame | None = None) -> Da
         signal = "coalesce(lit, false) and two_axes"
     return n.selectExpr("city", "node", "arms", f"case when {signal} then 'signal' else 'priority' end as control",
                         f"case when not ({signal}) and low < top then top end as major_rank")
+
+
+def isolated_pieces(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, range_m: float) -> DataFrame:
+    """Parts of the network without a link to the seed roads that come within range of them.
+
+    ``nodes``: ``city``, ``node``, ``lon``, ``lat``, ``z``; ``seeds``: ``city``, ``ord``, ``road_id``,
+    ``coordinates``. One row per piece with its roads and distance.
+    """
+    part = materialise(G.connected_components(edges), "parts")
+    at = edges.selectExpr("city", "road_id", "src as node").join(part, "node")
+    linked = edges.join(seeds.select("city", "road_id"), ["city", "road_id"], "left_semi").selectExpr("src as node").join(part, "node").select("component").distinct()
+    loose = at.join(linked, "component", "left_anti")
+    size = loose.groupBy("city", "component").agg(F.expr("count(distinct road_id)").alias("roads"))
+    ends = nodes.join(part, "node").join(size.select("component"), "component", "left_semi").select("city", "component", "node", "lon", "lat", "z")
+    near = road_hits(ends, seeds, range_m, ["component", "node"]).groupBy("city", "component").agg(F.min("hit.d").alias("metres"))
+    return size.join(near, ["city", "component"])

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tags as T
-from ..functions.geo import fixed, pt
+from ..functions.geo import densify, fixed, pt
 from ..operators import convert as cv
 from ..session import scratch_path
 from ..sources import citydata as city
 from ..sources import osm
-from ..sources.citydata import cte, sql_fixed
+from ..sources.citydata import cte, sql_fixed, sql_hav
 from .registry import query
 
 _KINDS = ["motorway", "trunk", "primary", "secondary", "tertiary", "residential", "service", "motorway_link", "trunk_link",
@@ -313,3 +313,13 @@ def status(spark, sf):
     index = osm.build_map_index(nodes, ways, INDEX_BOX)
     boxes = city.derive(spark, sf, "sites").selectExpr("named_struct('min_lon', ox / 1e7, 'min_lat', oy / 1e7, 'max_lon', (ox + 90000) / 1e7, 'max_lat', (oy + 60000) / 1e7) as box")
     return osm.index_status(index, INDEX_BOX).join(osm.covers(boxes, INDEX_BOX), F.lit(True)).select("available", "capabilities", "ways", "signals", "covered")
+
+
+@query("h16_remapped_sections", cte("roads") + f""", n AS (SELECT road_id, ord, greatest(1, CAST(ceil({sql_hav('xa / 1e7', 'ya / 1e7', 'xm / 1e7', 'ym / 1e7')} / 10) AS BIGINT)) AS n1, greatest(1, CAST(ceil({sql_hav('xm / 1e7', 'ym / 1e7', 'xb / 1e7', 'yb / 1e7')} / 10) AS BIGINT)) AS n2 FROM roads)
+ SELECT road_id, CASE WHEN ord % 4 = 3 THEN concat('0-1:1 1-', n1 + n2, ':2') ELSE concat('0-', n1, ':1 ', n1, '-', n1 + n2, ':2') END AS ranges FROM n""")
+def remapped(spark, sf):
+    """Profiles drawn on the three-point line, moved to its densified form; edited ones cannot be moved."""
+    df = city.roads(spark, sf).selectExpr(
+        "road_id", "coordinates as source_coordinates", f"transform({densify('coordinates', 10)}, p -> named_struct('lon', p.lon, 'lat', p.lat, 'z', p.z)) as coordinates",
+        f"{_sections((0, 1, 1), (1, 2, 2))} as sections", "ord % 4 = 3 as geometry_modified")
+    return cv.remapped_sections(df).selectExpr("road_id", "array_join(transform(repaired, s -> concat(bigint(s.first), '-', bigint(s.last), ':', s.lanes)), ' ') as ranges")

@@ -183,7 +183,7 @@ def validate(spark, sf):
 @query("b13_user_built", _OBJ + "SELECT id, type, scenario_id, id NOT LIKE 'osm_%' AND coalesce(source, '') <> 'OSM' AS user_built FROM objs")
 def user_built(spark, sf):
     df = typed_objects(spark, sf).selectExpr("*", "source = 'OSM' and type = 'road' as has_provenance", "cast(null as bigint) as osm_id")
-    return df.selectExpr("id", "type", "scenario_id", f"{sc.is_user_built().replace('not has_provenance', 'not coalesce(has_provenance, false)')} as user_built")
+    return df.selectExpr("id", "type", "scenario_id", f"{sc.is_user_built()} as user_built")
 
 
 @query("b15_visible_objects", _OBJ + "SELECT scenario_id, type, count(*) AS objects FROM objs WHERE type <> 'road' GROUP BY ALL")
