@@ -14,7 +14,7 @@ from ..sources import geojson as gj
 from ..sources.citydata import ROAD_SEGMENTS, cte, sql_fixed
 from .convert_queries import _SECT, _W, tagged_ways
 from .graph_queries import EDGES, grid_edges
-from .nearest_queries import _Z, grid_nodes, roads
+from .nearest_queries import _ENDS, _Z, grid_nodes, roads
 from .registry import query
 
 
@@ -79,7 +79,8 @@ def split_at(spark, sf):
     return ed.split_roads_at_points(r, road_ends(r)).selectExpr("road_id", "seg", f"{G.fixed('t', 5)} as t")
 
 
-@query("g22_connect_road_ends", None)
+@query("g22_connect_road_ends", _ENDS + """, gap AS (SELECT own, which FROM hits GROUP BY own, which HAVING NOT bool_or(sqrt(pow(x - lon, 2) + pow(y - lat, 2)) < 0.00006::DOUBLE))
+ SELECT r.road_id, 3 + count(gap.own) AS points FROM roads r LEFT JOIN gap ON gap.own = r.road_id GROUP BY 1""")
 def connect(spark, sf):
     return ed.connect_road_ends(roads(spark, sf)).selectExpr("road_id", "bigint(size(coordinates)) as points")
 
