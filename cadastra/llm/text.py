@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SLICE_ROWS = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -16,13 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply a batch function to every Arrow batch; ``make`` runs once per task, on the executor.
 
-    Spark bounds a batch by rows and by bytes, so memory does not grow with the input and
-    very long texts come in small batches.
+    Spark bounds a batch by rows and by bytes, and a batch is worked on in slices, so memory
+    does not grow with the input and very long texts come in small batches.
     """
     def run(batches):
         step = make()
         for batch in batches:
-            yield step(batch)
+            for at in range(0, max(1, batch.num_rows), SLICE_ROWS):
+                yield step(batch.slice(at, SLICE_ROWS))
 
     return df.mapInArrow(run, schema)
 
@@ -48,6 +52,10 @@ def struct_text(spans: str, kinds: list[str] | None = None) -> Column:
     return F.array_join(F.transform(listed, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def count_kind(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def span_array(rows: list[list[tuple[str, int, int]]]) -> pa.Array:
     """Arrow array of spans per document from lists of (kind, start, end)."""
     offsets, kinds, starts, ends = [0], [], [], []
