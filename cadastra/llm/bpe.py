@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .text import free_name, map_batches, texts
 
 #: Words that a worker remembers, pairs it remembers, and characters looked at together.
-KEPT, KEPT_PAIRS, SLICE = 700_000, 1_000_000, 2_000_000
+KEPT, KEPT_PAIRS, SLICE = 250_000, 400_000, 2_000_000
 #: Control characters that Python splits at and the vocabulary's white-space class does not hold.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -76,12 +76,6 @@ class WordBpe:
             self.size[i] = len(token)
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
-        # the offset table of decoding: each token's text with a space behind it, back to back
-        size = 1 + max([*self.token_id.values(), *self.special.values()])
-        shown = [""] * size
-        for t, i in [*model["vocab"].items(), *self.special.items()]:
-            shown[i] = t + " "
-        self.table = pa.array(shown, pa.large_string())
 
     # ---- encoding
 
@@ -217,6 +211,14 @@ def codec(path: str) -> WordBpe:
     return _CODECS[path]
 
 
+def offset_table(path: str) -> pa.LargeStringArray:
+    """The texts of all tokens by id, each with a space behind it, back to back with their offsets."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    shown = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return pa.array([shown[i] + " " if i in shown else "" for i in range(1 + max(shown))], pa.large_string())
+
+
 def encode(docs: DataFrame, vocabulary: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
     """Adds the ids of each whole text as ``array<int>``; null and empty texts have none.
 
@@ -252,7 +254,7 @@ def decode(rows: DataFrame, vocabulary: str, ids_column: str = "ids", text_colum
     place = rows.columns.index(ids_column)
 
     def make():
-        table = codec(vocabulary).table
+        table = offset_table(vocabulary)
 
         def step(batch):
             lists = batch.column(place)
