@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, licenses, packing, pii, quality, secrets, simhash
+from . import ann, bpe, licenses, lm, packing, pii, quality, secrets, simhash, token_counts
 from .text import table
 from .vocab import vocabulary
 
@@ -44,6 +44,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return lm.score(table(spark, sf_dir, "documents"), good, vocabulary("byte_bpe_50k.json"))
+
+
+@query()
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 @query()
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
