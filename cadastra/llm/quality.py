@@ -129,16 +129,18 @@ def thresholds(rows: DataFrame, measures: str, language: str = "lang", source: s
 def judged(rows: DataFrame, measures: str, limits: DataFrame, language: str = "lang", source: str = "source") -> DataFrame:
     """Joins the thresholds by language and source (nulls are a group) and adds ``base_failed`` and ``kept`` to the measures."""
     limits = materialise(limits, "limits")
-    if limits.count() <= BROADCAST_ROWS:
-        limits = F.broadcast(limits)
+    few = limits.count() <= BROADCAST_ROWS
+    group_lang, group_source, bounds = (free_name(rows, c) for c in ("_lang", "_source", "_bounds"))  # whatever columns the rows have
+    limits = limits.select(F.col("_lang").alias(group_lang), F.col("_source").alias(group_source),
+                           F.struct(*(c for c in limits.columns if c not in ("_lang", "_source"))).alias(bounds))
     m = measures
     failed = F.expr(f"{m}.n_words < 10 OR 100 * {m}.n_repeat_words > 20 * {m}.n_words")
     odd = F.lit(False)
     for kind, (_, _, below) in FENCES.items():
-        odd = odd | (_value(m, kind) > F.col(f"_{kind}_most"))
+        odd = odd | (_value(m, kind) > F.col(f"{bounds}._{kind}_most"))
         if below is not None:
-            odd = odd | (_value(m, kind) < F.col(f"_{kind}_least"))
-    joined = rows.join(limits, F.col(language).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
+            odd = odd | (_value(m, kind) < F.col(f"{bounds}._{kind}_least"))
+    joined = rows.join(F.broadcast(limits) if few else limits, rows[language].eqNullSafe(limits[group_lang]) & rows[source].eqNullSafe(limits[group_source]), "left")
     return (joined.withColumn(m, F.col(m).withField("base_failed", failed))
             .withColumn(m, F.col(m).withField("kept", ~F.col(f"{m}.base_failed") & ~F.coalesce(odd, F.lit(False)))))
 

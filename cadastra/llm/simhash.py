@@ -256,5 +256,5 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     named = grouped(rows.select(F.col(id_column).alias("doc_id"), F.col(code).alias("fp")), distance)
     # the component's document: among the fingerprints that reach the smallest id, one
     best = named.where("least <=> component_id").groupBy("label", "component_id").agg(F.min("fp").alias("_fp")).select("component_id", "_fp")
-    kept = rows.join(best, F.col(code).eqNullSafe(F.col("_fp")) & F.col(id_column).eqNullSafe(F.col("component_id")), "left_semi")
+    kept = rows.join(best, rows[code].eqNullSafe(best["_fp"]) & rows[id_column].eqNullSafe(best["component_id"]), "left_semi")
     return kept.dropDuplicates([id_column, code]).select(*own)
