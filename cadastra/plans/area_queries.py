@@ -64,22 +64,15 @@ def footprints(spark, sf):
     return cg.junction_footprints(cg.junction_arms(j, r)).withColumn("area_m2", F.expr(fixed("area_m2", 2)))
 
 
-@query("g25_missing_coverage", None)
-def missing(spark, sf):
-    """Parts of each city's 600 m study range that no zone with roads covers yet."""
-    areas = city.zones(spark, sf).filter("total_population > 1500").select("city", "boundary")
-    studies = city.derive(spark, sf, "sites").filter("j = 0").selectExpr(
-        "city", "concat('s', ord) as study_id", "600D as range_m", "named_struct('min_lon', (ox + 30000) / 1e7, 'min_lat', (oy + 30000) / 1e7, 'max_lon', (ox + 50000) / 1e7, 'max_lat', (oy + 50000) / 1e7) as box")
-    return cg.missing_boxes(cg.coverage_samples(studies, areas))
-
-
-@query("e09_coverage_samples", cte("sites", "zones") + """, st AS (SELECT city, concat('s', CAST(ord AS VARCHAR)) AS study_id, (ox + 30000) / 1e7 AS x0, (oy + 30000) / 1e7 AS y0, (ox + 50000) / 1e7 AS x1, (oy + 50000) / 1e7 AS y1 FROM sites WHERE j = 0),
- k AS (SELECT *, 111320.0::DOUBLE * cos(radians((y0 + y1) / 2)) AS kx FROM st), w AS (SELECT *, (x1 - x0) * kx + 1200 AS w, (y1 - y0) * 111320.0::DOUBLE + 1200 AS h FROM k), sp AS (SELECT *, greatest(150.0::DOUBLE, greatest(w, h) / 24) AS step FROM w),
+_SAMPLES = cte("sites", "zones") + """, st AS (SELECT city, concat('s', CAST(ord AS VARCHAR)) AS study_id, (ox + 30000) / 1e7 AS x0, (oy + 30000) / 1e7 AS y0, (ox + 50000) / 1e7 AS x1, (oy + 50000) / 1e7 AS y1 FROM sites WHERE j = 0),
+ k AS (SELECT *, 111320.0::DOUBLE * cos(radians((y0 + y1) / 2)) AS kx FROM st), w AS (SELECT *, (x1 - x0) * kx + 1200 AS w, (y1 - y0) * 111320.0::DOUBLE + 1200 AS h FROM k), sp AS (SELECT *, 150.0::DOUBLE AS step FROM w),
  gx AS (SELECT *, unnest(range(0, CAST(floor(w / step) AS BIGINT) + 1)) AS ix FROM sp), gy AS (SELECT *, unnest(range(0, CAST(floor(h / step) AS BIGINT) + 1)) AS iy FROM gx),
  p AS (SELECT *, x0 - 600 / kx + ix * step / kx AS lon, y0 - 600 / 111320.0::DOUBLE + iy * step / 111320.0::DOUBLE AS lat FROM gy), r AS (SELECT * FROM p WHERE sqrt(pow(greatest(x0 - lon, 0, lon - x1) * kx, 2) + pow(greatest(y0 - lat, 0, lat - y1) * 111320.0::DOUBLE, 2)) <= 600),
  zr AS (SELECT city, zone_id, unnest([x0,x1,x1,xm,x0])/1e7 AS ax, unnest([y0,y0,y1,ym,y1])/1e7 AS ay, unnest([x1,x1,xm,x0,x0])/1e7 AS bx, unnest([y0,y1,ym,y1,y0])/1e7 AS by_ FROM zones WHERE total_population > 1500),
- hit AS (SELECT DISTINCT study_id, ix, iy FROM (SELECT study_id, ix, iy, zone_id FROM r JOIN zr z USING (city) WHERE (z.by_ > lat) <> (z.ay > lat) AND lon < (z.ax - z.bx) * (lat - z.by_) / (z.ay - z.by_) + z.bx GROUP BY ALL HAVING count(*) % 2 = 1))
- SELECT study_id, ix::INT AS ix, iy::INT AS iy, CASE WHEN (study_id, ix, iy) IN (SELECT study_id, ix, iy FROM hit) THEN 2 ELSE 1 END AS state FROM r""")
+ hit AS (SELECT DISTINCT study_id, ix, iy FROM (SELECT study_id, ix, iy, zone_id FROM r JOIN zr z USING (city) WHERE (z.by_ > lat) <> (z.ay > lat) AND lon < (z.ax - z.bx) * (lat - z.by_) / (z.ay - z.by_) + z.bx GROUP BY ALL HAVING count(*) % 2 = 1))"""
+
+
+@query("e09_coverage_samples", _SAMPLES + """ SELECT study_id, ix::INT AS ix, iy::INT AS iy, CASE WHEN (study_id, ix, iy) IN (SELECT study_id, ix, iy FROM hit) THEN 2 ELSE 1 END AS state FROM r""")
 def samples(spark, sf):
     areas = city.zones(spark, sf).filter("total_population > 1500").select("city", "boundary")
     studies = city.derive(spark, sf, "sites").filter("j = 0").selectExpr(
@@ -87,6 +80,17 @@ def samples(spark, sf):
     return cg.coverage_samples(studies, areas)
 
 
+@query("g25_missing_coverage", _SAMPLES + """, o AS (SELECT study_id, ix, iy, ix - row_number() OVER (PARTITION BY study_id, iy ORDER BY ix) AS k FROM r WHERE (study_id, ix, iy) NOT IN (SELECT study_id, ix, iy FROM hit)),
+ n AS (SELECT study_id, iy, min(ix) AS ix0, max(ix) AS ix1 FROM o GROUP BY study_id, iy, k), pp AS (SELECT *, iy - row_number() OVER (PARTITION BY study_id, ix0, ix1 ORDER BY iy) AS pile FROM n)
+ SELECT study_id, ix0::INT AS ix0, ix1::INT AS ix1, min(iy)::INT AS iy0, max(iy)::INT AS iy1 FROM pp GROUP BY study_id, ix0, ix1, pile""")
+def missing(spark, sf):
+    """Parts of each city's 600 m study range that no zone with roads covers yet."""
+    areas = city.zones(spark, sf).filter("total_population > 1500").select("city", "boundary")
+    studies = city.derive(spark, sf, "sites").filter("j = 0").selectExpr(
+        "city", "concat('s', ord) as study_id", "600D as range_m", "named_struct('min_lon', (ox + 30000) / 1e7, 'min_lat', (oy + 30000) / 1e7, 'max_lon', (ox + 50000) / 1e7, 'max_lat', (oy + 50000) / 1e7) as box")
+    return cg.missing_boxes(cg.coverage_samples(studies, areas))
+
+
 _EDGE_PART = EDGES[len(cte("roads")):]
 _ROADS_CTE = cte("roads")[len("WITH "):]
 
