@@ -57,32 +57,58 @@ def ways_to_roads(ways: DataFrame) -> DataFrame:
         f"coalesce({T.tag('name')}, concat(upper(substr(_hw, 1, 1)), substr(_hw, 2), ' Road')) as name")
 
 
+#: Category of a building by (tag, values), in order of precedence; no values
+#: means any. What no row names takes the usage, a school for educational use.
+BUILDING_CATEGORIES = [
+    ("IT", [("office", ["it"]), ("building", ["it"]), ("amenity", ["it"])]),
+    ("school", [("building", ["school"]), ("amenity", ["school"])]),
+    ("college", [("building", ["college", "university"]), ("amenity", ["college", "university"])]),
+    ("hospital", [("building", ["hospital"]), ("amenity", ["hospital"])]),
+    ("hotel", [("building", ["hotel"]), ("tourism", ["hotel"])]),
+    ("office", [("building", ["office"]), ("office", [])]),
+    ("retail", [("building", ["retail"]), ("shop", [])]),
+    ("commercial", [("building", ["commercial"]), ("amenity", ["bank"])]),
+    ("residential", [("building", ["residential", "apartments", "house"])]),
+    ("mixed_use", [("building", ["mixed_use"])]),
+    ("industrial", [("building", ["industrial", "manufactory"])]),
+    ("government", [("building", ["government"]), ("amenity", ["townhall"])]),
+]
+#: Usage by tag values, likewise.
+BUILDING_USAGES = [
+    ("educational", [("amenity", ["school"]), ("building", ["school"])]),
+    ("commercial", [("building", ["commercial", "office"])]),
+    ("industrial", [("building", ["industrial", "manufactory"])]),
+]
+#: People and visitors per head of population by category, else the last entry.
+BUILDING_SHARES = {
+    "employees": ({"office": 0.9, "IT": 0.9, "commercial": 0.5, "retail": 0.5, "school": 0.15, "college": 0.15, "hospital": 0.4}, 0),
+    "students": ({"school": 0.85, "college": 0.85}, 0),
+    "patients": ({"hospital": 0.6}, 0),
+    "visitors_per_day": ({"residential": 0.1, "office": 0.15, "IT": 0.15, "commercial": 2.0, "retail": 2.0, "school": 0.05, "college": 0.05, "hospital": 1.2}, 10),
+}
+#: Storeys of untagged buildings, people and parking per storey, height of a storey, demand per head.
+STOREYS, PER_STOREY, PARKING_PER_STOREY, STOREY_M, WATER, POWER = 3, 12, 2, 3, 135, 5
+
+
+def _first_match(table: list, other: str) -> str:
+    """First name in a table of (name, [(tag, values)]) that a feature's tags fit."""
+    def fits(tag: str, values: list) -> str:
+        return f"tags['{tag}'] in ({', '.join(repr(v) for v in values)})" if values else f"{T.tag(tag)} is not null"
+    return "case " + " ".join(f"when coalesce({' or '.join(fits(t, v) for t, v in rules)}, false) then '{name}'" for name, rules in table) + f" else {other} end"
+
+
 def features_to_buildings(features: DataFrame) -> DataFrame:
     """Use, size, people and demand of every building feature from its tags."""
-    df = pin(features, b="coalesce(tags['building'], '')", am="coalesce(tags['amenity'], '')",
-             _levels=T.leading_int("tags['building:levels']"), _tall=T.leading_number("tags['height']"))
-    df = pin(df, usage="""case when am = 'school' or b = 'school' then 'educational' when b in ('commercial', 'office') then 'commercial'
-        when b in ('industrial', 'manufactory') then 'industrial' else 'residential' end""",
-             floors="case when _levels > 0 then _levels else 3 end")
-    df = pin(df, category=f"""case when tags['office'] = 'it' or b = 'it' or am = 'it' then 'IT' when b = 'school' or am = 'school' then 'school'
-        when b in ('college', 'university') or am in ('college', 'university') then 'college'
-        when b = 'hospital' or am = 'hospital' then 'hospital' when b = 'hotel' or tags['tourism'] = 'hotel' then 'hotel'
-        when b = 'office' or {T.tag('office')} is not null then 'office' when b = 'retail' or {T.tag('shop')} is not null then 'retail'
-        when b = 'commercial' or am = 'bank' then 'commercial' when b in ('residential', 'apartments', 'house') then 'residential'
-        when b = 'mixed_use' then 'mixed_use' when b in ('industrial', 'manufactory') then 'industrial'
-        when b = 'government' or am = 'townhall' then 'government' when usage = 'educational' then 'school' else usage end""",
-             height="case when _tall > 0 then _tall else floors * 3D end", population="floors * 12")
-
-    def share(rules: dict, other: str = "0") -> str:
-        return "case " + " ".join(f"when category in ({', '.join(repr(c) for c in cs)}) then {js_round(f'population * {v}D')}"
-                                  for cs, v in rules.items()) + f" else {other} end"
-    home, work, trade, school, clinic = ("residential",), ("office", "IT"), ("commercial", "retail"), ("school", "college"), ("hospital",)
-    return df.selectExpr(
-        *features.columns, "usage", "category", "floors", "height", "population", "case when category = 'residential' then population else 0 end as residents",
-        f"{share({work: 0.9, trade: 0.5, school: 0.15, clinic: 0.4})} as employees", f"{share({school: 0.85})} as students",
-        f"{share({clinic: 0.6})} as patients",
-        f"{share({home: 0.1, work: 0.15, trade: 2.0, school: 0.05, clinic: 1.2}, '10')} as visitors_per_day",
-        "population * 135 as water_demand", "population * 5 as electricity_demand", "floors * 2 as parking")
+    df = pin(features, _levels=T.leading_int("tags['building:levels']"), _tall=T.leading_number("tags['height']"), usage=_first_match(BUILDING_USAGES, "'residential'"))
+    df = pin(df, category=_first_match(BUILDING_CATEGORIES, "if(usage = 'educational', 'school', usage)"), floors=f"if(_levels > 0, _levels, {STOREYS})")
+    df = pin(df, height=f"if(_tall > 0, _tall, floors * {STOREY_M}D)", population=f"floors * {PER_STOREY}")
+
+    def people(name: str) -> str:
+        shares, other = BUILDING_SHARES[name]
+        pairs = ", ".join(f"'{c}', {v}D" for c, v in shares.items())
+        return f"coalesce({js_round(f'population * map({pairs})[category]')}, {other}) as {name}"
+    return df.selectExpr(*features.columns, "usage", "category", "floors", "height", "population", "if(category = 'residential', population, 0) as residents",
+                         *(people(n) for n in BUILDING_SHARES), f"population * {WATER} as water_demand", f"population * {POWER} as electricity_demand", f"floors * {PARKING_PER_STOREY} as parking")
 
 
 def features_to_metro(features: DataFrame) -> DataFrame:

@@ -68,10 +68,9 @@ def delete_scenario(objects: DataFrame, scenarios: DataFrame, scenario_id: str):
     return (objects.filter(F.col("scenario_id") != scenario_id), scenarios.filter(F.col("id") != scenario_id), removed)
 
 
-def ensure_base_scenario(scenarios: DataFrame) -> DataFrame:
+def ensure_base_scenario(scenarios: DataFrame, name: str = "Base city", description: str = "What every plan builds on", year: int = 2026) -> DataFrame:
     """Adds the base scenario if it is missing; running it again changes nothing."""
-    spark = scenarios.sparkSession
-    base = spark.sql("select 'base' as id, 'Current City (Base)' as name, 'Existing layout of the city infrastructure.' as description, 2026 as year")
+    base = scenarios.sparkSession.createDataFrame([("base", name, description, year)], "id string, name string, description string, year int")
     return scenarios.unionByName(base.join(scenarios, "id", "left_anti").select(*scenarios.columns))
 
 

@@ -61,10 +61,9 @@ def tagged_ways(spark, sf):
 _W = cte("roads") + f""", w0 AS (SELECT ord AS id, {_tag_cols(WAY_TAGS)} FROM roads),
 w1 AS (SELECT *, nullif(lower(trim(highway)), '') AS hw, coalesce(nullif(lower(trim(split_part(motor_vehicle, ';', 1))), ''),
   nullif(lower(trim(split_part(vehicle, ';', 1))), ''), nullif(lower(trim(split_part(access, ';', 1))), '')) AS acc FROM w0),
-w2 AS (SELECT *, CASE WHEN hw IS NULL THEN 'no highway tag' WHEN area = 'yes' THEN concat('highway=', hw, ' mapped as an area')
-  WHEN hw = 'track' THEN CASE WHEN coalesce(acc IN ('yes', 'designated', 'permissive', 'destination'), false) THEN NULL ELSE 'track not tagged open to motor vehicles' END
-  WHEN hw IN ('footway', 'cycleway') THEN concat('highway=', hw, ' is not a vehicle road')
-  WHEN acc = 'no' THEN concat('highway=', hw, ' closed to motor vehicles') END AS reason FROM w1)
+w2 AS (SELECT *, CASE WHEN hw IS NULL THEN 'untagged' WHEN area = 'yes' THEN 'area'
+  WHEN hw = 'track' THEN CASE WHEN coalesce(acc IN ('yes', 'designated', 'permissive', 'destination'), false) THEN NULL ELSE 'closed_track' END
+  WHEN hw IN ('footway', 'cycleway') THEN 'other_way' WHEN acc = 'no' THEN 'no_access' END AS reason FROM w1)
 """
 
 

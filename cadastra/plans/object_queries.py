@@ -155,7 +155,7 @@ _SCEN = """WITH scen AS (SELECT concat('prop', CAST(o_custkey % 4 AS VARCHAR)) A
 
 
 @query("a15_ensure_base_scenario", _SCEN + """SELECT id, name, '' AS description, year FROM scen UNION ALL
-  SELECT 'base', 'Current City (Base)', 'Existing layout of the city infrastructure.', 2026""")
+  SELECT 'base', 'Base city', 'What every plan builds on', 2026""")
 def ensure_base(spark, sf):
     once = tb.ensure_base_scenario(scenario_list(spark, sf))
     return store.scan_scenarios(tb.ensure_base_scenario(once))
@@ -266,7 +266,7 @@ def comparison_effective(spark, sf):
 
 
 @query("f01_scenario_order", _SCEN + """SELECT id, year, row_number() OVER (ORDER BY id <> 'base', year, name, id) AS position
-  FROM (SELECT id, name, year FROM scen UNION ALL SELECT 'base', 'Current City (Base)', 2026)""")
+  FROM (SELECT id, name, year FROM scen UNION ALL SELECT 'base', 'Base city', 2026)""")
 def order(spark, sf):
     return sc.ordered_scenarios(tb.ensure_base_scenario(scenario_list(spark, sf))).selectExpr("id", "year", "bigint(position) as position")
 
