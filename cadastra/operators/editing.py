@@ -93,7 +93,7 @@ def clip_buildings(buildings: DataFrame, areas: DataFrame, *, by: Sequence[str]
     return join_points(b, shapes, TILE_DEG * 4, by=by).filter(in_polygon("lon", "lat", "boundary", "boundary")).drop("boundary", "box", "lon", "lat")
 
 
-def fold_junctions(edges: DataFrame, nodes: DataFrame, join_m: float = 12.0, max_span_m: float = 30.0, rounds: int = 10000) -> DataFrame:
+def fold_junctions(edges: DataFrame, nodes: DataFrame, join_m: float = 12.0, max_span_m: float = 30.0) -> DataFrame:
     """Junction of every node after merging nodes joined by short stretches, shortest first.
 
     A merge is refused when the merged junction would span more than ``max_span_m``.
@@ -104,9 +104,7 @@ def fold_junctions(edges: DataFrame, nodes: DataFrame, join_m: float = 12.0, max
     todo = materialise(edges.filter(f"length < {join_m}").selectExpr("struct(length, ord_key) as o", "src as a", "dst as b"), "short")
     of = materialise(nodes.selectExpr("node", "node as root"), "of")
     boxes = materialise(nodes.selectExpr("node as root", "lat as lat0", "lon as x0", "lat as y0", "lon as x1", "lat as y1"), "spans")
-    for _ in range(rounds):
-        if todo.isEmpty():
-            break
+    while not todo.isEmpty():  # the shortest stretch of all is always settled, so this ends
         first = todo.selectExpr("o", "explode(array(a, b)) as r").groupBy("r").agg(F.min("o").alias("m"))
         ready = todo.join(first.selectExpr("r as a", "m as ma"), "a").join(first.selectExpr("r as b", "m as mb"), "b").filter("o = ma and o = mb")
         ba = boxes.selectExpr("root as a", *[f"{c} as a_{c}" for c in ("lat0", "x0", "y0", "x1", "y1")])

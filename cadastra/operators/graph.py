@@ -36,7 +36,7 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumnsRenamed({"src": "_d", "dst": "src"}).withColumnRenamed("_d", "dst")
 
 
-def shortest(edges: DataFrame, seeds: DataFrame, limit: float | None = None, hops: int = 3, rounds: int = 10000) -> DataFrame:
+def shortest(edges: DataFrame, seeds: DataFrame, limit: float | None = None, hops: int = 3) -> DataFrame:
     """Least cost from each source key ``k`` to every node it reaches.
 
     ``seeds``: ``k``, ``node`` and ``d`` (start cost). Nodes at ``limit`` or beyond are
@@ -49,9 +49,7 @@ def shortest(edges: DataFrame, seeds: DataFrame, limit: float | None = None, hop
         "k", "node", "d", f"cast(null as {edge_type}) as edge_id", f"cast(null as {node_type}) as prev", "true as fresh"), "paths")
     reach = "fresh" if limit is None else f"fresh and d < {float(limit)!r}D"
     within = "true" if limit is None else f"d < {float(limit)!r}D"
-    for _ in range(rounds):
-        if state.filter(reach).isEmpty():
-            break
+    while not state.filter(reach).isEmpty():  # costs are not negative, so improvements end
         wave = state.filter(reach).select("k", "node", "d")
         found = state.drop("fresh").withColumn("old", F.col("d"))
         for _hop in range(hops):
@@ -73,7 +71,7 @@ def route_trees(edges: DataFrame, targets: DataFrame, hops: int = 3) -> DataFram
     return t.selectExpr("k as target", "node", "d as cost", "edge_id as next_edge", "prev as next_node")
 
 
-def paths(trees: DataFrame, pairs: DataFrame, hops: int = 4, rounds: int = 10000) -> DataFrame:
+def paths(trees: DataFrame, pairs: DataFrame, hops: int = 4) -> DataFrame:
     """Edges along the route of every (origin, target) pair: ``edge_id`` with its ``step``.
 
     ``pairs`` carries ``pair``, ``origin`` and ``target``; all routes advance together.
@@ -81,9 +79,7 @@ def paths(trees: DataFrame, pairs: DataFrame, hops: int = 4, rounds: int = 10000
     nxt = trees.filter("next_edge is not null").select("target", F.col("node").alias("at"), "next_edge", "next_node")
     now = materialise(pairs.selectExpr("pair", "target", "origin as at", "0 as step"), "walk")
     parts = []
-    for _ in range(rounds):
-        if now.isEmpty():
-            break
+    while not now.isEmpty():  # next edges lead strictly nearer to the target, so routes end
         rows, here = [], now
         for _hop in range(hops):
             moved = here.join(nxt, ["target", "at"]).selectExpr("pair", "target", "at", "step", "next_edge as edge_id", "next_node")
@@ -105,23 +101,35 @@ def paths(trees: DataFrame, pairs: DataFrame, hops: int = 4, rounds: int = 10000
     return out
 
 
-def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """Smallest node id of the component of every node, directions ignored.
+def star_components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataFrame:
+    """(node, root) for every node of an edge; ``root`` is its component's smallest node.
 
-    Each round takes the least label among neighbours and then the label's own
-    label, which shortens long chains fast.
+    Alternating large and small stars: every round ties a node's larger neighbours to its
+    smallest one, then a node and its smaller neighbours to the smallest of them. A node's
+    neighbourhood is only ever reduced to its minimum, by a partial aggregation, and links
+    become stars without a common intermediate, so neither a hub nor the root of a giant
+    component gathers rows in one task. Edges may repeat, point either way or join a node to
+    itself. Rounds go on until every node hangs on one root.
     """
-    sym = materialise(edges.select("src", "dst").unionByName(edges.selectExpr("dst as src", "src as dst")).distinct(), "links")
-    label = materialise(sym.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("label")), "labels")
-    for _ in range(rounds):
-        near = sym.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("m"))
-        low = label.join(near, "node").selectExpr("node", "label as was", "least(label, m) as low")
-        jump = low.join(label.selectExpr("node as low", "label as lower"), "low").selectExpr("node", "was", "least(low, lower) as label")
-        new = materialise(jump, "labels")
-        forget(label)
-        label = new.select("node", "label")
-        label._cadastra_path = new._cadastra_path
-        if new.filter("label <> was").isEmpty():
-            break
-    forget(sym)
-    return label.selectExpr("node", "label as component")
+    nodes = edges.select(F.col(left).alias("node")).unionByName(edges.select(F.col(right).alias("node"))).filter("node is not null").distinct()
+    now = materialise(edges.select(F.greatest(left, right).alias("v"), F.least(left, right).alias("u"), F.expr(f"{left} is not null and {right} is not null").alias("ok"))
+                      .filter("ok and u <> v").select("v", "u").distinct(), "links")
+    while True:
+        both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
+        large = materialise(both.filter("u > v").join(least, "v").selectExpr("u as v", "m as u").filter("u <> v").distinct(), "links")
+        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(low, "v").filter("u <> m").selectExpr("u as v", "m as u")
+        after = materialise(small.unionByName(low.selectExpr("v", "m as u")).distinct(), "links")
+        ends = after.selectExpr("v as n", "1 as child", "0 as parent").unionByName(after.selectExpr("u as n", "0 as child", "1 as parent"))
+        done = ends.groupBy("n").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).filter("c > 1 or (c > 0 and p > 0)").isEmpty()
+        forget(now)
+        forget(large)
+        now = after
+        if done:
+            return nodes.join(now.selectExpr("v as node", "u as root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """Smallest node id of the component of every node, directions ignored."""
+    return star_components(edges).withColumnRenamed("root", "component")

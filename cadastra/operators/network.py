@@ -153,13 +153,14 @@ def node_name(lon: str, lat: str, z: str) -> str:
     return f"concat('node_', {part(lon, 5)}, '_', {part(lat, 5)}, '_', {part(z, 1)})"
 
 
-def cluster_nodes(ends: DataFrame, rounds: int = 64) -> DataFrame:
+def cluster_nodes(ends: DataFrame) -> DataFrame:
     """Node of every road end: the earliest node within tolerance and level.
 
-    ``ends``: city, lon, lat, z, osm and ``first`` (creation order). A point becomes
-    a node unless an earlier node takes it. Points without neighbours are done at
-    once; the rest are decided in rounds, each settling every point whose earlier
-    neighbours are settled, which gives exactly the one-by-one result.
+    ``ends``: city, lon, lat, z, osm and ``first`` (creation order, of any type that sorts).
+    A point becomes a node unless an earlier node takes it. Points without neighbours are
+    done at once; the rest are decided in rounds, each settling every point whose earlier
+    neighbours are settled, which gives exactly the one-by-one result. The earliest open
+    point can always be settled, so the rounds end; each works on what is still open only.
     Returns the distinct points with ``node_first`` (their node's order) and node id.
     """
     pts = materialise(ends.groupBy("city", "lon", "lat", "z", "osm").agg(F.min("first").alias("first")), "ends")
@@ -171,21 +172,22 @@ def cluster_nodes(ends: DataFrame, rounds: int = 64) -> DataFrame:
         f"later > earlier and {G.degrees_apart('lon', 'lat', 'elon', 'elat')} < {TOL!r}D and abs(z - ez) < {LEVEL}D"
         f" and not (osm and eosm and ({G.e7('lon')} <> {G.e7('elon')} or {G.e7('lat')} <> {G.e7('elat')}))")
     near = materialise(near.select("city", "later", "earlier"), "near")
-    # 1: a node, 0: taken by an earlier node, null: open.
-    state = materialise(near.select("city", F.col("later").alias("id")).distinct().withColumn("is_node", F.lit(None).cast("int")), "open")
-    for _ in range(rounds):
-        if state.filter("is_node is null").isEmpty():
-            break
-        # Anything not in the table has no earlier neighbour and so is a node.
-        seen = near.join(
-            state.selectExpr("city", "id as earlier", "is_node", "true as listed"), ["city", "earlier"], "left").selectExpr(
-            "city", "later as id", "case when listed is null then 1 else is_node end as n")
-        verdict = seen.groupBy("city", "id").agg(F.max("n").alias("any_node"), F.expr("count(*) - count(n)").alias("open"))
-        decided = verdict.selectExpr("city", "id", "case when any_node = 1 then 0 when open = 0 then 1 end as now")
-        new = materialise(state.join(decided, ["city", "id"]).selectExpr("city", "id", "coalesce(is_node, now) as is_node"), "open")
-        forget(state)
-        state = new
-    taken = state.filter("is_node = 0").select("city", F.col("id").alias("later"))
+    # Verdicts, 1: a node, 0: taken by an earlier node. A point without earlier neighbours is a node.
+    listed = near.select("city", F.col("later").alias("earlier")).distinct().withColumn("listed", F.lit(True))
+    todo = materialise(near.join(listed, ["city", "earlier"], "left").selectExpr("city", "later", "earlier", "case when listed is null then 1 end as e"), "open")
+    settled = None
+    while not todo.isEmpty():
+        verdict = todo.groupBy("city", "later").agg(F.max("e").alias("any_node"), F.expr("count(*) - count(e)").alias("open"))
+        now = materialise(verdict.selectExpr("city", "later", "case when any_node = 1 then 0 when open = 0 then 1 end as is_node").filter("is_node is not null"), "settled")
+        if now.isEmpty():
+            raise RuntimeError("no road end could be settled")
+        left = todo.join(now, ["city", "later"], "left_anti").join(now.selectExpr("city", "later as earlier", "is_node"), ["city", "earlier"], "left").selectExpr(
+            "city", "later", "earlier", "coalesce(e, is_node) as e")
+        after = materialise(left, "open")
+        forget(todo)
+        todo = after
+        settled = now if settled is None else settled.unionByName(now)
+    taken = (near.selectExpr("city", "later", "0 as is_node").limit(0) if settled is None else settled).filter("is_node = 0").select("city", "later")
     owner = near.join(taken, ["city", "later"], "left_semi").join(taken.withColumnRenamed("later", "earlier"), ["city", "earlier"], "left_anti").groupBy(
         "city", "later").agg(F.min("earlier").alias("node_first"))
     placed = pts.join(owner.withColumnRenamed("later", "first"), ["city", "first"], "left").withColumn(
@@ -203,9 +205,9 @@ def build_network(roads: DataFrame) -> Network:
     """
     meets = materialise(meetings(segment_pairs(roads)), "meetings")
     pieces = materialise(cut_roads(roads, split_points(roads, meets)), "pieces")
-    order = "ord * 1000000L + idx * 2L"
-    ends = pieces.selectExpr("city", "osm", f"inline(array(named_struct('p', element_at(coordinates, 1), 'first', {order}),"
-                             f" named_struct('p', element_at(coordinates, -1), 'first', {order} + 1L)))").selectExpr(
+    order = "named_struct('ord', ord, 'idx', idx, 'end', {})"  # creation order of any number of pieces
+    ends = pieces.selectExpr("city", "osm", f"inline(array(named_struct('p', element_at(coordinates, 1), 'first', {order.format(0)}),"
+                             f" named_struct('p', element_at(coordinates, -1), 'first', {order.format(1)})))").selectExpr(
         "city", "osm", "p.lon", "p.lat", "p.z", "first")
     placed = materialise(cluster_nodes(ends), "placed")
     nodes = placed.groupBy("city", "node_id").agg(F.min(F.struct("node_first", "nlon", "nlat", "nz")).alias("m")).selectExpr(

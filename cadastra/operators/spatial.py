@@ -74,17 +74,19 @@ def vertices(lines: DataFrame, keep: Sequence[str], line: str = "coordinates") -
 
 
 def nearest_global(points: DataFrame, shapes: DataFrame, rank: str, *, point_key: Sequence[str], box: str = "box",
-                   by: Sequence[str] = ("city",), first_size: float = 0.002, rounds: int = 16, degrees: bool = False) -> DataFrame:
+                   by: Sequence[str] = ("city",), first_size: float = 0.002, degrees: bool = False) -> DataFrame:
     """Nearest shape at any distance, without a cross join.
 
     ``rank`` is a struct expression that begins with the distance ``d`` in metres, or
     in raw degrees with ``degrees``.
     Tiles start small and double. A point is settled once its best shape is nearer
     than the padding searched, since nothing outside can beat it; only unsettled
-    points go on to the next, wider round. Adds the winning struct as ``best``.
+    points go on to the next, wider round. Points of groups without shapes have no row. Adds
+    the winning struct as ``best``.
     """
-    size, todo, done, cached = first_size, points, None, None
-    for _ in range(rounds):
+    size, done, cached = first_size, None, None
+    todo = points.join(shapes.select(*by).distinct(), list(by), "left_semi")
+    while True:
         best = join_points(todo, shapes, size, box=box, by=by, pad=size).groupBy(*point_key).agg(
             F.expr(f"min({rank})").alias("best"), F.expr("max(cos(radians(lat)))").alias("shrink"))
         found = materialise(best.filter(f"best.d <= {size!r}D" if degrees else f"best.d <= {size * SAFE_METRES_PER_DEG!r}D * shrink").drop("shrink"), "nearest")
@@ -95,6 +97,3 @@ def nearest_global(points: DataFrame, shapes: DataFrame, rank: str, *, point_key
         if rest.isEmpty():
             return points.join(done, list(point_key))
         size *= 2
-    # Wider than any city: compare what is left with every shape of its own group.
-    last = todo.join(shapes, list(by)).groupBy(*point_key).agg(F.expr(f"min({rank})").alias("best"))
-    return points.join(done.unionByName(last), list(point_key))

@@ -16,21 +16,27 @@ from ..streaming import streams as sm
 from .registry import query
 
 # A closing row far in the future moves the watermark past every real window.
-_CLOSE = "timestamp'2030-01-01 00:00:00'"
+_CLOSE = "timestamp'2100-01-01 00:00:00'"
 
 
-def _stream(spark, df, order: str = "ts"):
-    """``df`` as a stream of files; a last file closes all windows."""
+def _stream(spark, df, order: str = "ts", files: int = 64):
+    """``df`` as a stream of files, ``files`` per batch, and how late its rows can be.
+
+    Files are read in no order of time, so a row can be as late as the whole input is long;
+    a last file closes all windows. A real source's lateness would be its own.
+    """
     path = scratch_path(spark, "stream-in")
     df.write.parquet(f"{path}/part=0")
-    tail = df.limit(1).withColumn(order, F.expr(_CLOSE))
+    written = spark.read.schema(df.schema).parquet(f"{path}/part=0")
+    seconds = written.agg(F.expr(f"coalesce(timestampdiff(second, min({order}), max({order})), 0) + 1")).first()[0]
+    tail = written.limit(1).withColumn(order, F.expr(_CLOSE))
     for c, t in df.dtypes:
         if c in ("vehicle_id", "change_id"):
             tail = tail.withColumn(c, F.lit(-1).cast(t))
         elif c in ("road_id", "segment_key", "object_id"):
             tail = tail.withColumn(c, F.lit("closing"))
     tail.write.parquet(f"{path}/part=1")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 64).parquet(f"{path}/part=*")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part=*"), f"{seconds} seconds"
 
 
 def _finish(spark, out, mode: str = "append"):
@@ -49,14 +55,16 @@ def observations(spark, sf):
 @query("s01_stream_road_occupancy", cte("observations") + """, o AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, road_id, count(DISTINCT vehicle_id) AS vehicles, max(lanes) AS lanes FROM observations GROUP BY ALL)
  SELECT window_start, road_id, vehicles, CASE WHEN vehicles / (lanes * 1.5::DOUBLE) > 0.8::DOUBLE THEN 'Severe' WHEN vehicles / (lanes * 1.5::DOUBLE) > 0.4::DOUBLE THEN 'Heavy' WHEN vehicles / (lanes * 1.5::DOUBLE) > 0.1::DOUBLE THEN 'Moderate' ELSE 'Free Flow' END AS state FROM o""")
 def occupancy(spark, sf):
-    out = sm.stream_road_occupancy(_stream(spark, observations(spark, sf)), "1 hour", "10 minutes")
+    rows, late = _stream(spark, observations(spark, sf))
+    out = sm.stream_road_occupancy(rows, "1 hour", late)
     return _finish(spark, out).filter("road_id <> 'closing'")
 
 
 @query("s02_stream_segment_speed", cte("observations") + f""", w AS (SELECT *, unnest([time_bucket(INTERVAL 3 HOUR, ts), time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR]) AS window_start FROM observations)
  SELECT window_start, segment_key, {sql_fixed('avg(least(1, speed_mps / (limit_kmh / 3.6::DOUBLE)))', 8)} AS speed_share, count(*) AS n FROM w GROUP BY ALL""")
 def segment_speed(spark, sf):
-    out = sm.stream_segment_speed(_stream(spark, observations(spark, sf)), "6 hours", "3 hours", "10 minutes")
+    rows, late = _stream(spark, observations(spark, sf))
+    out = sm.stream_segment_speed(rows, "6 hours", "3 hours", late)
     return _finish(spark, out).filter("segment_key <> 'closing'").withColumn("speed_share", F.expr(fixed("speed_share", 8)))
 
 
@@ -68,7 +76,8 @@ _TRIPS = """, o AS (SELECT vehicle_id, ts, ord, speed_mps, CASE WHEN ts - lag(ts
 
 @query("s03_stream_trip_completion", cte("observations") + _TRIPS + """ SELECT t.vehicle_id, CAST(floor(epoch(min(t.ts))) AS BIGINT) AS depart_s, count(*) > 0 AS done, CAST(coalesce(max(n.stops), 0) AS BIGINT) AS stops FROM t LEFT JOIN n USING (vehicle_id, trip) GROUP BY t.vehicle_id, t.trip""")
 def trip_completion(spark, sf):
-    out = sm.stream_trip_completion(_stream(spark, observations(spark, sf)), gap_s=6 * 3600.0)
+    rows, late = _stream(spark, observations(spark, sf))
+    out = sm.stream_trip_completion(rows, gap_s=6 * 3600.0, late=late)
     return _finish(spark, out).filter("vehicle_id >= 0").selectExpr("vehicle_id", "unix_timestamp(depart_ts) as depart_s", "arrive_ts is not null as done", "stops")
 
 
@@ -77,7 +86,8 @@ def trip_completion(spark, sf):
  h AS (SELECT *, sum(fresh) OVER (PARTITION BY object_id, field ORDER BY ts, ord) AS grp FROM g) SELECT object_id, field, min(ts) AS started, count(*) AS edits FROM h GROUP BY object_id, field, grp""")
 def edit_sessions(spark, sf):
     e = city.table(spark, sf, "events").selectExpr("event_type as object_id", "concat('f', user_id % 7) as field", "ts", "value as after", "value - 1 as before")
-    out = sm.stream_edit_sessions(_stream(spark, e), "20 minutes", "10 minutes")
+    rows, late = _stream(spark, e)
+    out = sm.stream_edit_sessions(rows, "20 minutes", late)
     return _finish(spark, out).filter("object_id <> 'closing'").select("object_id", "field", "started", "edits")
 
 
@@ -93,4 +103,4 @@ def apply_changes(spark, sf):
     changes.unionByName(changes).write.parquet(path)
     with stream_partitions(spark):
         sm.stream_apply_changes(spark.readStream.schema(changes.schema).parquet(path), table, state).awaitTermination()
-    return spark.read.parquet(f"{table}/v1").select("id", "updated_at")
+    return spark.read.parquet(f"{table}/v{sm.newest_version(spark, table)}").select("id", "updated_at")

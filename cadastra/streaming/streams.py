@@ -7,20 +7,14 @@ unless it starts a query.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType, TimestampType
 
 from ..operators.observe import MOVING_ABOVE, STOP_BELOW, congestion_state
-from ..operators.tables import upsert
+from ..operators.tables import newest, upsert
 
 # Fixed value: a vehicle standing longer than this counts as stuck.
 STUCK_SECONDS = 180
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_road_occupancy(observations: DataFrame, window: str = "1 minute", late: str = "2 minutes") -> DataFrame:
@@ -50,97 +44,53 @@ def stream_edit_sessions(edits: DataFrame, gap: str = "1 second", late: str = "1
         "object_id", "field", "session_window.start as started", "before", "after", "edits")
 
 
-TRIP_SCHEMA = StructType([
-    StructField("vehicle_id", LongType()), StructField("depart_ts", TimestampType()), StructField("arrive_ts", TimestampType()),
-    StructField("travel_s", DoubleType()), StructField("stops", LongType()), StructField("stuck", BooleanType())])
-_STATE = StructType([
-    StructField("first", DoubleType()), StructField("last", DoubleType()), StructField("stops", LongType()),
-    StructField("moving", BooleanType()), StructField("still_since", DoubleType()), StructField("stuck", BooleanType())])
-
-
-class TripTracker(StatefulProcessor):
-    """One vehicle's trip: start, stops and end; a trip ends when nothing came for ``gap_s``."""
-
-    def __init__(self, gap_s: float = 600.0):
-        self.gap_s = gap_s
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.trip = handle.getValueState("trip", _STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("ts")
-        finished = []
-        state = list(self.trip.get()) if self.trip.exists() else None
-        for at, speed in zip(batch["ts"].astype("int64") / 1e9 if batch["ts"].dtype.kind == "M" else batch["ts"].map(pd.Timestamp.timestamp), batch["speed_mps"]):
-            if state is not None and at - state[1] >= self.gap_s:
-                finished.append(self._row(key, state))
-                state = None
-            if state is None:
-                state = [at, at, 0, False, None, False]
-            state[1] = max(state[1], at)
-            if speed < STOP_BELOW:
-                if state[3]:
-                    state[2] += 1
-                    state[3] = False
-                state[4] = at if state[4] is None else state[4]
-                state[5] = state[5] or at - state[4] > STUCK_SECONDS
-            else:
-                state[4] = None
-                state[3] = state[3] or speed > MOVING_ABOVE
-        self.trip.update(tuple(state))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(int((state[1] + self.gap_s) * 1000))
-        yield self._frame(finished)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = []
-        if self.trip.exists():
-            rows.append(self._row(key, list(self.trip.get())))
-            self.trip.clear()
-        yield self._frame(rows)
-
-    @staticmethod
-    def _row(key, s) -> tuple:
-        return (int(key[0]), round(s[0] * 1e6), round(s[1] * 1e6), float(s[1] - s[0]), int(s[2]), bool(s[5]))
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=TRIP_SCHEMA.names)
-        for c in ("depart_ts", "arrive_ts"):
-            out[c] = out[c].astype("int64").astype("datetime64[us]")
-        return out
-
-    def close(self) -> None:
-        pass
+def trip_figures(trace: str = "trace") -> str:
+    """Stops and whether the vehicle got stuck, from a trip's (ts, speed_mps) in time order, as SQL text.
+
+    A stop is falling below 0.3 m/s after having exceeded 2 m/s; a vehicle is stuck when it
+    stays below 0.3 m/s for longer than the limit.
+    """
+    start = "named_struct('stops', 0L, 'moving', false, 'still', cast(null as timestamp), 'stuck', false)"
+    slow = f"x.speed_mps < {STOP_BELOW}D"
+    step = (f"named_struct('stops', s.stops + if({slow} and s.moving, 1, 0), 'moving', coalesce(if({slow}, false, s.moving or x.speed_mps > {MOVING_ABOVE}D), s.moving),"
+            f" 'still', if({slow}, coalesce(s.still, x.ts), null), 'stuck', s.stuck or coalesce({slow} and timestampdiff(second, s.still, x.ts) > {STUCK_SECONDS}, false))")
+    return f"aggregate({trace}, {start}, (s, x) -> {step})"
 
 
 def stream_trip_completion(observations: DataFrame, gap_s: float = 600.0, late: str = "5 minutes") -> DataFrame:
-    """Finished trips per vehicle, kept as a small state row with an event-time timer.
+    """Finished trips per vehicle: start, end, stops. A trip ends when nothing came for ``gap_s``.
 
-    Named state and timers need the RocksDB state store, so the session is set to it.
+    A trip is a session window. Its observations are put in order of time when it closes,
+    so they may arrive in any order within ``late``.
     """
-    observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return observations.select("vehicle_id", "ts", "speed_mps").withWatermark("ts", late).groupBy("vehicle_id").transformWithStateInPandas(
-        statefulProcessor=TripTracker(gap_s), outputStructType=TRIP_SCHEMA, outputMode="Append", timeMode="EventTime")
+    trips = observations.select("vehicle_id", "ts", "speed_mps").withWatermark("ts", late).groupBy("vehicle_id", F.session_window("ts", f"{int(gap_s)} seconds")).agg(
+        F.min("ts").alias("depart_ts"), F.max("ts").alias("arrive_ts"), F.array_sort(F.collect_list(F.struct("ts", "speed_mps"))).alias("trace"))
+    return trips.selectExpr("vehicle_id", "depart_ts", "arrive_ts", f"{trip_figures()} as f", "timestampdiff(microsecond, depart_ts, arrive_ts) / 1e6D as travel_s").selectExpr(
+        "vehicle_id", "depart_ts", "arrive_ts", "travel_s", "f.stops as stops", "f.stuck as stuck")
 
 
-def stream_apply_changes(changes: DataFrame, table_path: str, checkpoint: str, late: str = "1 hour"):
-    """Upsert a change stream into the object table at ``table_path``; each change once.
+def newest_version(spark: SparkSession, table_path: str) -> int:
+    """Number of the newest version below ``table_path``."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(table_path)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return max(int(f.getPath().getName()[1:]) for f in found if f.getPath().getName()[1:].isdigit())
 
-    The table is a folder of versions: a batch reads the newest and writes the next,
-    named by batch number, so repeating a batch after a failure gives the same result.
-    """
-    once = changes.withWatermark("updated_at", late).dropDuplicatesWithinWatermark(["change_id"])
 
+def stream_apply_changes(changes: DataFrame, table_path: str, checkpoint: str):
+    """Upsert a change stream into the object table at ``table_path``; the newest change of a row wins.
+
+    The table is a folder of versions: batch n reads version n and writes n + 1, so
+    repeating a batch after a failure gives the same result. A change counts only if it is
+    not older than the row it meets, so repeated and late changes in any batch do no harm.
+    """
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         try:
             table = spark.read.parquet(f"{table_path}/v{number}")
         except Exception as missing:  # the folder was never seeded
             raise ValueError(f"no table version v{number} below {table_path}") from missing
-        upsert(table, batch.drop("change_id"), ["id"], ["updated_at"]).write.mode("overwrite").parquet(f"{table_path}/v{number + 1}")
-    return once.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
+        last = newest(batch.drop("change_id"), ["id"], ["updated_at"])
+        fresh = last.join(table.select("id", F.col("updated_at").alias("_have")), "id", "left").filter("_have is null or updated_at >= _have").select(*last.columns)
+        upsert(table, fresh, ["id"], ["updated_at"]).write.mode("overwrite").parquet(f"{table_path}/v{number + 1}")
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -281,24 +281,33 @@ def test_office_trip_events(spark):
     assert got == {("destination", "AM_Peak"): pytest.approx(105.0), ("origin", "PM_Peak"): pytest.approx(120.0)}
 
 
-def test_stuck_vehicle_is_flagged():
-    from cadastra.streaming.streams import TripTracker
-
-    class Value:
-        v = None
-        exists = lambda self: self.v is not None
-        get = lambda self: self.v
-        clear = lambda self: setattr(self, "v", None)
-        update = lambda self, v: setattr(self, "v", v)
-
-    class Handle:
-        listTimers = lambda self: []
-        registerTimer = lambda self, t: None
-        deleteTimer = lambda self, t: None
-    t = TripTracker(600)
-    t.handle, t.trip = Handle(), Value()
-    at = pd.Timestamp("2024-01-01")
-    rows = pd.DataFrame({"ts": [at + pd.Timedelta(seconds=s) for s in (0, 10, 20, 260)], "speed_mps": [9.0, 9.0, 0.1, 0.0]})
-    assert len(next(t.handleInputRows((7,), iter([rows]), None))) == 0
-    done = next(t.handleExpiredTimer((7,), None, None))
-    assert done[["vehicle_id", "travel_s", "stops", "stuck"]].values.tolist() == [[7, 260.0, 1, True]]
+def test_stuck_vehicle_is_flagged(spark):
+    from cadastra.streaming.streams import trip_figures
+
+    for speeds, want in (((9.0, 9.0, 0.1, 0.0), (1, True)), ((9.0, 0.1, 9.0, 0.2), (2, False)), ((1.0, 0.1, 1.0, 1.0), (0, False))):
+        at = ", ".join(f"named_struct('ts', timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, {s}), 'speed_mps', {v}D)" for s, v in zip((0, 10, 20, 260), speeds))
+        got = spark.sql(f"select {trip_figures('array(' + at + ')')} as f").first()["f"]
+        assert (got["stops"], got["stuck"]) == want
+
+
+def test_long_chain_of_road_ends(spark):
+    rows = [(0, round(LON + i * 4e-5, 7), LAT, 0.0, False, i) for i in range(80)]
+    got = nw.cluster_nodes(spark.createDataFrame(rows, "city bigint, lon double, lat double, z double, osm boolean, first bigint")).collect()
+    nodes = []
+    for row in rows:
+        if not any(abs(row[1] - n) < G.JOIN_TOLERANCE_DEG for n in nodes):
+            nodes.append(row[1])
+    assert len({r["node_id"] for r in got}) == len(nodes)
+
+
+@pytest.mark.parametrize("files", [1, 20])
+def test_stream_loses_no_row_with_many_files(spark, files):
+    from cadastra.plans import stream_queries as sq
+    from cadastra.streaming import streams as sm
+
+    rows = spark.range(400).selectExpr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 7 * id, 0) as ts", "id % 9 as vehicle_id", "concat('r', id % 3) as road_id", "2L as lanes")
+    stream, late = sq._stream(spark, rows.repartition(40, "ts"), files=files * 2)
+    out = sq._finish(spark, sm.stream_road_occupancy(stream, "1 hour", late)).filter("road_id <> 'closing'")
+    want = rows.groupBy(F.window("ts", "1 hour").start.alias("window_start"), "road_id").agg(F.countDistinct("vehicle_id").alias("vehicles"))
+    assert sorted(map(tuple, out.select("window_start", "road_id", "vehicles").collect())) == sorted(map(tuple, want.collect()))
+
