@@ -95,12 +95,12 @@ def route_paths(spark, sf):
     return walked.selectExpr("pair.target as target", "pair.origin as origin", f"{fixed('cost', 5)} as cost")
 
 
-@query("g07_connected_components", _rec(EDGES) + """, used AS (SELECT * FROM edges WHERE road_class IN ('highway', 'arterial')), sym AS (SELECT src, dst, 0.0::DOUBLE AS w FROM used UNION SELECT dst, src, 0.0::DOUBLE FROM used),
+@query("g07_connected_components", _rec(EDGES) + """, sym AS (SELECT src, dst, 0.0::DOUBLE AS w FROM edges UNION SELECT dst, src, 0.0::DOUBLE FROM edges),
  cc(node, c) USING KEY (node) AS (SELECT src AS node, src AS c FROM (SELECT DISTINCT src FROM sym) UNION SELECT e.dst, min(s.c) FROM cc s JOIN sym e ON e.src = s.node JOIN recurring.cc r ON r.node = e.dst WHERE s.c < r.c GROUP BY e.dst)
  SELECT node, c AS component FROM cc""")
 def components(spark, sf):
-    """Pieces the main road network consists of."""
-    return gr.connected_components(grid_edges(spark, sf).filter("road_class in ('highway', 'arterial')"))
+    """Pieces the road network consists of."""
+    return gr.connected_components(grid_edges(spark, sf))
 
 
 _STUDY = f""", seed AS (SELECT city, road_id FROM roads WHERE j = 90), es AS (SELECT e.*, s.road_id IS NOT NULL AS seed FROM edges e LEFT JOIN seed s USING (city, road_id)),

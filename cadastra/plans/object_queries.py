@@ -144,14 +144,14 @@ def delete_in_area(spark, sf):
 
 
 def scenario_list(spark, sf):
-    return city.table(spark, sf, "orders").filter("o_orderstatus = 'P'").groupBy(
-        F.expr("concat('prop', o_custkey % 4)").alias("id")).agg(
+    return city.table(spark, sf, "orders").groupBy(
+        F.expr("concat('prop', o_custkey div 50)").alias("id")).agg(
         F.expr("min(concat(' Plan ', o_orderpriority))").alias("name"), F.expr("cast(null as string)").alias("description"),
         F.expr("int(max(year(o_orderdate)))").alias("year"))
 
 
-_SCEN = """WITH scen AS (SELECT concat('prop', CAST(o_custkey % 4 AS VARCHAR)) AS id, min(concat(' Plan ', o_orderpriority)) AS name,
-  CAST(max(year(o_orderdate)) AS INT) AS year FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)"""
+_SCEN = """WITH scen AS (SELECT concat('prop', CAST(o_custkey // 50 AS VARCHAR)) AS id, min(concat(' Plan ', o_orderpriority)) AS name,
+  CAST(max(year(o_orderdate)) AS INT) AS year FROM orders GROUP BY 1)"""
 
 
 @query("a15_ensure_base_scenario", _SCEN + """SELECT id, name, '' AS description, year FROM scen UNION ALL
@@ -228,11 +228,10 @@ def not_overridden(spark, sf):
     return sc.scenario_view(typed_objects(spark, sf), "prop1").filter("scenario_id = 'base'").select("id", "type")
 
 
-@query("u02_clone_scenario", _OBJ + """SELECT id, scenario_id, population FROM objs WHERE scenario_id IN ('prop1', 'prop2') UNION ALL
+@query("u02_clone_scenario", _OBJ + """SELECT id, scenario_id, population FROM objs UNION ALL
   SELECT concat(split_part(id, '__', 1), '__alt'), 'alt', population FROM objs WHERE scenario_id = 'prop1'""")
 def clone(spark, sf):
-    df = sc.clone_scenario(typed_objects(spark, sf), "prop1", "alt")
-    return df.filter("scenario_id in ('prop1', 'prop2', 'alt')").select("id", "scenario_id", "population")
+    return sc.clone_scenario(typed_objects(spark, sf), "prop1", "alt").select("id", "scenario_id", "population")
 
 
 _LEN = sql_hav("xa / 1e7", "ya / 1e7", "xb / 1e7", "yb / 1e7")

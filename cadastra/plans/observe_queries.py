@@ -43,11 +43,10 @@ def road_congestion(spark, sf):
     return congestion(spark, sf).selectExpr("road_id", "peak", f"{fixed('factor', 4)} as factor", "level", "speed")
 
 
-@query("d18_traffic_summary", _O + _PEAK + f"""SELECT roads, s AS average_speed, {sql_fixed('least(2.5::DOUBLE, 1 + (1 - s / 50))', 4)} AS travel_time_index, pct_A, pct_F FROM (
-  SELECT count(*) AS roads, CAST(floor(avg(speed) + 0.5) AS BIGINT) AS s, floor(count(*) FILTER (level = 'A') / count(*) * 1000 + 0.5) / 10 AS pct_A,
-  floor(count(*) FILTER (level = 'F') / count(*) * 1000 + 0.5) / 10 AS pct_F FROM cong)""")
+@query("d18_traffic_summary", _O + _PEAK + f"""SELECT roads, s AS average_speed, {sql_fixed('least(2.5::DOUBLE, 1 + (1 - s / 50))', 4)} AS travel_time_index, pct_A, pct_B, pct_C, pct_D, pct_E, pct_F FROM (
+  SELECT count(*) AS roads, CAST(floor(avg(speed) + 0.5) AS BIGINT) AS s, {", ".join(f"floor(count(*) FILTER (level = '{v}') / count(*) * 1000 + 0.5) / 10 AS pct_{v}" for v in "ABCDEF")} FROM cong)""")
 def summary(spark, sf):
-    return ob.traffic_summary(congestion(spark, sf)).selectExpr("roads", "average_speed", f"{fixed('travel_time_index', 4)} as travel_time_index", "pct_A", "pct_F")
+    return ob.traffic_summary(congestion(spark, sf)).selectExpr("roads", "average_speed", f"{fixed('travel_time_index', 4)} as travel_time_index", *(f"pct_{v}" for v in "ABCDEF"))
 
 
 @query("d19_congestion_state", _O + _PEAK + """SELECT CASE WHEN factor > 0.8::DOUBLE THEN 'Severe' WHEN factor > 0.4::DOUBLE THEN 'Heavy' WHEN factor > 0.1::DOUBLE THEN 'Moderate' ELSE 'Free Flow' END AS state,

@@ -121,9 +121,9 @@ _DERIVED: dict[str, tuple[str, list[list[str]], list[str]]] = {
          f"{vertex_y('city', '5 + s_nationkey % 4', '3 + 4 * (j - 8)')} AS yb",
          "CAST(5 + s_nationkey % 5 AS DOUBLE) AS elevation", "2 + 2 * (s_nationkey % 3) AS lane_count"],
     ], []),
-    "proposals": ("orders WHERE o_orderstatus = 'P'", [
+    "proposals": ("orders", [
         ["o_orderkey AS ord", f"{_idiv('o_custkey', 150)} AS city", "o_custkey",
-         "concat('prop', CAST(o_custkey % 4 AS VARCHAR(2))) AS scenario_id",
+         f"concat('prop', CAST({_idiv('o_custkey', 50)} AS VARCHAR(20))) AS scenario_id", "o_orderstatus AS status",
          "o_orderkey % 2 = 0 AS overrides", "o_totalprice", "o_orderpriority", "o_orderdate AS updated_at",
          "CASE o_orderkey % 5 WHEN 0 THEN 'building' WHEN 1 THEN 'road' WHEN 2 THEN 'building'"
          " WHEN 3 THEN 'metro_line' ELSE 'metro_station' END AS new_type"],
