@@ -101,19 +101,32 @@ def demand_ends(events: DataFrame, residuals: DataFrame, gateways: DataFrame) ->
     return out.filter("volume > 0")
 
 
-def _gravity_sides(ends: DataFrame, keys: list[str], salts: int, metric=haversine):
-    """Salted origins, replicated destinations, the pair weight and the self-pair test."""
+#: Origins of one group that a task takes.
+ORIGINS_PER_TASK = 2000
+
+
+def _gravity_sides(ends: DataFrame, keys: list[str], salts: int | None, metric=haversine):
+    """Salted origins, replicated destinations, the pair weight and the self-pair test.
+
+    Unless ``salts`` is given, a group is spread by its number of origins, so that a city that
+    grows with the table gets more tasks.
+    """
+    if salts is None:
+        spread = ends.filter("role = 'origin'").groupBy(*keys).agg(F.expr(f"cast(ceil(count(1) / {ORIGINS_PER_TASK}) as bigint)").alias("salts"))
+        ends = ends.join(spread, keys)
+    else:
+        ends = ends.withColumn("salts", F.lit(salts).cast("bigint"))
     o = ends.filter("role = 'origin'").selectExpr(
         *keys, "id as origin_id", "type as origin_type", "lon as o_lon", "lat as o_lat", "volume", "split",
-        f"pmod(xxhash64(id), {salts}L) as salt")
+        "pmod(xxhash64(id), salts) as salt")
     d = ends.filter("role = 'destination'").selectExpr(
         *keys, "id as destination_id", "type as destination_type", "lon as d_lon", "lat as d_lat",
-        "volume as attraction", f"explode(sequence(0L, {salts - 1}L)) as salt")
+        "volume as attraction", "explode(sequence(0L, salts - 1L)) as salt")
     metres = f"greatest(100D, {metric('o_lon', 'o_lat', 'd_lon', 'd_lat')})"
     return o, d, f"attraction / power({metres}, 2)", "origin_id <> destination_id"
 
 
-def gravity_pairs(ends: DataFrame, *, by: Sequence[str] = ("city",), salts: int = 4) -> DataFrame:
+def gravity_pairs(ends: DataFrame, *, by: Sequence[str] = ("city",), salts: int | None = None) -> DataFrame:
     """Whole trips between places of one group and period.
 
     weight = attraction / max(100 m, distance)^2; an origin's trips are shared by
@@ -132,7 +145,7 @@ def gravity_pairs(ends: DataFrame, *, by: Sequence[str] = ("city",), salts: int
             .select(*keys, "origin_id", "origin_type", "destination_id", "destination_type", "pair_trips", "split"))
 
 
-def od_matrix(ends: DataFrame, *, by: Sequence[str] = ("city",), salts: int = 4) -> DataFrame:
+def od_matrix(ends: DataFrame, *, by: Sequence[str] = ("city",), salts: int | None = None) -> DataFrame:
     """Trips per origin, destination, period and mode; rounded again per mode, zeros vanish."""
     pairs = gravity_pairs(ends, by=by, salts=salts)
     modes = ", ".join(f"named_struct('mode', '{m}', 'trips', {js_round(f'pair_trips * split.{m}')})" for m in D.MODES)
@@ -148,7 +161,7 @@ def od_summary(matrix: DataFrame) -> DataFrame:
                 "sum(case when m in ('car', 'two_wheeler', 'bus') then trips else 0 end)").alias("vehicle_trips")))
 
 
-def gravity_shares(ends: DataFrame, *, by: Sequence[str] = ("city",), salts: int = 4) -> DataFrame:
+def gravity_shares(ends: DataFrame, *, by: Sequence[str] = ("city",), salts: int | None = None) -> DataFrame:
     """Per origin: number of candidate destinations, sum of shares (1) and the largest share."""
     keys = [*by, "period"]
     o, d, weight, differs = _gravity_sides(ends, keys, salts)
@@ -213,7 +226,7 @@ def study_ends(buildings: DataFrame, zones: DataFrame, gateways: DataFrame, boxe
     return out.filter("volume > 0").selectExpr("city", f"'{period}' as period", "role", "id", "'' as type", "lon", "lat", "volume", "split")
 
 
-def top_destinations(ends: DataFrame, k: int = 32, *, by: Sequence[str] = ("city",), salts: int = 4) -> DataFrame:
+def top_destinations(ends: DataFrame, k: int = 32, *, by: Sequence[str] = ("city",), salts: int | None = None) -> DataFrame:
     """The ``k`` strongest destinations of every origin and their share of its flow.
 
     The rank limit is applied in each task before rows move, so at most ``k``

@@ -168,6 +168,16 @@ def content_keys(spark, sf):
     return op.content_keys(city.buildings(spark, sf), "building_id", ["residents", "employees", "coordinates"])
 
 
+@query("h15_content_classes", cte("buildings") + "SELECT building_id, min(building_id) OVER (PARTITION BY category, floor(bal / 1000), ord % 3) AS first_alike FROM buildings")
+def content_classes(spark, sf):
+    """Buildings of the same content get the same key, others another one."""
+    df = city.derive(spark, sf, "buildings").selectExpr("building_id", "category", "floor(bal / 1000) as worth", "ord % 3 as kind")
+    keys = op.content_keys(df, "building_id", ["category", "worth", "kind"])
+    key = next(c for c in keys.columns if c != "building_id")
+    first = keys.groupBy(key).agg(F.min("building_id").alias("first_alike"))
+    return keys.join(first, key).select("building_id", "first_alike")
+
+
 _BEAR = "degrees(atan2((xb - xa) / 1e7 * 111320.0::DOUBLE * cos(radians(ya / 1e7)), (yb - ya) / 1e7 * 110540.0::DOUBLE))"
 
 

@@ -215,7 +215,7 @@ def select_links(spark, sf):
     area = study(spark, sf)
     flows = materialise(st.edge_capacity_flows(area), "flows")
     inner = materialise(area.edges.join(area.segments.select("city", "segment_key"), ["city", "segment_key"], "left_semi").withColumn("w", F.expr(gr.route_time())), "inner")
-    watched = inner.filter("seed").selectExpr("city", "edge_id as link", "src as link_from", "dst as link_to", f"{gr.travel_time()} as link_time")
+    watched = inner.filter("seed").selectExpr("city", "edge_id as link", "src as link_from", "dst as link_to", "w as link_time")  # as route choice sees it, like the ways to and from it
     sinks = flows.filter("out_vph > 0").selectExpr("city", "node as exit", "out_vph as sink_weight")
     sources = flows.filter("in_vph > 0").selectExpr("city", "node as entry", "in_vph / 3600 as rate")
     targets = sinks.selectExpr("exit as node").unionByName(watched.selectExpr("link_from as node")).distinct()
