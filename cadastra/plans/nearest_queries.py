@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import bounds, fixed, pt, widen
 from ..operators import demand as dm
 from ..operators import nearest as ne
+from ..operators import structures
 from ..operators.spatial import join_boxes
 from ..sources import citydata as city
 from ..sources.citydata import ROAD_POINTS, ROAD_SEGMENTS, cte, sql_fixed, sql_hav
@@ -208,6 +209,13 @@ def at_ends(spark, sf):
     return ne.roads_at_flyover_ends(city.flyovers(spark, sf), roads(spark, sf)).select("flyover_id", "which", "road_id")
 
 
+@query("g14_bridge_geometry", None)
+def bridge_heights(spark, sf):
+    """Heights of bridges, cuts and the roads that lead onto them; checked by its properties in the tests."""
+    r = roads(spark, sf).selectExpr("city", "road_id", "coordinates", "imported as liftable", "case size % 10 when 5 then 1 when 3 then -1 else 0 end as level")
+    return structures.bridge_geometry(r).selectExpr("road_id", "pos", f"{fixed('z', 3)} as z", "original")
+
+
 @query("g21_bridge_feasibility", _FLY + """, a AS (SELECT flyover_id, min(m) AS avail FROM app GROUP BY 1), u AS (SELECT flyover_id, min(median) AS median FROM under JOIN rl USING (road_id) GROUP BY 1),
  l AS (SELECT flyover_id, min(lane_count) AS lo, max(lane_count) AS hi FROM (SELECT DISTINCT flyover_id, road_id FROM adj) JOIN rl USING (road_id) GROUP BY 1), z AS (SELECT f.*, avail, median, lo, hi FROM fl f LEFT JOIN a USING (flyover_id) LEFT JOIN u USING (flyover_id) LEFT JOIN l USING (flyover_id))
  SELECT flyover_id, 'ramp_grade' AS "check", CASE WHEN avail >= need THEN 'pass' ELSE 'fail' END AS status, floor(avail + 0.5)::DOUBLE AS actual, need::DOUBLE AS required FROM z
