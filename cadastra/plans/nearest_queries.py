@@ -232,7 +232,12 @@ def impacts(spark, sf):
     return ne.ramp_impacts(city.flyovers(spark, sf), roads(spark, sf)).select("road_id", "before", "capacity")
 
 
-@query("d13_duplicate_roads", None)
+@query("d13_duplicate_roads", _C + """, mvs AS (SELECT s.city, s.ord, concat('m', CAST(s.ord AS VARCHAR)) AS road_id, s.seg, s.ax + 0.0001::DOUBLE AS ax, s.ay + 0.00005::DOUBLE AS ay, s.bx + 0.0001::DOUBLE AS bx, s.by_ + 0.00005::DOUBLE AS by_ FROM road_segments s JOIN roads r USING (road_id) WHERE r.imported),
+ sz AS (SELECT city, road_id AS own, seg AS oseg, ax AS x1, ay AS y1, bx AS x2, by_ AS y2, sqrt(pow((bx - ax) * 111320.0::DOUBLE * cos(radians(by_)), 2) + pow((by_ - ay) * 111320.0::DOUBLE, 2)) AS m FROM road_segments),
+ sn AS (SELECT *, greatest(1, CAST(floor(m / 20 + 0.5) AS BIGINT)) AS n FROM sz), smp AS (SELECT city, own, oseg, k, x1 + k::DOUBLE / n * (x2 - x1) AS lon, y1 + k::DOUBLE / n * (y2 - y1) AS lat FROM (SELECT *, unnest(range(0, n)) AS k FROM sn))"""
+       + _seg_join("smp", 25).replace("road_segments s", "mvs s") + """, nr AS (SELECT city, own, oseg, k, arg_min(r_id, (d, r_ord)) AS along FROM hits GROUP BY ALL), pr AS (SELECT city, own, along, count(*) AS n FROM nr GROUP BY ALL),
+ cv AS (SELECT city, own, sum(n) AS covered, arg_max(along, (n, along)) AS along FROM pr GROUP BY ALL), tot AS (SELECT city, own, sum(m) AS metres, sum(n) AS samples FROM sn GROUP BY ALL)
+ SELECT own AS road_id, along, covered::BIGINT AS covered, samples::BIGINT AS samples FROM cv JOIN tot USING (city, own) WHERE metres >= 50 AND covered >= samples * 0.8::DOUBLE""")
 def duplicates(spark, sf):
     """Drawn roads against copies of all roads moved by a few metres."""
     r = roads(spark, sf)
