@@ -127,13 +127,29 @@ def dependent_pairs(area: StudyArea) -> DataFrame:
         lost.groupBy("city").agg(F.expr("count(1)").alias("dependent")), "city", "left").na.fill(0)
 
 
-def edge_capacity_flows(area: StudyArea) -> DataFrame:
-    """Capacity entering and leaving the area at each of its nodes."""
-    nodes = area.segments.selectExpr("city", "explode(array(node_a, node_b)) as node").distinct()
-    out = area.edges.join(area.segments.select("city", "segment_key"), ["city", "segment_key"], "left_anti").selectExpr(
+def edge_capacity_flows(area: StudyArea, junctions: DataFrame | None = None) -> DataFrame:
+    """Capacity that enters and leaves the area at each of its junctions.
+
+    ``junctions`` (node, root) as :func:`editing.fold_junctions` gives them: outside roads at
+    any node of a joined junction count for it, roads wholly inside one do not. Without it
+    every node is its own. Entering capacity counts where an inside road leads on, leaving
+    capacity where one leads there.
+    """
+    edges = area.edges
+    if junctions is not None:
+        for end in ("src", "dst"):
+            root = junctions.selectExpr(f"node as {end}", f"root as {end}_root")
+            edges = edges.join(root, end, "left").withColumn(end, F.coalesce(f"{end}_root", end)).drop(f"{end}_root")
+        edges = edges.filter("src <> dst")
+    own = area.segments.select("city", "segment_key")
+    inside = edges.join(own, ["city", "segment_key"], "left_semi")
+    ways = inside.selectExpr("city", "inline(array(named_struct('node', src, 'on', 1, 'off', 0), named_struct('node', dst, 'on', 0, 'off', 1)))").groupBy("city", "node").agg(
+        F.max("on").alias("on"), F.max("off").alias("off"))
+    out = edges.join(own, ["city", "segment_key"], "left_anti").selectExpr(
         "city", "src", "dst", f"greatest(1, lanes) * {G.by_class('road_class', G.LANE_CAPACITY_VPH, 600)} as vph")
     both = out.selectExpr("city", "inline(array(named_struct('node', dst, 'vin', vph, 'vout', 0L), named_struct('node', src, 'vin', 0L, 'vout', vph)))")
-    return both.groupBy("city", "node").agg(F.sum("vin").alias("in_vph"), F.sum("vout").alias("out_vph")).join(nodes, ["city", "node"], "left_semi")
+    flows = both.groupBy("city", "node").agg(F.sum("vin").alias("vin"), F.sum("vout").alias("vout")).join(ways, ["city", "node"])
+    return flows.selectExpr("city", "node", "vin * on as in_vph", "vout * off as out_vph").filter("in_vph > 0 or out_vph > 0")
 
 
 # Share of boundary capacity used, fleet shares, detour limits.

@@ -175,8 +175,10 @@ def no_alternative(spark, sf):
 
 
 _CAPQ = """, cap AS (SELECT *, lanes * CASE road_class WHEN 'highway' THEN 1800 WHEN 'arterial' THEN 1400 WHEN 'collector' THEN 1000 ELSE 600 END AS vph FROM outer_e),
- fl AS (SELECT city, node, CAST(sum(vin) AS BIGINT) AS in_vph, CAST(sum(vout) AS BIGINT) AS out_vph FROM (SELECT city, dst AS node, vph AS vin, 0 AS vout FROM cap UNION ALL SELECT city, src, 0, vph FROM cap)
-  WHERE (city, node) IN (SELECT city, node FROM anode) GROUP BY ALL)"""
+ ins AS (SELECT city, src, dst FROM e1 WHERE (city, segment_key) IN (SELECT city, segment_key FROM seg)),
+ f0 AS (SELECT city, node, CAST(sum(vin) AS BIGINT) AS vin, CAST(sum(vout) AS BIGINT) AS vout FROM (SELECT city, dst AS node, vph AS vin, 0 AS vout FROM cap UNION ALL SELECT city, src, 0, vph FROM cap) GROUP BY ALL),
+ f1 AS (SELECT city, node, CASE WHEN node IN (SELECT src FROM ins) THEN vin ELSE 0 END AS in_vph, CASE WHEN node IN (SELECT dst FROM ins) THEN vout ELSE 0 END AS out_vph FROM f0),
+ fl AS (SELECT * FROM f1 WHERE in_vph > 0 OR out_vph > 0)"""
 
 
 @query("d25_edge_capacity_flows", _S + _CAPQ + " SELECT city, node, in_vph, out_vph FROM fl")
