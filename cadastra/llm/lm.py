@@ -27,8 +27,10 @@ from .text import map_batches, texts
 
 #: Weight of the unigram model in the bigram model, in counts.
 SMOOTHING = 50.0
-#: Bigrams (16 bytes each) up to which the model is broadcast, and tokens counted at a time in a task.
-BROADCAST_ROWS, COUNTED = 2_000_000, 3_000_000
+#: Bigrams (24 bytes each) and chosen ids (8 bytes each) up to which they are broadcast.
+BROADCAST_ROWS, BROADCAST_IDS = 2_000_000, 1_000_000
+#: Tokens counted, and rows looked at, at a time in a task.
+COUNTED, SLICE_ROWS = 2_000_000, 500
 #: Keys hold the left token above the right one; the start of a text has the number after the last token.
 SHIFT = 20
 
@@ -65,8 +67,8 @@ def bigrams(tokens: DataFrame, start: int) -> DataFrame:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-        for batch in batches:
-            keys, _ = keys_of(batch.column(0), start)
+        for part in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
+            keys, _ = keys_of(part.column(0), start)
             held.append(keys)
             size += len(keys)
             if size >= COUNTED:
@@ -108,7 +110,9 @@ def score(docs: DataFrame, chosen: DataFrame, vocabulary: str, id_column: str =
     lean = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     size = len(codec(vocabulary).widths)
     tokens = materialise(encode(lean, vocabulary), "tokens")
-    wanted = chosen.select(F.col(chosen.columns[0]).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    wanted = materialise(chosen.select(F.col(chosen.columns[0]).alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "chosen")
+    if wanted.count() <= BROADCAST_IDS:  # else the tokens are shuffled once to meet the ids
+        wanted = F.broadcast(wanted)
     target = bigrams(tokens.join(wanted, "doc_id", "left_semi"), size)
     model = materialise(losses(target, bigrams(tokens, size), size), "model")
     if model.count() <= BROADCAST_ROWS:
