@@ -101,6 +101,27 @@ def paths(trees: DataFrame, pairs: DataFrame, hops: int = 4) -> DataFrame:
     return out
 
 
+def cheapest_via(edges: DataFrame, choices: DataFrame) -> DataFrame:
+    """Way of every pair that uses one of its given edges, with the least free-flow time.
+
+    ``edges``: ``src``, ``dst``, ``edge_id``, ``w`` (route choice) and ``t`` (free flow). ``choices``: ``pair``,
+    ``origin``, ``target`` and the ``edge_id`` to use, any number per pair. Drivers reach the edge
+    and go on from it as route choice has it; only then are the free-flow times of the
+    choices compared. Result: ``pair``, ``edge_id``, ``seconds`` and the ``route`` of edge ids.
+    """
+    c = materialise(choices.join(edges.select("edge_id", "src", "dst", "t"), "edge_id"), "choices")
+    trees = materialise(route_trees(edges, c.selectExpr("src as node").unionByName(c.selectExpr("target as node")).distinct()), "trees")
+    legs = c.selectExpr("pair", "edge_id", "inline(array(named_struct('leg', 0, 'a', origin, 'b', src), named_struct('leg', 2, 'a', dst, 'b', target)))")
+    legs = legs.selectExpr("struct(pair, edge_id, leg) as pair", "a as origin", "b as target")
+    driven = materialise(legs.join(trees.selectExpr("node as origin", "target"), ["origin", "target"], "left_semi"), "legs")
+    complete = driven.groupBy("pair.pair", "pair.edge_id").agg(F.expr("count(1) = 2").alias("whole")).filter("whole").select("pair", "edge_id")
+    walked = paths(trees, driven.filter("origin <> target")).selectExpr("pair.pair as pair", "pair.edge_id as edge_id", "pair.leg as leg", "step", "edge_id as over")
+    middle = c.selectExpr("pair", "edge_id", "1 as leg", "0 as step", "edge_id as over")
+    steps = walked.unionByName(middle).join(complete, ["pair", "edge_id"]).join(edges.selectExpr("edge_id as over", "t"), "over")
+    ways = steps.groupBy("pair", "edge_id").agg(F.sum("t").alias("seconds"), F.expr("transform(array_sort(collect_list(struct(leg, step, over))), _s -> _s.over)").alias("route"))
+    return ways.groupBy("pair").agg(F.expr("min_by(struct(edge_id, seconds, route), struct(seconds, edge_id))").alias("b")).select("pair", "b.*")
+
+
 def star_components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataFrame:
     """(node, root) for every node of an edge; ``root`` is its component's smallest node.
 

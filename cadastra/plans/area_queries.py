@@ -12,6 +12,7 @@ from ..session import materialise
 from ..sources import citydata as city
 from ..sources.citydata import ROAD_POINTS, ROAD_SEGMENTS, cte, sql_fixed
 from .demand_queries import _IN, MATRIX_CTE, demand_inputs
+from .graph_queries import _RT as ROUTE_TIME
 from .graph_queries import EDGES, grid_edges
 from .nearest_queries import grid_nodes, roads
 from .registry import query
@@ -143,15 +144,13 @@ def typed_identity(spark, sf):
     return incoming.join(stored, ["id", "element_type"], "left_anti")
 
 
-@query("f05_cheapest_via_route", "WITH RECURSIVE" + EDGES[len("WITH"):] + """, ew AS (SELECT src, dst, length / (speed_limit / 3.6::DOUBLE) AS w FROM edges), er AS (SELECT dst AS src, src AS dst, w FROM ew), sd AS (SELECT DISTINCT city * 121 + 60 AS node FROM roads),
- fw(k, node, d) USING KEY (k, node) AS (SELECT node AS k, node, 0.0::DOUBLE AS d FROM sd UNION SELECT s.k, e.dst, min(s.d + e.w) FROM fw s JOIN ew e ON e.src = s.node LEFT JOIN recurring.fw r ON r.k = s.k AND r.node = e.dst WHERE r.d IS NULL OR s.d + e.w < r.d GROUP BY s.k, e.dst),
- bw(k, node, d) USING KEY (k, node) AS (SELECT node + 55 AS k, node + 55 AS node, 0.0::DOUBLE AS d FROM sd UNION SELECT s.k, e.dst, min(s.d + e.w) FROM bw s JOIN er e ON e.src = s.node LEFT JOIN recurring.bw r ON r.k = s.k AND r.node = e.dst WHERE r.d IS NULL OR s.d + e.w < r.d GROUP BY s.k, e.dst)
- SELECT e.city, """ + sql_fixed("min(f.d + e.length / (e.speed_limit / 3.6::DOUBLE) + b.d)", 4) + """ AS seconds FROM edges e JOIN fw f ON f.k = e.city * 121 + 60 AND f.node = e.src JOIN bw b ON b.k = e.city * 121 + 115 AND b.node = e.dst WHERE e.road_id IN (SELECT road_id FROM roads WHERE j = 90) GROUP BY e.city""")
+@query("f05_cheapest_via_route", "WITH RECURSIVE" + EDGES[len("WITH"):] + f""", ew AS (SELECT src, dst, length / (speed_limit / 3.6::DOUBLE) AS t, {ROUTE_TIME} AS w FROM edges), er AS (SELECT dst AS src, src AS dst, t, w FROM ew), sd AS (SELECT DISTINCT city * 121 + 60 AS node FROM roads),
+ fw(k, node, d, t) USING KEY (k, node) AS (SELECT node AS k, node, 0.0::DOUBLE AS d, 0.0::DOUBLE AS t FROM sd UNION SELECT s.k, e.dst, min(s.d + e.w), arg_min(s.t + e.t, s.d + e.w) FROM fw s JOIN ew e ON e.src = s.node LEFT JOIN recurring.fw r ON r.k = s.k AND r.node = e.dst WHERE r.d IS NULL OR s.d + e.w < r.d GROUP BY s.k, e.dst),
+ bw(k, node, d, t) USING KEY (k, node) AS (SELECT node + 55 AS k, node + 55 AS node, 0.0::DOUBLE AS d, 0.0::DOUBLE AS t FROM sd UNION SELECT s.k, e.dst, min(s.d + e.w), arg_min(s.t + e.t, s.d + e.w) FROM bw s JOIN er e ON e.src = s.node LEFT JOIN recurring.bw r ON r.k = s.k AND r.node = e.dst WHERE r.d IS NULL OR s.d + e.w < r.d GROUP BY s.k, e.dst)
+ SELECT e.city, {sql_fixed("min(f.t + e.length / (e.speed_limit / 3.6::DOUBLE) + b.t)", 4)} AS seconds FROM edges e JOIN fw f ON f.k = e.city * 121 + 60 AND f.node = e.src JOIN bw b ON b.k = e.city * 121 + 115 AND b.node = e.dst WHERE e.road_id IN (SELECT road_id FROM roads WHERE j = 90) GROUP BY e.city""")
 def via_route(spark, sf):
-    """Fastest way from one corner to another that uses the selected road of the city."""
-    e = materialise(grid_edges(spark, sf).withColumn("w", F.expr(gr.travel_time())), "weighted")
-    seeds = e.selectExpr("city", "city * 121 + 60 as a", "city * 121 + 115 as b").distinct()
-    out = gr.shortest(e, seeds.selectExpr("city as k", "a as node", "0D as d")).selectExpr("k as city", "node as src", "d as before")
-    back = gr.shortest(gr.reversed_edges(e), seeds.selectExpr("city as k", "b as node", "0D as d")).selectExpr("k as city", "node as dst", "d as after")
+    """Way from one corner to another that uses the selected road of the city."""
+    e = materialise(grid_edges(spark, sf).withColumns({"w": F.expr(gr.route_time()), "t": F.expr(gr.travel_time())}), "weighted")
     via = e.join(city.derive(spark, sf, "roads").filter("j = 90").select("road_id"), "road_id", "left_semi")
-    return via.join(out, ["city", "src"]).join(back, ["city", "dst"]).groupBy("city").agg(F.expr(fixed("min(before + w + after)", 4)).alias("seconds"))
+    choices = via.selectExpr("city as pair", "city * 121 + 60 as origin", "city * 121 + 115 as target", "edge_id")
+    return gr.cheapest_via(e.select("src", "dst", "edge_id", "w", "t"), choices).selectExpr("pair as city", f"{fixed('seconds', 4)} as seconds")
