@@ -6,21 +6,24 @@
    regression with an L1 penalty leaves few weights.
 2. On rows held out from the fit, the temperature of the softmax is set to the least log
    loss, and the least probability of a family to what keeps unknown rows out.
-3. Paragraphs (lines) with a licence word are scored by joining their n-grams with the
-   weights, which hold at most the n-grams of the training rows. A family counts if its
-   probability reaches the threshold and the paragraph holds at least ``CONFIRM`` of the
-   n-grams of one of the family's notices.
+3. Paragraphs are single lines and groups of neighbouring lines, so that a notice is found
+   however it is wrapped. Those with a licence word that hold at least ``CONFIRM`` of the
+   n-grams of a notice are scored by joining their n-grams with the weights, which hold at
+   most the n-grams of the training rows. A family counts if its probability reaches the
+   threshold and the share is reached by one of the family's notices.
+4. Of overlapping groups the one with the largest share (in tenths) counts, then the one
+   with fewest lines; lines inside a group that counts are not counted again.
 
 A paragraph without any licence word is unknown by definition. Whole texts are read.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-
 #: Short notices of public licences, by family.
 NOTICES = [
     ("mit", "Released under the MIT License."),
@@ -79,6 +82,11 @@ def has_cue(text: Column) -> Column:
     return found
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text or line has a licence word; of cues of two words, which a line break may part, the last counts."""
+    return F.lower(text).rlike("|".join(c.split()[-1] if c != "cc by" else r"\bcc\b" for c in CUES))
+
+
 def training_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(family, grams, held): variants of the notices and rows of the unknown class.
 
@@ -163,24 +171,76 @@ def scores(rows: DataFrame, keys: list[str], grams: str, weights: DataFrame, bia
     return every.select(*keys, F.array(*(F.coalesce(F.col(f"_z{i}"), F.lit(0.0)) + F.lit(b) for i, b in enumerate(bias))).alias("z"))
 
 
+def _notice_parts() -> list[tuple[list[str], list[str], int]]:
+    """Distinct words and n-grams of each notice, and how many of its words hold ``CONFIRM`` of the n-grams at least.
+
+    ``h`` words of a notice hold at most ``3h - 3`` of its n-grams (``h`` if ``h`` is 1).
+    """
+    out = []
+    for _, text in NOTICES:
+        tokens = re.findall("[a-z0-9]+", text.lower())
+        grams = {" ".join(tokens[i:i + k]) for k in (1, 2, 3) for i in range(len(tokens) - k + 1)}
+        held = next(h for h in range(1, len(tokens) + 1) if max(h, 3 * h - 3) >= CONFIRM * len(grams))
+        out.append((sorted(set(tokens)), sorted(grams), max(1, held - len(tokens) + len(set(tokens)))))
+    return out
+
+
+def _strings(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(key, p, last, grams) of the lines and groups of lines that hold a licence word and ``CONFIRM`` of a notice; ``docs`` has (key, text).
+
+    A group starts at any line and ends at any later one with fewer words between them than
+    the longest notice has, which covers every way of wrapping it. Lines without words are
+    passed over. A group that holds no larger share (in tenths) than one of its lines is left out.
+    """
+    parts = _notice_parts()
+    longest = max(len(re.findall("[a-z0-9]+", t.lower())) for _, t in NOTICES)
+    enough = " OR ".join(f"size(array_intersect(tokens, {_strings(w)})) >= {k}" for w, _, k in parts)
+    share = "greatest(" + ", ".join(f"size(array_intersect(grams, {_strings(g)})) / {len(g)}" for _, g, _ in parts) + ")"
+    lines = (docs.where(may_hold(F.col("text")))
+             .withColumn("lines", F.filter(F.transform(F.split("text", "\n"), lambda x, p: F.struct(p.alias("p"), may_hold(x).alias("cue"), words(x).alias("t"))),
+                                           lambda x: F.size(x["t"]) > 0)))
+    # a line starts a group only if a licence word is near enough
+    windows = (lines.withColumn("starts", F.expr(f"filter(sequence(1, size(lines)), i -> size(lines) > 0 AND exists(slice(lines, i, {longest + 1}), x -> x.cue))"))
+               .select("key", F.explode(F.expr(f"transform(starts, i -> slice(lines, i, {longest + 1}))")).alias("w")))
+    sized = windows.withColumn("ends", F.expr(f"""filter(sequence(1, size(w)), j -> exists(slice(w, 1, j), x -> x.cue)
+        AND (j <= 2 OR aggregate(slice(w, 2, greatest(j - 2, 0)), 0, (n, x) -> n + size(x.t)) < {longest}))"""))
+    every = (sized.select("key", F.explode(F.expr("transform(ends, j -> named_struct('p', w[0].p, 'last', w[j - 1].p, 'tokens', flatten(transform(slice(w, 1, j), x -> x.t))))")).alias("g"))
+             .select("key", "g.p", "g.last", "g.tokens").where(enough)
+             .withColumn("grams", ngrams("tokens")).withColumn("tenths", F.expr(f"{share}")).where(F.col("tenths") >= CONFIRM)
+             .withColumn("tenths", F.round("tenths", 1)))
+    # groups of one document, which are few: those that hold a notice's share; a set, as rows may repeat
+    listed = every.groupBy("key").agg(F.collect_set(F.struct("p", "last", "tenths", "grams")).alias("all"))
+    return (listed.withColumn("single", F.expr("map_from_entries(transform(filter(all, x -> x.p = x.last), x -> struct(x.p, x.tenths)))"))
+            .select("key", F.explode(F.expr("""filter(all, x -> x.p = x.last OR NOT exists(sequence(x.p, x.last), i -> coalesce(single[i] >= x.tenths, false)))""")).alias("g"))
+            .select("key", "g.*"))
+
+
 def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """(key, p, family, probability, notice) of each paragraph that a family is found in; ``docs`` has (key, text).
+    """(key, p, last, family, probability, notice) of each paragraph that a family is found in; ``docs`` has (key, text).
 
-    ``p`` counts the lines of the text from 0.
+    ``p`` and ``last`` count the lines of the text from 0.
     """
-    lines = (docs.where(has_cue(F.col("text"))).select("key", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(has_cue(F.col("line")))
-             .withColumn("tokens", words("line")).where("size(tokens) > 0").dropDuplicates(["key", "p"])
-             .select("key", "p", ngrams("tokens").alias("grams")))
+    lines, keys = groups(docs), ["key", "p", "last"]
     families = F.array(*(F.lit(f) for f in model.families))
-    best = (scores(lines, ["key", "p"], "grams", model.weights, model.bias)
+    best = (scores(lines, keys, "grams", model.weights, model.bias)
             .withColumn("prob", softmax("z", F.lit(model.temperature)))
             .withColumn("probability", F.array_max(_families_only("prob", model.families)))
             .where(F.col("probability") >= model.least)
             .withColumn("family", F.element_at(families, F.array_position("prob", F.col("probability")).cast("int"))))
-    alike = (lines.select("key", "p", F.explode("grams").alias("gram")).join(F.broadcast(model.notices), "gram")
-             .groupBy("key", "p", "family", "notice").agg((F.count("*") / F.max("size")).alias("share")).where(F.col("share") >= CONFIRM)
-             .groupBy("key", "p", "family").agg(F.max_by("notice", F.struct("share", -F.col("notice"))).alias("notice")))
-    return best.join(alike, ["key", "p", "family"]).select("key", "p", "family", "probability", "notice")
+    alike = (lines.select(*keys, F.explode("grams").alias("gram")).join(F.broadcast(model.notices), "gram")
+             .groupBy(*keys, "family", "notice").agg((F.count("*") / F.max("size")).alias("share")).where(F.col("share") >= CONFIRM)
+             .groupBy(*keys, "family").agg(F.max_by("notice", F.struct("share", -F.col("notice"))).alias("notice"), F.max("share").alias("share")))
+    found = best.join(alike, [*keys, "family"]).select("key", F.struct((-F.round("share", 1)).alias("rank"), (F.col("last") - F.col("p")).alias("more"), "p", "last", "family", "probability", "notice").alias("g"))
+    # single lines never overlap; groups count in order of their share unless they overlap one that counts
+    order = (found.groupBy("key").agg(F.array_sort(F.collect_list("g")).alias("all"))
+             .withColumn("many", F.expr("""aggregate(filter(all, x -> x.more > 0), filter(all, x -> false),
+                 (kept, x) -> if(exists(kept, k -> k.p <= x.last AND x.p <= k.last), kept, concat(kept, array(x))))"""))
+             .select("key", F.explode(F.expr("concat(many, filter(all, x -> x.more = 0 AND NOT exists(many, k -> k.p <= x.p AND x.p <= k.last)))")).alias("g")))
+    return order.select("key", "g.p", "g.last", "g.family", "g.probability", "g.notice")
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: Model | None = None) -> DataFrame:

@@ -263,6 +263,27 @@ def test_licences(spark, docs):
     assert sum(out[i] == f for i, (f, _) in enumerate(fresh)) >= 9
 
 
+def test_wrapped_licences(spark, docs):
+    import textwrap
+
+    model = licenses.train(spark, spark.createDataFrame(docs[["doc_id", "text"]].rename(columns={"doc_id": "id"})))
+    heads = [("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
+             ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+             ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+             ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+             ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:")]
+    rows, want = [], []
+    for family, text in heads:
+        for width, lead in ((78, ""), (60, " * "), (30, "# "), (1, "")):  # 1: a word per line
+            wrapped = "\n".join(lead + x for x in textwrap.wrap(text, width, break_long_words=False))
+            rows.append((len(rows), f"The harbour was quiet that day.\n\n{wrapped}\n\nNobody came back before the evening."))
+            want.append(family)
+    rows += [(len(rows), "He asked for permission\nto land on the island\nand the licence\nwas granted by the person in charge."), (len(rows) + 1, "")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string"), model=model).collect()}
+    assert {i: got[i].families for i, _ in rows} == dict(enumerate([*want, "", ""]))
+    assert got[0].places == "2:mit" and got[0].n_paragraphs == 1
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(9)
     vectors = rng.normal(size=(1500, 16)).astype(np.float32) * rng.uniform(0.5, 2, size=(1500, 1)).astype(np.float32)
