@@ -9,8 +9,8 @@ its kind has already taken is skipped.
 Base kinds: ``email``, ``ip`` (parts at most 255), ``card`` (12 to 19 digits passing the
 Luhn test), ``phone`` (international, 9 to 15 digits). Added kinds: ``login`` (an address
 with user information before the host), ``account`` (a cue such as IBAN or SSN followed by
-a number that passes the cue's test) and ``address`` (house number, capitalised name and a
-street word).
+a number that passes the cue's test, in any letter case) and ``address`` (house number,
+capitalised name and a street word, in the order of four languages).
 """
 
 from __future__ import annotations
@@ -36,21 +36,31 @@ _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOGIN = re.compile(r"://[A-Za-z0-9._%+~-]+(?::[^\s:@/]*)?@[A-Za-z0-9.-]*[A-Za-z0-9](?::[0-9]+)?(?:/[^\s<>\"']*[A-Za-z0-9/])?")
-_LEAD = re.compile(r"(?:[ ]?(?:number|no\.?|num\.?))?[ ]?[:=#]?[ ]?")
+_LEAD = re.compile(r"(?:[ ]?(?:number|no\.?|num\.?|nr\.?))?[ ]?[:=#]?[ ]?", re.IGNORECASE)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")
 _PLAIN = re.compile(r"[A-Z]{0,3}[0-9](?:[ -]?[0-9]){5,16}(?![A-Za-z0-9])")
-#: Cue -> the test of what follows. Cues are found in the three usual spellings of case.
+#: Cue -> the test of what follows. Cues are found in any letter case.
 CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "plain", "acct": "plain", "passport": "plain"}
-STREETS = ["Street", "Avenue", "Road", "Boulevard", "Lane", "Drive", "Court", "Square"]
+#: Street words after the names (English), at the end of a name (German), before the names with the number first (French) or last (Spanish).
+STREETS = ["Street", "Avenue", "Road", "Boulevard", "Lane", "Drive", "Court", "Square", "Place", "Terrace", "Parkway", "Highway", "St", "Ave", "Rd", "Blvd", "Ln", "Dr", "Ct", "Sq", "Pl", "Pkwy", "Hwy"]
+GERMAN = ["straße", "strasse", "str.", "weg", "platz", "allee", "gasse"]
+FRENCH = ["rue", "avenue", "av.", "boulevard", "bd", "place", "chemin", "impasse", "quai"]
+SPANISH = ["calle", "avenida", "avda.", "paseo", "plaza", "carretera"]
 _HOUSE = re.compile(r"[0-9]{1,5}[A-Za-z]?(?: [A-Z][a-z]+){1,3} $")
+_NAMES = r"(?: (?:de|des|du|la|las|le|les|los|del|l'|d'))* ?(?:[dl]['’])?[A-ZÀ-Þ][\w'’-]*(?:(?: (?:de|des|du|la|las|le|les|los|del))* [A-ZÀ-Þ][\w'’-]*){0,3}"
+_NUMBER_LAST = re.compile(r" [0-9]{1,4}(?: ?[a-z])?(?!\w)")
+_GERMAN_NAME = re.compile(r"(?:[A-ZÄÖÜ][\wß]*[ -]){0,2}[A-ZÄÖÜ][\wß]*[ -]?$")
+_FRENCH_NUMBER = re.compile(r"(?<!\w)[0-9]{1,4}(?: ?(?:bis|ter))?,? $")
+_FRENCH_NAMES = re.compile(_NAMES)
+_SPANISH_NAMES = re.compile(_NAMES + r",?(?: n[.º°]+)? [0-9]{1,4}(?!\w)")
 
 
 def _automaton() -> ahocorasick.Automaton:
-    words = {"@": "email", "+": "phone", "://": "login"} | {d: "digit" for d in "0123456789"}
-    for cue, test in CUES.items():
-        words |= dict.fromkeys({cue, cue.upper(), cue.capitalize()}, test)
-    words |= {f" {s}": "address" for s in STREETS}
+    """Anchors in lower case, for texts in lower case."""
+    words = {"@": "email", "+": "phone", "://": "login"} | {d: "digit" for d in "0123456789"} | CUES
+    words |= {f" {s.lower()}": "address" for s in STREETS}
+    words |= {f"{s} ": "german" for s in GERMAN} | {f" {s} ": "french" for s in FRENCH} | {f"{s} ": "spanish" for s in SPANISH}
     found = ahocorasick.Automaton()
     for word, kind in words.items():
         found.add_word(word, (kind, len(word)))
@@ -58,6 +68,29 @@ def _automaton() -> ahocorasick.Automaton:
     return found
 
 
+def _lower(text: str) -> str:
+    """Lower case with the same offsets; only characters that would become several are left."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _address(text: str, kind: str, at: int, end: int) -> tuple[int, int] | None:
+    """The address around a street word."""
+    if kind == "address":
+        if not text[at + 1].isupper() or not _bounded(text, at + 1, end):
+            return None
+        found = _HOUSE.search(text, max(0, at - 60), at + 1)
+        return (found.start(), end) if found and _bounded(text, found.start(), end) else None
+    if kind == "german":  # the anchor ends with a space
+        found, last = _GERMAN_NAME.search(text, max(0, at - 60), at), _NUMBER_LAST.match(text, end - 1)
+        return (found.start(), last.end()) if found and last and _bounded(text, found.start(), last.end()) else None
+    if kind == "french":
+        found, last = _FRENCH_NUMBER.search(text, max(0, at - 12), at + 1), _FRENCH_NAMES.match(text, end - 1)
+        return (found.start(), last.end()) if found and last else None
+    last = _SPANISH_NAMES.match(text, end - 1)
+    return (at, last.end()) if last and _bounded(text, at, last.end()) else None
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(map(int, reversed(digits))):
@@ -92,7 +125,7 @@ def _account(text: str, kind: str, start: int, end: int) -> tuple[int, int] | No
 def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """All spans of a text, by start and then by kind; base kinds never overlap within a kind."""
     spans, after, quad, card = [], dict.fromkeys(KINDS, 0), 0, 0
-    for last, (kind, length) in automaton.iter(text):
+    for last, (kind, length) in automaton.iter(_lower(text)):
         at = last - length + 1
         if kind == "digit":
             if at >= quad:  # the first digit of a run is the only start of its dotted quad
@@ -128,11 +161,10 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
             if start < at and text[start].isalpha() and (found := _LOGIN.match(text, at)):
                 spans.append(("login", start, found.end()))
                 after["login"] = found.end()
-        elif kind == "address":
-            found = _HOUSE.search(text, max(0, at - 60), at + 1)
-            if found and _bounded(text, found.start(), last + 1) and found.start() >= after["address"]:
-                spans.append(("address", found.start(), last + 1))
-                after["address"] = last + 1
+        elif kind in ("address", "german", "french", "spanish"):
+            if (found := _address(text, kind, at, last + 1)) and found[0] >= after["address"]:
+                spans.append(("address", *found))
+                after["address"] = found[1]
         elif (found := _account(text, kind, at, last + 1)) and found[0] >= after["account"]:
             spans.append(("account", *found))
             after["account"] = found[1]

@@ -40,6 +40,17 @@ def test_added_kinds():
     assert pii.masked("x 4111111111111111", [("card", 2, 18), ("account", 2, 18)]) == "x [card]"
 
 
+def test_spellings():
+    found = lambda text: [(k, text[a:b]) for k, a, b in pii.find(text, AUTOMATON) if k in ("account", "address")]
+    for lead, number in (("Account Number: ", "12345678"), ("Passport No: ", "X1234567"), ("ACCOUNT NO ", "1234567"), ("Social Security Number: ", "123-45-6789"), ("SOCIAL SECURITY NO. ", "123-45-6789"),
+                         ("social security ", "123-45-6789"), ("aCCount Nr. ", "1234567"), ("İ Passport Number ", "X1234567")):
+        assert found(f"x {lead}{number} y") == [("account", number)]
+    for place in ("12 Elm St", "7 Oak Tree Ave", "9 Long Rd", "1 Elm Blvd", "3 Hill Lane", "Hauptstraße 12", "Lindenweg 5a", "Berliner Str. 7", "12 rue de la Paix", "8 bis, avenue Victor Hugo", "Calle Mayor 12", "Avenida de América, 5"):
+        assert found(f"x {place}, y") == [("address", place)], place
+    for text in ("12 men stood still", "12 Elm streets", "the place Where 3", "auf dem weg 5", "in der straße 7", "une rue Longue", "calle sin nombre"):
+        assert found(text) == [], text
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, "a x@y.zz", 8, "s"), (2, None, None, None), (None, "", 0, "s"), (1, "a x@y.zz", 8, "s")], "doc_id bigint, text string, n_chars bigint, spans string")
     out = {(r.doc_id, r.n_email, r.spans) for r in pii.report(docs).collect()}
