@@ -59,6 +59,8 @@ OTHERS = [
 #: What may stand before a notice in training variants.
 LEADS = ["", "", "this file is", "copyright 2020 the authors", "note that", "unless stated otherwise", "the code in this folder is"]
 CUES = ["licen", "copyright", "all rights", "redistribut", "permission", "creative commons", "public domain", "cc by", "cc0"]
+#: Names of licences, which are cues as whole words; with ``CUES`` every notice holds a cue.
+NAMES = ["gpl", "lgpl", "mit", "bsd", "mpl", "apache", "mozilla"]
 VARIANTS, SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 14, 100, 500
 CONFIRM = 0.5
 
@@ -84,7 +86,8 @@ def has_cue(text: Column) -> Column:
 
 def may_hold(text: Column) -> Column:
     """Whether a text or line has a licence word; of cues of two words, which a line break may part, the last counts."""
-    return F.lower(text).rlike("|".join(c.split()[-1] if c != "cc by" else r"\bcc\b" for c in CUES))
+    cues = [c.split()[-1] for c in CUES if c != "cc by"]
+    return F.lower(text).rlike("|".join([*cues, rf"\b(?:{'|'.join(['cc', *NAMES])})\b"]))
 
 
 def training_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -263,6 +263,13 @@ def test_licences(spark, docs):
     assert sum(out[i] == f for i, (f, _) in enumerate(fresh)) >= 9
 
 
+def test_each_notice_is_found(spark, docs):
+    model = licenses.train(spark, spark.createDataFrame(docs[["doc_id", "text"]].rename(columns={"doc_id": "id"})))
+    rows = spark.createDataFrame([(i, f"Some words.\n{t}") for i, (_, t) in enumerate(licenses.NOTICES)], "doc_id int, text string")
+    got = {r.doc_id: r.places for r in licenses.scan(rows, model=model).collect()}
+    assert got == {i: f"1:{f}" for i, (f, _) in enumerate(licenses.NOTICES)}
+
+
 def test_wrapped_licences(spark, docs):
     import textwrap
 
