@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, licenses, lm, packing, pii, quality, secrets, simhash, token_counts
+from . import ann, bpe, licenses, lm, packing, pii, quality, secrets, setsketch, simhash, token_counts
 from .text import table
 from .vocab import vocabulary
 
@@ -73,3 +73,8 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
+@query(setsketch.ORACLE)
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_copies(table(spark, sf_dir, "documents"))
