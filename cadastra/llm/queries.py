@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, licenses, lm, packing, pii, quality, secrets, setsketch, simhash, token_counts
+from . import ann, bpe, licenses, lm, packing, phrases, pii, quality, secrets, setsketch, simhash, token_counts
 from .text import table
 from .vocab import vocabulary
 
@@ -78,3 +78,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(setsketch.ORACLE)
 def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query(phrases.ORACLE)
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
