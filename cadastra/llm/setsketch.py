@@ -7,12 +7,12 @@ register, and two sets agree in a register with at least the probability of thei
 similarity, so registers serve both as keys and for estimates.
 
 * Equal sets are one class from the start; only classes are compared.
-* Bands of ``ROWS`` registers deal classes out. A pair at the threshold shares none of the
-  ``BANDS`` bands with probability ``(1 - 0.8**4)**32``, about 5e-8.
+* Bands of ``ROWS`` registers deal classes out. A pair at the threshold agrees in a band with
+  probability 0.41 and in fewer than ``SHARED`` of the ``BANDS`` with 7e-8 (none: 1e-11).
 * Candidates first come as stars: in every bucket all members meet the one that shares the
   most buckets with others. Groups that these links join are not compared further. Then
-  the pairs of a bucket that lie in different groups follow, so a dense group costs a row
-  per member, and no link between groups is left out.
+  the pairs in different groups that share ``SHARED`` buckets follow, so a dense group costs
+  a row per member, and no link between groups is left out.
 * The joint likelihood of the registers (with both set sizes known) drops the candidates
   for which the threshold is at least ``exp(EVIDENCE)`` times less likely than the best
   similarity, about 1e-8 for a true link. What is left is counted out on the full sets.
@@ -36,7 +36,7 @@ from .components import components
 SHINGLE, PERCENT = 4, 80
 #: Registers per sketch, the scale's base, rate and largest value (Q + 1).
 REGISTERS, BASE, RATE, Q = 256, 1.001, 20.0, 65_534
-BANDS, ROWS = 32, 4
+BANDS, ROWS, SHARED = 48, 4, 4
 EVIDENCE = 18.0
 #: Shingles that are sketched together (memory bound), and documents at most.
 POINTS, SLICE = 1 << 18, 256
@@ -198,32 +198,31 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
                 yield pa.RecordBatch.from_arrays([col[c].filter(keep) for c in ("a", "b", "n_a", "n_b")], names=["a", "b", "n_a", "n_b"])
 
     pairs = materialise(pairs.mapInArrow(likely, "a bigint, b bigint, n_a bigint, n_b bigint"), "likely")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    used = materialise(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "used")  # a known size: few ids spare the sets a shuffle
     sets = materialise(sets.join(used, "uid", "left_semi"), "sets")
     both = pairs
     for side in "ab":
         both = both.join(sets.select(F.col("uid").alias(side), F.col("grams").alias(f"g_{side}")), side)
     shared = F.size(F.array_intersect("g_a", "g_b")).cast("bigint")
     links = materialise(both.withColumn("shared", shared).where(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b"), "links")
-    forget(pairs)
-    forget(sets)
+    for done in (pairs, used, sets):
+        forget(done)
     return links
 
 
 def linked(classes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) for the classes (uid, n, registers) that have a link; ``sets`` holds (uid, grams)."""
     band = 2 * ROWS
-    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> named_struct('band', i, 'value', substring(registers, {band} * i + 1, {band})))")
-    dealt = materialise(classes.where("n > 0").select("uid", "n", F.inline(keys)), "bands")
-    crowded = dealt.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1")
-    dealt_all, dealt = dealt, materialise(dealt.join(crowded, ["band", "value"]), "buckets")
-    forget(dealt_all)
+    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(registers, {band} * i + 1, {band})))")
+    dealt = classes.select("uid", "n", F.explode(keys).alias("bucket"))
+    crowded = dealt.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    dealt = materialise(dealt.join(crowded, "bucket"), "buckets")
 
     # stars: the member that meets most others stands for the bucket
     meets = dealt.groupBy("uid").agg(F.sum("members").alias("meets"))
-    heads = (dealt.join(meets, "uid").groupBy("band", "value")
-             .agg(F.max(F.struct("meets", "uid", "n")).alias("head")).select("band", "value", F.col("head.uid").alias("head"), F.col("head.n").alias("head_n")))
-    headed = materialise(dealt.join(heads, ["band", "value"]).select("band", "value", "uid", "n", "head", "head_n"), "headed")
+    heads = (dealt.join(meets, "uid").groupBy("bucket")
+             .agg(F.max(F.struct("meets", "uid", "n")).alias("head")).select("bucket", F.col("head.uid").alias("head"), F.col("head.n").alias("head_n")))
+    headed = materialise(dealt.join(heads, "bucket").select("bucket", "uid", "n", "head", "head_n"), "headed")
     forget(dealt)
     stars = (headed.where("uid <> head").selectExpr("least(uid, head) a", "greatest(uid, head) b", "n AS n_a", "head_n AS n_b")
              .where(_alike(percent)).select("a", "b").distinct())
@@ -233,12 +232,12 @@ def linked(classes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     # then pairs of one bucket in different groups: those outside the head's group against all
     named = headed.join(group.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     named = named.join(group.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left").withColumn("head_root", F.coalesce("head_root", "head"))
-    mixed = named.groupBy("band", "value").agg(F.max(F.expr("root <> head_root")).alias("mixed")).where("mixed").select("band", "value")
-    named = materialise(named.join(mixed, ["band", "value"], "left_semi").select("band", "value", "uid", "n", "root", "head", F.expr("root <> head_root").alias("outside")), "mixed")
-    here = named.where("outside").select("band", "value", F.col("uid").alias("x"), F.col("n").alias("n_a"), F.col("root").alias("root_x"), F.col("head"))
-    there = named.select("band", "value", F.col("uid").alias("y"), F.col("n").alias("n_b"), F.col("root").alias("root_y"), F.col("outside"))
-    across = (here.join(there, ["band", "value"]).where("root_x <> root_y AND y <> head AND (NOT outside OR x < y)").where(_alike(percent))
-              .selectExpr("least(x, y) a", "greatest(x, y) b").distinct())
+    mixed = named.groupBy("bucket").agg(F.max(F.expr("root <> head_root")).alias("mixed")).where("mixed").select("bucket")
+    named = materialise(named.join(mixed, "bucket", "left_semi").select("bucket", "uid", "n", "root", "head", F.expr("root <> head_root").alias("outside")), "mixed")
+    here = named.where("outside").select("bucket", F.col("uid").alias("x"), F.col("n").alias("n_a"), F.col("root").alias("root_x"), F.col("head"))
+    there = named.select("bucket", F.col("uid").alias("y"), F.col("n").alias("n_b"), F.col("root").alias("root_y"), F.col("outside"))
+    across = (here.join(there, "bucket").where("root_x <> root_y AND y <> head AND (NOT outside OR x < y)").where(_alike(percent))
+              .selectExpr("least(x, y) a", "greatest(x, y) b").groupBy("a", "b").count().where(f"count >= {SHARED}").select("a", "b"))
     second = confirmed(across, classes, sets, percent)
     out = materialise(components(first.unionByName(second)), "groups")
     for done in (headed, named, group, first, second):
