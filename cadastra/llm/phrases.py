@@ -60,7 +60,7 @@ def _row(block: int, lang: str, vocabulary: list[str], words: np.ndarray, place:
     ], names=_NAMES)
 
 
-def word_relation(docs: DataFrame) -> DataFrame:
+def word_relation(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The relation of length 1 of docs (lang, text); write it before use, since blocks are numbered as they fill."""
     def run(batches):
         number = TaskContext.get().partitionId() << 33
@@ -88,7 +88,7 @@ def word_relation(docs: DataFrame) -> DataFrame:
                 found = tokens(text)
                 parts.append(np.fromiter(map(codes.__getitem__, found), np.int32, len(found)))
                 held += len(found)
-                if held >= BLOCK:
+                if held >= block:
                     yield from close()
                     held = 0
         yield from close()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, licenses, lm, packing, phrases, pii, quality, secrets, setsketch, simhash, token_counts
+from . import ann, bpe, licenses, lm, packing, periodic, phrases, pii, quality, secrets, setsketch, simhash, token_counts
 from .text import table
 from .vocab import vocabulary
 
@@ -83,3 +83,8 @@ def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(phrases.ORACLE)
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find(table(spark, sf_dir, "documents"), rewrite=periodic.looped))
