@@ -7,12 +7,13 @@ register, and two sets agree in a register with at least the probability of thei
 similarity, so registers serve both as keys and for estimates.
 
 * Equal sets are one class from the start; only classes are compared.
-* Bands of ``ROWS`` registers deal classes out. A pair at the threshold agrees in a band with
-  probability 0.41 and in fewer than ``SHARED`` of the ``BANDS`` with 7e-8 (none: 1e-11).
-* Candidates first come as stars: in every bucket all members meet the one that shares the
-  most buckets with others. Groups that these links join are not compared further. Then
-  the pairs in different groups that share ``SHARED`` buckets follow, so a dense group costs
-  a row per member, and no link between groups is left out.
+* Bands of ``ROWS`` registers deal classes out. A pair at the threshold shares none of the
+  ``BANDS`` bands with probability ``(1 - 0.8**4)**40``, 7e-10.
+* Candidates first come as stars: in every bucket all members meet the head, the one that
+  shares the most buckets with others. Groups that these links join are not compared
+  further. Then, of all that met one head, those that are not in its group are compared with
+  the others, part by part inside a task. So a dense group costs rows in proportion to its
+  members, no pair of a group is written, and no link between groups is left out.
 * The joint likelihood of the registers (with both set sizes known) drops the candidates
   for which the threshold is at least ``exp(EVIDENCE)`` times less likely than the best
   similarity, about 1e-8 for a true link. What is left is counted out on the full sets.
@@ -36,10 +37,12 @@ from .components import components
 SHINGLE, PERCENT = 4, 80
 #: Registers per sketch, the scale's base, rate and largest value (Q + 1).
 REGISTERS, BASE, RATE, Q = 256, 1.001, 20.0, 65_534
-BANDS, ROWS, SHARED = 48, 4, 4
+BANDS, ROWS = 40, 4
 EVIDENCE = 18.0
+#: Members and shingles of a part when members of different groups are compared, and pairs estimated together.
+PART, PART_SHINGLES, PAIRS = 512, 1 << 19, 1 << 16
 #: Shingles that are sketched together (memory bound), and documents at most.
-POINTS, SLICE = 1 << 18, 256
+POINTS, SLICE = 1 << 16, 256
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -229,22 +232,88 @@ def linked(classes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     first = confirmed(stars, classes, sets, percent)
     group = materialise(components(first), "groups")
 
-    # then pairs of one bucket in different groups: those outside the head's group against all
-    named = headed.join(group.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    named = named.join(group.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left").withColumn("head_root", F.coalesce("head_root", "head"))
-    mixed = named.groupBy("bucket").agg(F.max(F.expr("root <> head_root")).alias("mixed")).where("mixed").select("bucket")
-    named = materialise(named.join(mixed, "bucket", "left_semi").select("bucket", "uid", "n", "root", "head", F.expr("root <> head_root").alias("outside")), "mixed")
-    here = named.where("outside").select("bucket", F.col("uid").alias("x"), F.col("n").alias("n_a"), F.col("root").alias("root_x"), F.col("head"))
-    there = named.select("bucket", F.col("uid").alias("y"), F.col("n").alias("n_b"), F.col("root").alias("root_y"), F.col("outside"))
-    across = (here.join(there, "bucket").where("root_x <> root_y AND y <> head AND (NOT outside OR x < y)").where(_alike(percent))
-              .selectExpr("least(x, y) a", "greatest(x, y) b").groupBy("a", "b").count().where(f"count >= {SHARED}").select("a", "b"))
-    second = confirmed(across, classes, sets, percent)
+    # then, among all that met one head, those in other groups than the head's against all
+    met = headed.select("head", "uid").distinct().join(group.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    met = met.join(group.select(F.col("node").alias("head"), F.col("root").alias("own")), "head", "left")
+    met = materialise(met.select("head", "uid", "root", F.expr("root <> coalesce(own, head)").alias("outside")), "met")
+    second = materialise(across(met, classes, sets, percent), "links")
     out = materialise(components(first.unionByName(second)), "groups")
-    for done in (headed, named, group, first, second):
+    for done in (headed, met, group, first, second):
         forget(done)
     return out
 
 
+def across(met: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different groups of those that met one head: rows (head, uid, root, outside).
+
+    Members outside the head's group are compared with all, in bounded parts of both, inside
+    a task: a row per member and part goes in, one link per member and group comes out.
+    """
+    weighed = met.join(classes.select("uid", "n"), "uid")
+    share = lambda size, total: f"cast(ceil(greatest({size} / {PART}, {total} / {PART_SHINGLES})) as int)"
+    cuts = weighed.groupBy("head").agg(F.count("*").alias("s"), F.sum("n").alias("t"), F.expr("count_if(outside)").alias("o"), F.expr("sum(if(outside, n, 0))").alias("u")).where("o > 0")
+    cuts = materialise(cuts.select("head", F.expr(share("o", "u")).alias("rows"), F.expr(share("s", "t")).alias("columns")), "cuts")
+    placed = met.join(cuts, "head").select("*", F.expr("pmod(xxhash64(uid, 1), rows)").cast("int").alias("i0"), F.expr("pmod(xxhash64(uid, 2), columns)").cast("int").alias("j0"))
+    used = materialise(placed.select("uid").distinct(), "used")
+    payload = materialise(sets.join(used, "uid", "left_semi").join(classes, "uid"), "sets")
+    column = "transform(sequence(0, rows - 1), i -> named_struct('i', i, 'j', j0))"
+    row = "transform(sequence(0, columns - 1), j -> named_struct('i', i0, 'j', j))"
+    placed = placed.withColumn("at", F.explode(F.expr(f"if(outside, array_union({row}, {column}), {column})")))
+    placed = placed.select("head", "at", "uid", "root", F.expr("outside AND at.i = i0").alias("asks"), F.expr("at.j = j0").alias("answers"))
+    parts = placed.join(payload, "uid").groupBy("head", "at").agg(F.collect_list(F.struct("uid", "root", "asks", "answers", "n", "registers", "grams")).alias("members"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                links = _links(batch.column(0)[k].values, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    return parts.select("members").mapInArrow(run, "a bigint, b bigint")
+
+
+def _links(members: pa.StructArray, percent: int) -> np.ndarray:
+    """Pairs (a, b) of uids: for each asking member and each other group one link into it, if there is any."""
+    uid, root, n = (members.field(c).to_numpy() for c in ("uid", "root", "n"))
+    asks, answers = (members.field(c).to_numpy(zero_copy_only=False) for c in ("asks", "answers"))
+    marks = np.frombuffer(b"".join(members.field("registers").to_pylist()), ">u2").reshape(len(uid), -1).astype(np.int32)
+    begin = np.concatenate([[0], np.cumsum(n)])
+    shingle = np.unique(members.field("grams").flatten().to_numpy(), return_inverse=True)[1]
+    inside = np.zeros(int(shingle.max(initial=-1)) + 1, np.int64)
+    columns = np.flatnonzero(answers)
+    found, open_rows, held = [np.zeros((0, 2), np.int64)], [], 0
+
+    def settle():
+        xs, ys, above, below = (np.concatenate(c) for c in zip(*open_rows, strict=True))
+        best, doubt = similarity(above, below, n[xs].astype(float), n[ys].astype(float), marks.shape[1], percent / 100)
+        likely = (best >= percent / 100) | (doubt <= EVIDENCE)
+        xs, ys = xs[likely], ys[likely]
+        cuts = np.flatnonzero(np.concatenate([[True], xs[1:] != xs[:-1], [True]])) if len(xs) else []
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            x, other = xs[at], ys[at:to]
+            own = shingle[begin[x]:begin[x + 1]]
+            inside[own] = 1
+            ends = np.cumsum(n[other])
+            place = np.arange(ends[-1]) + np.repeat(begin[other] - ends + n[other], n[other])
+            shared = np.add.reduceat(inside[shingle[place]], ends - n[other])
+            inside[own] = 0
+            linked_to = other[100 * shared >= percent * (n[x] + n[other] - shared)]
+            linked_to = linked_to[np.unique(root[linked_to], return_index=True)[1]]
+            found.append(np.column_stack([np.full(len(linked_to), uid[x]), uid[linked_to]]))
+
+    for x in np.flatnonzero(asks):
+        alike = 100 * np.minimum(n[columns], n[x]) >= percent * np.maximum(n[columns], n[x])
+        other = columns[alike & (root[columns] != root[x])]
+        if len(other):
+            open_rows.append((np.full(len(other), x), other, (marks[x] > marks[other]).sum(axis=1), (marks[x] < marks[other]).sum(axis=1)))
+            held += len(other)
+        if held > PAIRS:
+            settle()
+            open_rows, held = [], 0
+    if open_rows:
+        settle()
+    return np.concatenate(found)
+
+
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
