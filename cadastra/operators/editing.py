@@ -11,7 +11,7 @@ from ..functions import geo as G
 from ..functions.polygons import centroid, in_polygon
 from ..session import forget, materialise, pin
 from . import convert as cv
-from .nearest import TILE_DEG, road_end_gaps, road_ends
+from .nearest import TILE_DEG, road_ends
 from .spatial import join_boxes, join_points, segments
 
 
@@ -35,25 +35,6 @@ def restore_sections(roads: DataFrame, backup: DataFrame) -> DataFrame:
     return roads.join(backup.select("id", "before"), "id", "left").withColumn("sections", F.coalesce("before", "sections")).drop("before")
 
 
-def split_roads_at_points(roads: DataFrame, points: DataFrame, tolerance_deg: float = 0.00012, *, by: Sequence[str] = ("city",)) -> DataFrame:
-    """Vertices to insert where a point (a new road's end) lies on a road's piece, away from its ends."""
-    seg = segments(roads, [*by, "road_id"])
-    df = join_points(points, seg, TILE_DEG, by=by, pad=tolerance_deg).filter("road_id <> own")
-    df = pin(df, t=G.project_t("lon", "lat", "a.lon", "a.lat", "b.lon", "b.lat")).filter("t > 0.02 and t < 0.98")
-    df = df.selectExpr(*by, "road_id", "seg", "t", f"{G.along('a.lon', 'b.lon', 't')} as x", f"{G.along('a.lat', 'b.lat', 't')} as y", "lon", "lat")
-    return df.filter(f"{G.degrees_apart('lon', 'lat', 'x', 'y')} < {tolerance_deg!r}D").select(*by, "road_id", "seg", "t", "x", "y")
-
-
-def connect_road_ends(roads: DataFrame, *, by: Sequence[str] = ("city",)) -> DataFrame:
-    """Roads with each loose end carried onto the road it stops short of."""
-    gaps = road_end_gaps(roads, by=by).select(*by, "road_id", "which", "x", "y")
-    p = gaps.groupBy(*by, "road_id").agg(*[F.expr(f"max(named_struct('lon', x, 'lat', y, 'z', 0D)) filter (where which = '{w}')").alias(w) for w in ("start", "end")])
-    out = roads.join(p.withColumnsRenamed({"start": "_s", "end": "_e"}), [*by, "road_id"], "left")
-    none = "slice(coordinates, 1, 0)"
-    return out.withColumn("coordinates", F.expr(
-        f"concat(case when _s is null then {none} else array(_s) end, coordinates, case when _e is null then {none} else array(_e) end)")).drop("_s", "_e")
-
-
 def clip_lines(lines: DataFrame, areas: DataFrame, *, by: Sequence[str] = ("city",)) -> DataFrame:
     """Parts of lines inside (possibly concave) areas, numbered along each line.
 
@@ -153,5 +134,5 @@ def road_connections(edges: DataFrame, ends: DataFrame, *, by: Sequence[str] = (
     return mine.join(at.withColumnRenamed("road_id", "other"), [*by, "node"]).filter("road_id <> other").select(*by, "road_id", "place", "other").distinct()
 
 
-__all__ = ["repair_plan", "apply_repair", "restore_sections", "split_roads_at_points", "connect_road_ends", "clip_lines", "clip_buildings",
+__all__ = ["repair_plan", "apply_repair", "restore_sections", "clip_lines", "clip_buildings",
            "fold_junctions", "flyovers_connected", "road_connections"]

@@ -55,27 +55,35 @@ def road_ends(roads: DataFrame, *, by: Sequence[str] = ("city",), keep: Sequence
     return out.select(*[c for c in out.columns if c != "p"], "p.lon", "p.lat", "p.z")
 
 
-def road_end_gaps(roads: DataFrame, max_gap_m: float = 25.0, *, by: Sequence[str] = ("city",)) -> DataFrame:
-    """Ends of roads no other road meets, with the nearest road they could join.
+def resting_ends(ends: DataFrame, lines: DataFrame, *, by: Sequence[str] = ("city",)) -> DataFrame:
+    """(own, which) of the ends that lie on another line at their height, within the join tolerance in degrees."""
+    df = join_points(ends, segments(lines, [*by, "road_id"]), TILE_DEG, by=by, pad=G.JOIN_TOLERANCE_DEG).filter("road_id <> own")
+    df = pin(df, t=G.project_t("lon", "lat", "a.lon", "a.lat", "b.lon", "b.lat"))
+    apart = G.degrees_apart("lon", "lat", G.along("a.lon", "b.lon", "t"), G.along("a.lat", "b.lat", "t"))
+    return df.filter(f"{apart} < {G.JOIN_TOLERANCE_DEG!r}D and abs(z - {G.along('a.z', 'b.z', 't')}) <= {LEVEL}D").select(*by, "own", "which").distinct()
 
-    An end is joined when a road passes within the join tolerance (in degrees) at
-    the same level. The tolerance is looked for within a slightly wider circle.
+
+def road_end_gaps(roads: DataFrame, max_gap_m: float = 25.0, *, decks: DataFrame | None = None, by: Sequence[str] = ("city",)) -> DataFrame:
+    """Ends of roads no other line meets, with the nearest road they could join.
+
+    ``decks`` (``road_id``, ``coordinates``) are lines an end may rest on but is not led to.
+    The spot on the target is ``seg``, ``t``, ``x``, ``y``, ``z``.
     """
-    ends = road_ends(roads, by=by)
-    hits = road_hits(ends, roads, max_gap_m, ["own", "which"], by=by, not_same="road_id <> own").filter(f"abs(hit.hz - z) <= {LEVEL}D")
-    degrees = G.degrees_apart("lon", "lat", "hit.x", "hit.y")
-    best = hits.groupBy(*by, "own", "which").agg(
-        F.expr(f"bool_or({degrees} < {G.JOIN_TOLERANCE_DEG!r}D)").alias("joined"),
-        F.expr("min(struct(hit.d as gap_m, ord, road_id, hit.seg as seg, hit.x as x, hit.y as y))").alias("b"))
-    return best.filter("not joined").select(*by, F.col("own").alias("road_id"), "which", F.col("b.road_id").alias("target"), "b.gap_m", "b.seg", "b.x", "b.y")
+    ends = road_ends(roads, by=by, keep=["ord as own_ord"])
+    lines = roads.select(*by, "road_id", "coordinates")
+    resting = resting_ends(ends, lines if decks is None else lines.unionByName(decks.select(*by, "road_id", "coordinates")), by=by)
+    loose = ends.join(resting, [*by, "own", "which"], "left_anti")
+    hits = road_hits(loose, roads, max_gap_m, ["own", "which"], by=by, not_same="road_id <> own").filter(f"abs(hit.hz - z) <= {LEVEL}D")
+    best = hits.groupBy(*by, "own", "which", "own_ord").agg(F.expr("min(struct(hit.d as gap_m, ord, road_id, hit.seg as seg, hit.t as t, hit.x as x, hit.y as y, hit.hz as z))").alias("b"))
+    return best.select(*by, F.col("own").alias("road_id"), "which", "own_ord", F.col("b.road_id").alias("target"), "b.gap_m", "b.seg", "b.t", "b.x", "b.y", "b.z")
 
 
 def end_connections(roads: DataFrame, reach_m: float = 25.0, touching_m: float = 0.5, move_m: float = 3.0, *, by: Sequence[str] = ("city",)) -> DataFrame:
-    """Where loose road ends would be carried to; none if any road at that level already touches."""
-    ends = road_ends(roads, by=by)
+    """Where loose road ends are carried to; none if any road at that level already touches."""
+    ends = road_ends(roads, by=by, keep=["ord as own_ord"])
     hits = road_hits(ends, roads, reach_m, ["own", "which"], by=by, not_same="road_id <> own").filter(f"abs(hit.hz - z) <= {LEVEL}D")
-    best = hits.groupBy(*by, "own", "which").agg(F.expr("min(hit.d)").alias("nearest"), F.expr("min(struct(hit.d as d, ord, road_id))").alias("b"))
-    return best.filter(f"nearest >= {touching_m}D").selectExpr(*by, "own as road_id", "which", "b.road_id as target", "b.d as gap_m",
+    best = hits.groupBy(*by, "own", "which", "own_ord").agg(F.expr("min(hit.d)").alias("nearest"), F.expr("min(struct(hit.d as d, ord, road_id, hit.seg as seg, hit.t as t, hit.x as x, hit.y as y, hit.hz as z))").alias("b"))
+    return best.filter(f"nearest >= {touching_m}D").selectExpr(*by, "own as road_id", "which", "own_ord", "b.road_id as target", "b.d as gap_m", "b.seg", "b.t", "b.x", "b.y", "b.z",
                                                             f"case when b.d <= {move_m}D then 'move_end' else 'add_vertex' end as action")
 
 

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from ..operators import convert as cv
 from ..operators import editing as ed
+from ..operators import joining as jo
 from ..operators import rings
+from ..operators.nearest import road_ends
+from ..operators.network import build_network
 from ..session import materialise, scratch_path
 from ..sources import citydata as city
 from ..sources import geojson as gj
-from ..sources.citydata import ROAD_SEGMENTS, cte, sql_fixed
+from ..sources.citydata import ROAD_POINTS, ROAD_SEGMENTS, cte, sql_fixed
 from .convert_queries import _SECT, _W, tagged_ways
 from .graph_queries import EDGES, grid_edges
-from .nearest_queries import _ENDS, _Z, grid_nodes, roads
+from .nearest_queries import _CARRIED, _LOOSE, _Z, decks, grid_nodes, roads
+from .network_queries import drawn_roads
 from .registry import query
 
 
@@ -70,19 +74,72 @@ def repair(spark, sf):
             .selectExpr("id", "coalesce(hit, false) as changed", "back = sections as restored", "stable"))
 
 
-@query("g22_split_roads_at_points", cte("roads") + "," + ROAD_SEGMENTS + f""", e AS (SELECT city, road_id AS own, xa / 1e7 AS lon, ya / 1e7 AS lat FROM roads UNION ALL SELECT city, road_id, xb / 1e7, yb / 1e7 FROM roads),
- j AS (SELECT s.city, s.road_id, s.seg, e.lon, e.lat, ax, ay, bx, by_, ((lon - ax) * (bx - ax) + (lat - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)) AS t FROM e JOIN road_segments s ON s.city = e.city AND s.road_id <> e.own)
- SELECT road_id, seg, {sql_fixed('t', 5)} AS t FROM j WHERE t > 0.02 AND t < 0.98 AND sqrt(pow(lon - ax - t * (bx - ax), 2) + pow(lat - ay - t * (by_ - ay), 2)) < 0.00012::DOUBLE""")
+_ON = cte("roads", "proposals") + "," + ROAD_SEGMENTS + """, vs AS (SELECT city, road_id, ax AS x, ay AS y FROM road_segments UNION SELECT city, road_id, bx, by_ FROM road_segments),
+ e AS (SELECT city, xa / 1e7 AS lon, ya / 1e7 AS lat FROM proposals WHERE type = 'road' UNION SELECT city, xb / 1e7, yb / 1e7 FROM proposals WHERE type = 'road'),
+ j AS (SELECT s.city, s.road_id, s.seg, e.lon, e.lat, ax, ay, bx, by_, ((lon - ax) * (bx - ax) + (lat - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)) AS t FROM e JOIN road_segments s ON s.city = e.city),
+ onto AS (SELECT road_id, lon, lat, min(seg) AS seg, arg_min(t, seg) AS t FROM j WHERE t > 0.02 AND t < 0.98 AND sqrt(pow(lon - ax - t * (bx - ax), 2) + pow(lat - ay - t * (by_ - ay), 2)) < 0.00012::DOUBLE
+  AND NOT EXISTS (SELECT 1 FROM vs WHERE vs.road_id = j.road_id AND abs(vs.x - lon) < 0.00001::DOUBLE AND abs(vs.y - lat) < 0.00001::DOUBLE) GROUP BY ALL)"""
+
+
+def proposed_ends(spark, sf):
+    return road_ends(city.proposals(spark, sf).filter("type = 'road'").selectExpr("city", "id as road_id", "coordinates"))
+
+
+@query("g22_split_roads_at_points", _ON + f" SELECT road_id, seg, {sql_fixed('t', 5)} AS t FROM onto")
 def split_at(spark, sf):
-    from ..operators.nearest import road_ends
-    r = roads(spark, sf)
-    return ed.split_roads_at_points(r, road_ends(r)).selectExpr("road_id", "seg", f"{G.fixed('t', 5)} as t")
+    """Where the ends of proposed roads lie on the pieces of roads."""
+    return jo.points_on_roads(roads(spark, sf), proposed_ends(spark, sf)).selectExpr("road_id", "seg", f"{G.fixed('t', 5)} as t")
+
+
+@query("g22_split_roads", _ON + f""", all_points AS (SELECT road_id, seg + t AS place, lon AS x, lat AS y FROM onto UNION ALL SELECT road_id, pos, x / 1e7, y / 1e7 FROM road_points)
+ SELECT road_id, row_number() OVER (PARTITION BY road_id ORDER BY place) - 1 AS pos, {sql_fixed('x', 7)} AS x, {sql_fixed('y', 7)} AS y FROM all_points WHERE road_id IN (SELECT road_id FROM onto)""".replace("all_points AS", ROAD_POINTS + ", all_points AS"))
+def split_roads(spark, sf):
+    """All vertices of the roads that got new ones."""
+    out = jo.split_roads_at_points(roads(spark, sf), proposed_ends(spark, sf)).filter("changed")
+    return out.selectExpr("road_id", "posexplode(coordinates) as (pos, p)").selectExpr("road_id", "bigint(pos) as pos", f"{G.fixed('p.lon', 7)} as x", f"{G.fixed('p.lat', 7)} as y")
+
+
+# Joins of loose ends: a vertex within a metre is reused, one of two facing ends gives way, near spots are one.
+def _joins(source: str) -> str:
+    return f""", sp AS (SELECT g.*, o.ord, 111320.0::DOUBLE * sqrt(pow((ax - x) * cos(radians(y)), 2) + pow(ay - y, 2)) AS da, 111320.0::DOUBLE * sqrt(pow((bx - x) * cos(radians(y)), 2) + pow(by_ - y, 2)) AS db, ax, ay, bx, by_
+  FROM {source} g JOIN road_segments s ON s.road_id = g.target AND s.seg = g.seg JOIN roads o ON o.road_id = g.own),
+ sv AS (SELECT *, CASE WHEN least(da, db) <= 1 THEN CASE WHEN da <= db THEN seg ELSE seg + 1 END END AS vertex FROM sp),
+ se AS (SELECT *, CASE vertex WHEN 0 THEN 'start' WHEN 2 THEN 'end' END AS te, CASE WHEN vertex = seg THEN ax WHEN vertex IS NULL THEN x ELSE bx END AS jx, CASE WHEN vertex = seg THEN ay WHEN vertex IS NULL THEN y ELSE by_ END AS jy FROM sv),
+ st AS (SELECT * FROM se a WHERE NOT EXISTS (SELECT 1 FROM se b WHERE b.own = a.target AND b.which = a.te AND b.target = a.own AND b.te = a.which AND b.ord < a.ord)),
+ joins AS (SELECT *, vertex IS NULL AND coalesce(da - lag(da) OVER (PARTITION BY target, seg, vertex IS NULL ORDER BY da) > 1, true) AS fresh FROM st)"""
+
+
+_JOINS = _LOOSE + _joins("gap")
 
 
-@query("g22_connect_road_ends", _ENDS + """, gap AS (SELECT own, which FROM hits GROUP BY own, which HAVING NOT bool_or(sqrt(pow(x - lon, 2) + pow(y - lat, 2)) < 0.00006::DOUBLE))
- SELECT r.road_id, 3 + count(gap.own) AS points FROM roads r LEFT JOIN gap ON gap.own = r.road_id GROUP BY 1""")
+@query("g22_connect_road_ends", _JOINS + f""" SELECT r.road_id, 3 + (SELECT count(*) FROM joins j WHERE j.own = r.road_id) + (SELECT count(*) FROM joins j WHERE j.target = r.road_id AND fresh) AS points,
+  {sql_fixed('coalesce(s.jx, xa / 1e7)', 6)} AS first_x, {sql_fixed('coalesce(s.jy, ya / 1e7)', 6)} AS first_y, {sql_fixed('coalesce(e.jx, xb / 1e7)', 6)} AS last_x, {sql_fixed('coalesce(e.jy, yb / 1e7)', 6)} AS last_y
+ FROM roads r LEFT JOIN joins s ON s.own = r.road_id AND s.which = 'start' LEFT JOIN joins e ON e.own = r.road_id AND e.which = 'end'""")
 def connect(spark, sf):
-    return ed.connect_road_ends(roads(spark, sf)).selectExpr("road_id", "bigint(size(coordinates)) as points")
+    """Every road after loose ends were led to the roads they stop short of."""
+    joined, _ = jo.connect_road_ends(roads(spark, sf), decks(spark, sf))
+    end = lambda i, c: f"{G.fixed(f'element_at(coordinates, {i}).{c}', 6)}"
+    return joined.selectExpr("road_id", "bigint(size(coordinates)) as points", f"{end(1, 'lon')} as first_x", f"{end(1, 'lat')} as first_y", f"{end(-1, 'lon')} as last_x", f"{end(-1, 'lat')} as last_y")
+
+
+@query("g22_joined_network", _JOINS + " SELECT own AS road_id, which, target, true AS shared FROM joins")
+def joined_network(spark, sf):
+    """Whether each join gives a node of the network that both roads use."""
+    joined, made = jo.connect_road_ends(drawn_roads(spark, sf), decks(spark, sf))
+    net = build_network(materialise(joined.drop("changed"), "joined"))
+    at = net.edges.selectExpr("city", "road_id", "explode(array(from_node, to_node)) as node").distinct()
+    both = made.select("city", "road_id", "which", "target").join(at, ["city", "road_id"]).join(at.withColumnRenamed("road_id", "target"), ["city", "target", "node"])
+    return made.select("road_id", "which", "target").join(both.selectExpr("road_id", "which", "target", "true as shared").distinct(), ["road_id", "which", "target"], "left").na.fill(False)
+
+
+@query("c14_carried_ends", _CARRIED + _joins("carried") + f""" SELECT own AS road_id, which, target, {sql_fixed('jx', 6)} AS x, {sql_fixed('jy', 6)} AS y,
+  3 + (SELECT count(*) FROM joins o WHERE o.own = joins.own AND o.gap_m > 3) + (SELECT count(*) FROM joins o WHERE o.target = joins.own AND o.fresh) AS points FROM joins""")
+def carried(spark, sf):
+    """Where loose ends are after they were carried, and how many points their roads have then."""
+    moved, made = jo.carry_ends(roads(spark, sf))
+    own = moved.selectExpr("road_id", "element_at(coordinates, 1) as s", "element_at(coordinates, -1) as e", "bigint(size(coordinates)) as points")
+    p = "if(which = 'start', s, e)"
+    return made.select("road_id", "which", "target").join(own, "road_id").selectExpr("road_id", "which", "target", f"{G.fixed(p + '.lon', 6)} as x", f"{G.fixed(p + '.lat', 6)} as y", "points")
 
 
 @query("g23_clip_roads_to_areas", None)

@@ -144,12 +144,27 @@ def station_headings(spark, sf):
 _ENDS = cte("roads") + "," + ROAD_SEGMENTS + """, ends AS (SELECT city, road_id AS own, 'start' AS which, xa/1e7 AS lon, ya/1e7 AS lat FROM roads UNION ALL SELECT city, road_id, 'end', xb/1e7, yb/1e7 FROM roads)""" + _seg_join("ends", 25, "s.road_id <> p.own")
 
 
-@query("c13_road_end_gaps", _ENDS + f""" SELECT own AS road_id, which, arg_min(r_id, (d, r_ord)) AS target, {sql_fixed('min(d)', 3)} AS gap_m FROM hits GROUP BY own, which HAVING NOT bool_or(sqrt(pow(x - lon, 2) + pow(y - lat, 2)) < 0.00006::DOUBLE)""")
+# Loose ends: those that no other road and no flyover passes within the tolerance in degrees.
+_LOOSE = cte("roads", "flyovers") + _ENDS[len(cte("roads")):] + """, lines AS (SELECT city, road_id, ax, ay, bx, by_ FROM road_segments UNION ALL SELECT city, flyover_id, xa/1e7, ya/1e7, xb/1e7, yb/1e7 FROM flyovers),
+ rest AS (SELECT own, which, lon, lat, ax, ay, bx, by_, greatest(0, least(1, ((lon - ax) * (bx - ax) + (lat - ay) * (by_ - ay)) / (pow(bx - ax, 2) + pow(by_ - ay, 2)))) AS u FROM ends e JOIN lines l ON l.city = e.city AND l.road_id <> e.own),
+ resting AS (SELECT DISTINCT own, which FROM rest WHERE sqrt(pow(lon - ax - u * (bx - ax), 2) + pow(lat - ay - u * (by_ - ay), 2)) < 0.00006::DOUBLE),
+ gap AS (SELECT city, own, which, arg_min(r_id, (d, r_ord)) AS target, min(d) AS gap_m, arg_min(x, (d, r_ord)) AS x, arg_min(y, (d, r_ord)) AS y, arg_min(seg, (d, r_ord)) AS seg, arg_min(t, (d, r_ord)) AS t
+  FROM hits WHERE NOT EXISTS (SELECT 1 FROM resting q WHERE q.own = hits.own AND q.which = hits.which) GROUP BY ALL)"""
+
+
+def decks(spark, sf):
+    return city.flyovers(spark, sf).selectExpr("city", "flyover_id as road_id", "coordinates")
+
+
+@query("c13_road_end_gaps", _LOOSE + f""" SELECT own AS road_id, which, target, {sql_fixed('gap_m', 3)} AS gap_m, {sql_fixed('x', 6)} AS x, {sql_fixed('y', 6)} AS y FROM gap""")
 def end_gaps(spark, sf):
-    return ne.road_end_gaps(roads(spark, sf)).selectExpr("road_id", "which", "target", f"{fixed('gap_m', 3)} as gap_m")
+    return ne.road_end_gaps(roads(spark, sf), decks=decks(spark, sf)).selectExpr("road_id", "which", "target", f"{fixed('gap_m', 3)} as gap_m", f"{fixed('x', 6)} as x", f"{fixed('y', 6)} as y")
+
+
+_CARRIED = _ENDS + """, carried AS (SELECT city, own, which, arg_min(r_id, (d, r_ord)) AS target, min(d) AS gap_m, arg_min(x, (d, r_ord)) AS x, arg_min(y, (d, r_ord)) AS y, arg_min(seg, (d, r_ord)) AS seg, arg_min(t, (d, r_ord)) AS t FROM hits GROUP BY city, own, which HAVING min(d) >= 0.5)"""
 
 
-@query("c14_end_connections", _ENDS + f""" SELECT own AS road_id, which, arg_min(r_id, (d, r_ord)) AS target, {sql_fixed('min(d)', 3)} AS gap_m, CASE WHEN min(d) <= 3 THEN 'move_end' ELSE 'add_vertex' END AS action FROM hits GROUP BY own, which HAVING min(d) >= 0.5""")
+@query("c14_end_connections", _CARRIED + f""" SELECT own AS road_id, which, target, {sql_fixed('gap_m', 3)} AS gap_m, CASE WHEN gap_m <= 3 THEN 'move_end' ELSE 'add_vertex' END AS action FROM carried""")
 def end_connections(spark, sf):
     return ne.end_connections(roads(spark, sf)).selectExpr("road_id", "which", "target", f"{fixed('gap_m', 3)} as gap_m", "action")
 
