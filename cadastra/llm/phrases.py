@@ -1,25 +1,28 @@
 """Phrase collocations mined by relations of occurrences, one length at a time.
 
 Texts are cut at punctuation and line breaks into pieces, pieces into words. The relation of
-length k has a row (piece, position, phrase) for every occurrence of a phrase whose count
-reaches ``least``. It is kept as a table of blocks: a block holds whole documents of one
-language, its occurrences sorted by piece and position, as arrays.
+length k has a row for every occurrence of a phrase of k words that can be frequent. It is
+kept as a table of blocks: a block holds whole documents of one language, its words in order
+of piece and position, and the sorted places where such phrases start.
 
-Each length is one pass over the relation of the length before:
+Each length reads the relation of the length before:
 
-1. semi-join: occurrences of phrases that turned out infrequent go;
-2. merge-join by piece and adjacent position with the words (both sides are sorted, so the
-   join is a lookup at the next position) extends what is left;
-3. group-count: occurrences are counted in the block first, then over all blocks.
+1. merge-join: where two occurrences of length k - 1 are adjacent in a piece, one of length k
+   starts; both sides are the sorted places, so the join is a lookup at the next place;
+2. group-count: 64-bit hashes of the new phrases are counted in the block, then over all
+   blocks; a phrase that is frequent has a hash that is;
+3. semi-join: only occurrences with such a hash are kept. Their phrases are then counted by
+   their text, so a clash of hashes changes no result.
 
-Only (block, phrase, count) rows are shuffled for the counts, and the phrases of a block come
-back to it as one bounded list. A frequent word or passage has one row per block.
+Only (block, hash, count) rows are shuffled for all phrases, texts for the frequent ones
+alone. A frequent word or passage has one row per block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ BLOCK = 1 << 18
 _END = b"\xff"
 _CUT = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-RELATION = "block bigint, lang string, vocabulary array<string>, words binary, place binary, code binary, phrases array<string>, counts array<bigint>"
+RELATION = "block bigint, lang string, n bigint, vocabulary array<string>, words binary, place binary, phrases array<string>, counts array<bigint>"
 _NAMES = [part.split()[0] for part in RELATION.split(", ")]
 
 
@@ -52,16 +55,16 @@ class _Codes(dict):
         return number
 
 
-def _row(block: int, lang: str, vocabulary: list[str], words: np.ndarray, place: np.ndarray, code: np.ndarray, phrases, counts: np.ndarray) -> pa.RecordBatch:
+def _row(block: int, lang: str, n: int, vocabulary, words: np.ndarray, place: np.ndarray, phrases, counts) -> pa.RecordBatch:
     listed = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
     return pa.RecordBatch.from_arrays([
-        pa.array([block]), pa.array([lang]), listed(vocabulary, pa.string()), pa.array([words.tobytes()]), pa.array([place.astype(np.int32).tobytes()]),
-        pa.array([code.astype(np.int32).tobytes()]), listed(phrases, pa.string()), listed(counts, pa.int64()),
+        pa.array([block]), pa.array([lang]), pa.array([n]), listed(vocabulary, pa.string()), pa.array([words.astype(np.int32).tobytes()]),
+        pa.array([place.astype(np.int32).tobytes()]), listed(phrases, pa.string()), listed(counts, pa.int64()),
     ], names=_NAMES)
 
 
-def word_relation(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The relation of length 1 of docs (lang, text); write it before use, since blocks are numbered as they fill."""
+def word_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The words of docs (lang, text) in blocks; write it before use, since blocks are numbered as they fill."""
     def run(batches):
         number = TaskContext.get().partitionId() << 33
         open_blocks: dict[str, tuple[_Codes, list[np.ndarray]]] = {}
@@ -71,11 +74,8 @@ def word_relation(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             nonlocal number
             for lang, (codes, parts) in open_blocks.items():
                 words = np.concatenate(parts)
-                vocabulary = [w.decode() if w != _END else "" for w in codes]
                 place = np.flatnonzero(words)
-                counts = np.bincount(words, minlength=len(vocabulary))
-                counts[0] = 0
-                yield _row(number, lang, vocabulary, words, place, words[place], vocabulary, counts)
+                yield _row(number, lang, len(place), [w.decode() if w != _END else "" for w in codes], words, place, [], [])
                 number += 1
             open_blocks.clear()
 
@@ -96,77 +96,95 @@ def word_relation(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, RELATION)
 
 
-def _extend(words: np.ndarray, frequent: np.ndarray, place: np.ndarray, code: np.ndarray, kept: np.ndarray, length: int):
-    """Occurrences one word longer: those of kept phrases whose next word in the piece is frequent.
+class _Block:
+    """A block's occurrences of one length: where they start, and the hash of each."""
 
-    Gives place and code of each, the first occurrence and the count of every code.
-    """
-    good = np.zeros(int(code.max(initial=-1)) + 1, bool)
-    good[kept] = True
-    stays = good[code]
-    place, code = place[stays], code[stays]
-    follows = np.full(len(words) + length, False)
-    follows[:len(words)] = frequent[words]
-    stays = follows[place + length]
-    place, code = place[stays], code[stays]
-    pair = code.astype(np.int64) * len(frequent) + words[place + length]
-    _, first, code, counts = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-    return place, code, place[first], counts
+    def __init__(self, lang: str, vocabulary: pa.Array, words: np.ndarray, place: np.ndarray, length: int):
+        self.vocabulary, self.words, self.length = vocabulary, words, length
+        if length > 1:  # merge-join with the next place
+            starts = np.zeros(len(words) + 1, bool)
+            starts[place] = True
+            place = place[starts[place + 1]]
+        seed = xxhash.xxh64_intdigest(lang)
+        word = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary.to_pylist()), np.uint64, len(vocabulary))
+        hashes = word[words[place]]
+        for step in range(1, length):
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[words[place + step]]
+        self.place, self.hashes = place, hashes
 
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.hashes, return_counts=True)
+
+    def keep(self, hashes: np.ndarray) -> None:
+        stays = np.isin(self.hashes, hashes)
+        self.place, self.hashes = self.place[stays], self.hashes[stays]
+
+    def phrases(self) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases by their words, and how often each occurs."""
+        code = self.words[self.place].astype(np.int64)
+        for step in range(1, self.length):
+            code = np.unique(code * len(self.vocabulary) + self.words[self.place + step], return_inverse=True)[1]
+        _, first, counts = np.unique(code, return_index=True, return_counts=True)
+        names, first = self.vocabulary.to_numpy(zero_copy_only=False), self.place[first]
+        out = names[self.words[first]]
+        for step in range(1, self.length):
+            out = out + " " + names[self.words[first + step]]
+        return out, counts
+
+
+def _blocks(batch: pa.RecordBatch, length: int):
+    """(row, block number, lang, n, occurrences of the length) of rows that begin with block, lang, n, vocabulary, words, place."""
+    for at in range(batch.num_rows):
+        block, lang, n = (batch.column(i)[at].as_py() for i in range(3))
+        words, place = (np.frombuffer(batch.column(i)[at].as_buffer(), np.int32) for i in (4, 5))
+        yield at, block, lang, n, _Block(lang, batch.column(3)[at].values, words, place, length)
 
-def longer_relation(relation: DataFrame, kept: DataFrame, length: int) -> DataFrame:
-    """The relation of length ``length + 1`` from that of ``length``; ``kept`` has (block, words, codes) that are frequent."""
-    joined = relation.select("block", "lang", "vocabulary", "words", "place", "code").join(kept, "block")
 
+_INPUT = ["block", "lang", "n", "vocabulary", "words", "place"]
+
+
+def hashed(relation: DataFrame, length: int) -> DataFrame:
+    """(block, hash, count) of the phrases of ``length`` that adjacent occurrences of the relation make."""
     def run(batches):
         for batch in batches:
-            for at in range(batch.num_rows):
-                block, lang, vocabulary, words, place, code, frequent, codes = (batch.column(i)[at] for i in range(8))
-                words, place, code = (np.frombuffer(v.as_buffer(), np.int32) for v in (words, place, code))
-                common = np.zeros(len(vocabulary.values), bool)
-                common[frequent.values.to_numpy()] = True
-                place, code, first, counts = _extend(words, common, place, code, codes.values.to_numpy(), length)
-                names = vocabulary.values.to_numpy(zero_copy_only=False)
-                phrases = names[words[first]]
-                for step in range(1, length + 1):
-                    phrases = phrases + " " + names[words[first + step]]
-                yield _row(block.as_py(), lang.as_py(), vocabulary.values, words, place, code, phrases, counts)
+            for _, block, _, _, rows in _blocks(batch, length):
+                hashes, counts = rows.counted()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), block)), pa.array(hashes.view(np.int64)), pa.array(counts)], names=["block", "hash", "count"])
+
+    return relation.select(*_INPUT).mapInArrow(run, "block bigint, hash bigint, count bigint")
 
-    return joined.select("block", "lang", "vocabulary", "words", "place", "code", "frequent", "codes").mapInArrow(run, RELATION)
 
+def longer_relation(relation: DataFrame, kept: DataFrame, length: int) -> DataFrame:
+    """The relation of ``length`` from the one before; ``kept`` has (block, hashes) that stay."""
+    def run(batches):
+        for batch in batches:
+            for at, block, lang, n, rows in _blocks(batch, length):
+                rows.keep(batch.column(6)[at].values.to_numpy().view(np.uint64))
+                yield _row(block, lang, n, rows.vocabulary, rows.words, rows.place, *rows.phrases())
 
-def counted(relation: DataFrame) -> DataFrame:
-    """(block, lang, code, phrase, count) of a relation's blocks."""
-    return (relation.select("block", "lang", F.posexplode(F.arrays_zip("phrases", "counts")).alias("code", "both"))
-            .select("block", "lang", "code", F.col("both.phrases").alias("phrase"), F.col("both.counts").alias("count")).where("count > 0"))
+    return relation.select(*_INPUT).join(kept, "block").select(*_INPUT, "hashes").mapInArrow(run, RELATION)
 
 
 def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases of docs (lang, text), and the words of each language.
 
     The first table has (lang, length, phrase, f) for all phrases of up to ``longest`` words
-    that occur at least ``least`` times; the second has (lang, n).
+    that occur at least ``least`` times; the second has (lang, n). Both are written tables.
     """
-    relation = materialise(word_relation(docs), "words")
-    totals = materialise(relation.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (s, c) -> s + c)")).alias("n")), "totals")
-    found, frequent = None, None
+    relation = materialise(word_blocks(docs), "words")
+    totals = materialise(relation.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    found = None
     for length in range(1, longest + 1):
-        rows = counted(relation)
-        level = materialise(rows.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least), "frequent")
-        named = level.select("lang", F.lit(length).alias("length"), "phrase", "f")
-        found = named if found is None else found.unionByName(named)
-        if length == longest:
-            forget(relation)
-            break
-        codes = rows.join(level.select("lang", "phrase"), ["lang", "phrase"], "left_semi").groupBy("block").agg(F.collect_list("code").alias("codes"))
-        if length == 1:
-            frequent = codes = materialise(codes, "codes")
-            codes = codes.withColumn("frequent", F.col("codes"))
-        else:
-            codes = codes.join(frequent.withColumnRenamed("codes", "frequent"), "block")
-        before, relation = relation, materialise(longer_relation(relation, codes.select("block", "frequent", "codes"), length), "phrases")
+        rows = hashed(relation, length)
+        heavy = materialise(rows.groupBy("hash").agg(F.sum("count").alias("f")).where(F.col("f") >= least).select("hash"), "heavy")
+        kept = rows.join(heavy, "hash", "left_semi").groupBy("block").agg(F.collect_list("hash").alias("hashes"))
+        before, relation = relation, materialise(longer_relation(relation, kept, length), "phrases")
+        named = relation.select("lang", F.inline(F.arrays_zip("phrases", "counts"))).groupBy("lang", F.col("phrases").alias("phrase")).agg(F.sum("counts").alias("f"))
+        level = materialise(named.where(F.col("f") >= least).select("lang", F.lit(length).alias("length"), "phrase", "f"), "frequent")
+        found = level if found is None else found.unionByName(level)
         forget(before)
-    forget(frequent)
+        forget(heavy)
+    forget(relation)
     return found, totals
 
 

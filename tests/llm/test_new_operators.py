@@ -152,7 +152,7 @@ def test_phrases(spark, monkeypatch, block):
     docs += [("en", None), (None, ""), ("rare", "one two"), ("en", "The of A the of a " * 30)]
     table = spark.createDataFrame(docs, "lang string, text string").repartition(3)
     if block != phrases.BLOCK:  # many small blocks, as on a large table
-        monkeypatch.setattr(phrases, "word_relation", functools.partial(phrases.word_relation, block=block))
+        monkeypatch.setattr(phrases, "word_blocks", functools.partial(phrases.word_blocks, block=block))
     assert rows_of(phrases.collocations(table, least=5, keep=40)) == counted(docs, 5, 80, 40)
 
 
