@@ -3,7 +3,8 @@
 Texts are cut at punctuation and line breaks into pieces, pieces into words. The relation of
 length k has a row for every occurrence of a phrase of k words that can be frequent. It is
 kept as a table of blocks: a block holds whole documents of one language, its words in order
-of piece and position, and the sorted places where such phrases start.
+of piece and position as far as they are in such a phrase, and a bit per word for the places
+where one starts.
 
 Each length reads the relation of the length before:
 
@@ -32,13 +33,13 @@ from cadastra.session import forget, materialise
 LONGEST, LEAST, SHARE, KEEP = 4, 30, 80, 2000
 UNKNOWN = "und"
 #: Words of a block (a longer document is a block of its own).
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 
 #: Ends of pieces become a byte that no UTF-8 text holds; code 0 stands for them.
 _END = b"\xff"
 _CUT = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-RELATION = "block bigint, lang string, n bigint, vocabulary array<string>, words binary, place binary, phrases array<string>, counts array<bigint>"
+RELATION = "block bigint, lang string, n bigint, vocabulary array<string>, words binary, starts binary, phrases array<string>, counts array<bigint>"
 _NAMES = [part.split()[0] for part in RELATION.split(", ")]
 
 
@@ -55,43 +56,53 @@ class _Codes(dict):
         return number
 
 
-def _row(block: int, lang: str, n: int, vocabulary, words: np.ndarray, place: np.ndarray, phrases, counts) -> pa.RecordBatch:
+def _row(block: int, lang: str, n: int, vocabulary: np.ndarray, words: np.ndarray, place: np.ndarray, phrases, counts) -> pa.RecordBatch:
+    """A row of the relation; codes take two bytes where the vocabulary allows it."""
     listed = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+    starts = np.zeros(len(words), bool)
+    starts[place] = True
     return pa.RecordBatch.from_arrays([
-        pa.array([block]), pa.array([lang]), pa.array([n]), listed(vocabulary, pa.string()), pa.array([words.astype(np.int32).tobytes()]),
-        pa.array([place.astype(np.int32).tobytes()]), listed(phrases, pa.string()), listed(counts, pa.int64()),
+        pa.array([block]), pa.array([lang]), pa.array([n]), listed(vocabulary, pa.string()), pa.array([words.astype(_code_type(len(vocabulary))).tobytes()]),
+        pa.array([np.packbits(starts).tobytes()]), listed(phrases, pa.string()), listed(counts, pa.int64()),
     ], names=_NAMES)
 
 
+def _code_type(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.int32
+
+
 def word_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The words of docs (lang, text) in blocks; write it before use, since blocks are numbered as they fill."""
     def run(batches):
         number = TaskContext.get().partitionId() << 33
         open_blocks: dict[str, tuple[_Codes, list[np.ndarray]]] = {}
-        held = 0
+        held: dict[str, int] = {}
 
-        def close():
+        def close(langs):
             nonlocal number
-            for lang, (codes, parts) in open_blocks.items():
+            for lang in langs:
+                codes, parts = open_blocks.pop(lang)
+                del held[lang]
                 words = np.concatenate(parts)
                 place = np.flatnonzero(words)
-                yield _row(number, lang, len(place), [w.decode() if w != _END else "" for w in codes], words, place, [], [])
+                names = np.array([w.decode() if w != _END else "" for w in codes], object)
+                yield _row(number, lang, len(place), names, words, place, [], [])
                 number += 1
-            open_blocks.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lang = UNKNOWN if lang is None else lang
                 if lang not in open_blocks:
-                    open_blocks[lang] = _Codes({_END: 0}), [np.zeros(1, np.int32)]
+                    open_blocks[lang], held[lang] = (_Codes({_END: 0}), [np.zeros(1, np.int32)]), 0
                 codes, parts = open_blocks[lang]
                 found = tokens(text)
                 parts.append(np.fromiter(map(codes.__getitem__, found), np.int32, len(found)))
-                held += len(found)
-                if held >= block:
-                    yield from close()
-                    held = 0
-        yield from close()
+                held[lang] += len(found)
+                if held[lang] >= block:
+                    yield from close([lang])
+                elif sum(held.values()) >= 4 * block:  # many languages
+                    yield from close(list(held))
+        yield from close(list(held))
 
     return docs.select("lang", "text").mapInArrow(run, RELATION)
 
@@ -112,16 +123,28 @@ class _Block:
             hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[words[place + step]]
         self.place, self.hashes = place, hashes
 
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(self.hashes, return_counts=True)
-
-    def keep(self, hashes: np.ndarray) -> None:
-        stays = np.isin(self.hashes, hashes)
-        self.place, self.hashes = self.place[stays], self.hashes[stays]
+    def keep(self, codes: np.ndarray) -> None:
+        """Only occurrences whose hash is among these, numbered in ascending order of all hashes."""
+        every, code = np.unique(self.hashes, return_inverse=True)
+        good = np.zeros(len(every), bool)
+        good[codes] = True
+        self.place = self.place[good[code]]
+
+    def trimmed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vocabulary, words and places without words outside all occurrences; an end mark stands for each gap."""
+        edge = np.zeros(len(self.words) + 1, np.int32)
+        np.add.at(edge, self.place, 1)
+        np.add.at(edge, self.place + self.length, -1)
+        inside = np.cumsum(edge[:-1]) > 0
+        stays = inside.copy()
+        stays[1:] |= inside[:-1]
+        words = np.concatenate([[0], np.where(inside, self.words, 0)[stays]])
+        used, words = np.unique(words, return_inverse=True)
+        return self.vocabulary.to_numpy(zero_copy_only=False)[used], words, np.cumsum(stays)[self.place]
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray]:
         """The phrases by their words, and how often each occurs."""
-        code = self.words[self.place].astype(np.int64)
+        code = self.words[self.place].astype(np.int64)  # exact: by words, not by hash
         for step in range(1, self.length):
             code = np.unique(code * len(self.vocabulary) + self.words[self.place + step], return_inverse=True)[1]
         _, first, counts = np.unique(code, return_index=True, return_counts=True)
@@ -133,36 +156,39 @@ class _Block:
 
 
 def _blocks(batch: pa.RecordBatch, length: int):
-    """(row, block number, lang, n, occurrences of the length) of rows that begin with block, lang, n, vocabulary, words, place."""
+    """(row, block number, lang, n, occurrences of the length) of rows that begin with block, lang, n, vocabulary, words, starts."""
     for at in range(batch.num_rows):
         block, lang, n = (batch.column(i)[at].as_py() for i in range(3))
-        words, place = (np.frombuffer(batch.column(i)[at].as_buffer(), np.int32) for i in (4, 5))
-        yield at, block, lang, n, _Block(lang, batch.column(3)[at].values, words, place, length)
+        vocabulary = batch.column(3)[at].values
+        words = np.frombuffer(batch.column(4)[at].as_buffer(), _code_type(len(vocabulary)))
+        place = np.flatnonzero(np.unpackbits(np.frombuffer(batch.column(5)[at].as_buffer(), np.uint8), count=len(words)))
+        yield at, block, lang, n, _Block(lang, vocabulary, words, place, length)
 
 
-_INPUT = ["block", "lang", "n", "vocabulary", "words", "place"]
+_INPUT = ["block", "lang", "n", "vocabulary", "words", "starts"]
 
 
 def hashed(relation: DataFrame, length: int) -> DataFrame:
-    """(block, hash, count) of the phrases of ``length`` that adjacent occurrences of the relation make."""
+    """(block, code, hash, count) of the phrases of ``length`` that adjacent occurrences of the relation make."""
     def run(batches):
         for batch in batches:
             for _, block, _, _, rows in _blocks(batch, length):
-                hashes, counts = rows.counted()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), block)), pa.array(hashes.view(np.int64)), pa.array(counts)], names=["block", "hash", "count"])
+                hashes, counts = np.unique(rows.hashes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), block)), pa.array(np.arange(len(hashes), dtype=np.int32)), pa.array(hashes.view(np.int64)), pa.array(counts)],
+                                                 names=["block", "code", "hash", "count"])
 
-    return relation.select(*_INPUT).mapInArrow(run, "block bigint, hash bigint, count bigint")
+    return relation.select(*_INPUT).mapInArrow(run, "block bigint, code int, hash bigint, count bigint")
 
 
 def longer_relation(relation: DataFrame, kept: DataFrame, length: int) -> DataFrame:
-    """The relation of ``length`` from the one before; ``kept`` has (block, hashes) that stay."""
+    """The relation of ``length`` from the one before; ``kept`` has (block, codes) of the phrases that stay."""
     def run(batches):
         for batch in batches:
             for at, block, lang, n, rows in _blocks(batch, length):
-                rows.keep(batch.column(6)[at].values.to_numpy().view(np.uint64))
-                yield _row(block, lang, n, rows.vocabulary, rows.words, rows.place, *rows.phrases())
+                rows.keep(batch.column(6)[at].values.to_numpy())
+                yield _row(block, lang, n, *rows.trimmed(), *rows.phrases())
 
-    return relation.select(*_INPUT).join(kept, "block").select(*_INPUT, "hashes").mapInArrow(run, RELATION)
+    return relation.select(*_INPUT).join(kept, "block").select(*_INPUT, "codes").mapInArrow(run, RELATION)
 
 
 def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +203,7 @@ def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[D
     for length in range(1, longest + 1):
         rows = hashed(relation, length)
         heavy = materialise(rows.groupBy("hash").agg(F.sum("count").alias("f")).where(F.col("f") >= least).select("hash"), "heavy")
-        kept = rows.join(heavy, "hash", "left_semi").groupBy("block").agg(F.collect_list("hash").alias("hashes"))
+        kept = rows.join(heavy, "hash", "left_semi").groupBy("block").agg(F.collect_list("code").alias("codes"))
         before, relation = relation, materialise(longer_relation(relation, kept, length), "phrases")
         named = relation.select("lang", F.inline(F.arrays_zip("phrases", "counts"))).groupBy("lang", F.col("phrases").alias("phrase")).agg(F.sum("counts").alias("f"))
         level = materialise(named.where(F.col("f") >= least).select("lang", F.lit(length).alias("length"), "phrase", "f"), "frequent")
