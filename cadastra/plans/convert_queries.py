@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import tags as T
 from ..functions.geo import densify, fixed, pt
 from ..operators import convert as cv
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources import citydata as city
 from ..sources import osm
 from ..sources.citydata import cte, sql_fixed, sql_hav
@@ -231,8 +231,8 @@ def insert_vertex(spark, sf):
 
 # ---- map extract: the derived roads written as XML, then read back -------------
 
-def _extract(spark, sf):
-    """The derived city as a map extract in the shared folder."""
+def _extract(spark, sf, buildings: bool = False):
+    """The derived city as a map extract in the shared folder; with ``buildings`` their outlines too, as closed ways."""
     path = scratch_path(spark, "extract")
     w = city.derive(spark, sf, "roads")
     ids = [f"({x} * 1000000000 + {y})" for x, y in (("xa", "ya"), ("xm", "ym"), ("xb", "yb"))]
@@ -240,7 +240,14 @@ def _extract(spark, sf):
     refs = f"transform(array({ids[0]}, case when ord % 50 = 49 then -ord - 1 else {ids[1]} end, {ids[2]}), r -> struct(r as _ref))"
     tags = "transform(map_entries(tags), e -> struct(e.key as _k, e.value as _v)) as tag"
     ways = w.selectExpr("ord as _id", f"{refs} as nd", _tag_map(WAY_TAGS)).selectExpr("_id", "nd", tags)
-    pts = w.selectExpr("ord", "inline(array(struct(xa as x, ya as y), struct(xm as x, ym as y), struct(xb as x, yb as y)))").groupBy("x", "y").agg(F.min("ord").alias("o"))
+    pts = w.selectExpr("ord", "inline(array(struct(xa as x, ya as y), struct(xm as x, ym as y), struct(xb as x, yb as y)))")
+    if buildings:
+        h = city.derive(spark, sf, "buildings")
+        corners = "array(struct(x0 as x, y0 as y), struct(x1 as x, y0 as y), struct(x1 as x, y1 as y), struct(x0 as x, y1 as y))"
+        pts = pts.unionByName(h.selectExpr("cast(null as bigint) as ord", f"inline({corners})"))
+        outline = f"transform(concat({corners}, slice({corners}, 1, 1)), c -> struct(c.x * 1000000000 + c.y as _ref)) as nd"
+        ways = ways.unionByName(h.selectExpr(f"ord + {BUILDING_WAYS} as _id", outline, "array(struct('building' as _k, 'yes' as _v)) as tag"))
+    pts = pts.groupBy("x", "y").agg(F.min("ord").alias("o"))
     nodes = pts.selectExpr("x * 1000000000 + y as _id", "y / 1e7 as _lat", "x / 1e7 as _lon",
                            "case when o % 40 = 7 then array(struct('highway' as _k, 'traffic_signals' as _v)) end as tag")
     for tag, df in (("node", nodes), ("way", ways)):
@@ -251,8 +258,7 @@ def _extract(spark, sf):
 _X = cte("roads") + "," + city.ROAD_POINTS + f""", w0 AS (SELECT ord AS id, *, {_tag_cols(WAY_TAGS)} FROM roads),
 nodes AS (SELECT x, y, min(ord) AS o FROM road_points GROUP BY x, y),
 lines AS (SELECT id, highway, least(xa, xm, xb) AS x0, least(ya, ym, yb) AS y0, greatest(xa, xm, xb) AS x1, greatest(ya, ym, yb) AS y1 FROM w0 WHERE ord % 50 <> 49)"""
-INDEX_BOX = {"min_lon": 73.7, "min_lat": 18.57, "max_lon": 73.74, "max_lat": 18.577}
-_INBOX = "x1 >= 737000000 AND x0 <= 737400000 AND y1 >= 185700000 AND y0 <= 185770000"
+BUILDING_WAYS = 1_000_000_000_000
 
 
 @query("a09_read_osm_xml", _X + """SELECT 'node' AS element, count(*) AS rows_, CAST(sum(x) AS BIGINT) AS checksum FROM nodes
@@ -269,15 +275,25 @@ def assemble(spark, sf):
     return osm.assemble_ways(ways, nodes).selectExpr("id", "floor(box.min_lon * 1e7 + 0.5D) as x0", "floor(box.max_lat * 1e7 + 0.5D) as y1", "bigint(size(geometry)) as points")
 
 
-@query("a11_build_map_index", _X + f"""SELECT 'ways' AS category, count(*) AS features FROM lines WHERE highway NOT IN ('footway', 'cycleway', ' Primary ') AND {_INBOX}
-  UNION ALL SELECT 'signals', count(*) FROM nodes WHERE o % 40 = 7 AND x BETWEEN 737000000 AND 737400000 AND y BETWEEN 185700000 AND 185770000""")
+_ROADWAYS = "highway NOT IN ('footway', 'cycleway', ' Primary ')"
+_XB = _X.replace(cte("roads"), cte("roads", "buildings"), 1)
+
+
+def _index(spark, sf):
+    """Folder of the index of the whole extract: its box is that of the data."""
+    nodes, ways, relations = _extract(spark, sf, buildings=True)
+    nodes = materialise(nodes, "nodes")
+    box, path = osm.extract_box(nodes), scratch_path(spark, "index")
+    osm.write_map_index(osm.build_map_index(nodes, ways, box), path, box)
+    return path
+
+
+@query("a11_build_map_index", _XB + f"""SELECT 'ways' AS category, count(*) AS features FROM lines WHERE {_ROADWAYS}
+  UNION ALL SELECT 'signals', count(*) FROM nodes WHERE o % 40 = 7 UNION ALL SELECT 'buildings', count(*) FROM buildings UNION ALL SELECT 'metro', 0""")
 def build_index(spark, sf):
-    nodes, ways, _ = _extract(spark, sf)
-    index = osm.build_map_index(nodes, ways, INDEX_BOX)
-    path = scratch_path(spark, "index")
-    osm.write_map_index(index, path)
-    out = [spark.read.schema(index[c].withColumn("cell", F.lit("")).schema).parquet(f"{path}/{c}").selectExpr(f"'{c}' as category") for c in ("ways", "signals")]
-    return out[0].unionByName(out[1]).groupBy("category").agg(F.expr("count(1)").alias("features"))
+    path = _index(spark, sf)
+    held = spark.read.schema(osm.META).parquet(f"{path}/meta")
+    return held.select("category", "features")
 
 
 def _query_boxes(spark, sf):
@@ -304,14 +320,13 @@ def in_boxes(spark, sf):
     return join_boxes(features, _query_boxes(spark, sf).selectExpr("city", "ord as box_id", "box as b_box"), 0.002).select("id", "box_id")
 
 
-@query("a14_index_status", _X + f"""SELECT true AS available, 'roads,signals,buildings,metro' AS capabilities, (SELECT count(*) FROM lines WHERE highway NOT IN ('footway', 'cycleway', ' Primary ') AND {_INBOX}) AS ways,
-  (SELECT count(*) FROM nodes WHERE o % 40 = 7 AND x BETWEEN 737000000 AND 737400000 AND y BETWEEN 185700000 AND 185770000) AS signals,
-  (SELECT count(*) FROM supplier WHERE s_suppkey >= 10) = 0 AS covered""")
+@query("a14_index_status", cte("roads", "buildings", "sites") + _X[len(cte("roads")):] + f""", span AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM (SELECT x, y FROM road_points UNION ALL SELECT x0, y0 FROM buildings UNION ALL SELECT x1, y1 FROM buildings))
+ SELECT true AS available, 'buildings,metro,roads,signals' AS capabilities, (SELECT count(*) FROM lines WHERE {_ROADWAYS}) AS ways, (SELECT count(*) FROM nodes WHERE o % 40 = 7) AS signals, (SELECT count(*) FROM buildings) AS buildings, 0 AS metro,
+  {sql_fixed('x0 / 1e7', 7)} AS min_lon, {sql_fixed('y1 / 1e7', 7)} AS max_lat, (SELECT bool_and(ox >= x0 AND oy >= y0 AND ox + 90000 <= x1 AND oy + 60000 <= y1) FROM sites) AS covered FROM span""")
 def status(spark, sf):
-    nodes, ways, _ = _extract(spark, sf)
-    index = osm.build_map_index(nodes, ways, INDEX_BOX)
+    held = osm.index_status(spark, _index(spark, sf))
     boxes = city.derive(spark, sf, "sites").selectExpr("named_struct('min_lon', ox / 1e7, 'min_lat', oy / 1e7, 'max_lon', (ox + 90000) / 1e7, 'max_lat', (oy + 60000) / 1e7) as box")
-    return osm.index_status(index, INDEX_BOX).join(osm.covers(boxes, INDEX_BOX), F.lit(True)).select("available", "capabilities", "ways", "signals", "covered")
+    return held.join(osm.covers(boxes, held), F.lit(True)).select("available", "capabilities", "ways", "signals", "buildings", "metro", "min_lon", "max_lat", "covered")
 
 
 @query("h16_remapped_sections", cte("roads") + f""", n AS (SELECT road_id, ord, greatest(1, CAST(ceil({sql_hav('xa / 1e7', 'ya / 1e7', 'xm / 1e7', 'ym / 1e7')} / 10) AS BIGINT)) AS n1, greatest(1, CAST(ceil({sql_hav('xm / 1e7', 'ym / 1e7', 'xb / 1e7', 'yb / 1e7')} / 10) AS BIGINT)) AS n2 FROM roads)

@@ -240,19 +240,21 @@ def control(spark, sf):
 _SEEDPTS = """, sp AS (SELECT city, xa0 / 1e7 AS ax, ya0 / 1e7 AS ay, xm / 1e7 AS bx, ym / 1e7 AS by_ FROM roads WHERE j = 90 UNION ALL SELECT city, xm / 1e7, ym / 1e7, xb0 / 1e7, yb0 / 1e7 FROM roads WHERE j = 90)"""
 
 
-@query("g10_isolated_pieces", _rec(EDGES) + f""", used AS (SELECT e.* FROM edges e JOIN roads r USING (road_id) WHERE r.road_class IN ('highway', 'arterial') OR r.j = 90), sym AS (SELECT src, dst FROM used UNION SELECT dst, src FROM used),
+@query("g10_isolated_pieces", _rec(EDGES).replace(cte("roads").removeprefix("WITH "), cte("roads", "proposals").removeprefix("WITH "), 1) + f""", drawn AS (SELECT city, id AS road_id, -2 * ord - 1 AS src, -2 * ord - 2 AS dst, xa, ya, xb, yb FROM proposals WHERE type = 'road'),
+ used AS (SELECT city, road_id, src, dst FROM edges UNION ALL SELECT city, road_id, src, dst FROM drawn), sym AS (SELECT src, dst FROM used UNION SELECT dst, src FROM used),
  cc(node, c) USING KEY (node) AS (SELECT src AS node, src AS c FROM (SELECT DISTINCT src FROM sym) UNION SELECT e.dst, min(s.c) FROM cc s JOIN sym e ON e.src = s.node JOIN recurring.cc r ON r.node = e.dst WHERE s.c < r.c GROUP BY e.dst){_SEEDPTS},
- pts AS (SELECT DISTINCT city, a AS node, xa0 / 1e7 AS lon, ya0 / 1e7 AS lat FROM g UNION SELECT DISTINCT city, b, xb0 / 1e7, yb0 / 1e7 FROM g), lk AS (SELECT DISTINCT cc.c FROM cc JOIN used u ON u.src = cc.node JOIN roads r USING (road_id) WHERE r.j = 90),
+ pts AS (SELECT DISTINCT city, a AS node, xa0 / 1e7 AS lon, ya0 / 1e7 AS lat FROM g UNION SELECT DISTINCT city, b, xb0 / 1e7, yb0 / 1e7 FROM g UNION SELECT city, src, xa / 1e7, ya / 1e7 FROM drawn UNION SELECT city, dst, xb / 1e7, yb / 1e7 FROM drawn), lk AS (SELECT DISTINCT cc.c FROM cc JOIN used u ON u.src = cc.node JOIN roads r ON r.road_id = u.road_id WHERE r.j = 90),
  sz AS (SELECT u.city, c AS component, count(DISTINCT u.road_id) AS roads FROM cc JOIN used u ON u.src = cc.node WHERE c NOT IN (SELECT c FROM lk) GROUP BY ALL),
  d AS (SELECT p.city, cc.c AS component, p.lon, p.lat, s.*, greatest(0, least(1, ((p.lon - ax) * (bx - ax) * pow(cos(radians(p.lat)), 2) + (p.lat - ay) * (by_ - ay)) / (pow(bx - ax, 2) * pow(cos(radians(p.lat)), 2) + pow(by_ - ay, 2)))) AS t FROM pts p JOIN cc USING (node) JOIN sp s ON s.city = p.city),
  m AS (SELECT city, component, min(sqrt(pow((ax + t * (bx - ax) - lon) * 111320.0::DOUBLE * cos(radians(lat)), 2) + pow((ay + t * (by_ - ay) - lat) * 111320.0::DOUBLE, 2))) AS metres FROM d GROUP BY ALL)
  SELECT city, component, roads, {sql_fixed('metres', 3)} AS metres FROM sz JOIN m USING (city, component) WHERE metres <= 300""")
 def isolated(spark, sf):
-    """Pieces of the main road network cut off from the selected road, within 300 m of it."""
+    """Pieces of the network of all roads and proposed roads cut off from the selected road, within 300 m of it."""
     from ..functions.geo import pt
     from .nearest_queries import grid_nodes
     seeds = city.derive(spark, sf, "roads").filter("j = 90").selectExpr(
         "city", "ord", "road_id", f"array({pt('xa0 / 1e7', 'ya0 / 1e7')}, {pt('xm / 1e7', 'ym / 1e7')}, {pt('xb0 / 1e7', 'yb0 / 1e7')}) as coordinates")
-    e = grid_edges(spark, sf)
-    main = e.filter("road_class in ('highway', 'arterial')").unionByName(e.join(seeds.select("road_id"), "road_id", "left_semi").select(*e.columns)).distinct()
-    return st.isolated_pieces(materialise(main, "main"), grid_nodes(spark, sf), seeds, 300.0).withColumn("metres", F.expr(fixed("metres", 3)))
+    drawn = city.derive(spark, sf, "proposals").filter("type = 'road'")
+    every = grid_edges(spark, sf).select("city", "road_id", "src", "dst").unionByName(drawn.selectExpr("city", "id as road_id", "-2 * ord - 1 as src", "-2 * ord - 2 as dst"))
+    ends = drawn.selectExpr("city", "inline(array(struct(-2 * ord - 1 as node, xa / 1e7 as lon, ya / 1e7 as lat), struct(-2 * ord - 2 as node, xb / 1e7 as lon, yb / 1e7 as lat)))").selectExpr("*", "0D as z")
+    return st.isolated_pieces(materialise(every, "network"), grid_nodes(spark, sf).unionByName(ends), seeds, 300.0).withColumn("metres", F.expr(fixed("metres", 3)))

@@ -65,17 +65,29 @@ def encode(spark, sf):
         "bigint(size(coordinates)) as points", "floor(coordinates[1].lon * 1e7 + 0.5D) as east")
 
 
-@query("a05_upsert_objects", cte("buildings", "proposals") + """,
-batch AS (SELECT id, population, updated_at, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, ord DESC) AS rn FROM proposals WHERE type = 'building')
-SELECT COALESCE(b.building_id, p.id) AS id, COALESCE(p.population, b.population) AS population,
- CASE WHEN b.building_id IS NULL THEN p.updated_at ELSE TIMESTAMP '2026-01-01' END AS created_at,
+_STORE = """base AS (SELECT building_id AS id, 'building' AS type, population FROM buildings UNION ALL SELECT road_id, 'road', NULL FROM roads UNION ALL SELECT zone_id, 'zone', total_population FROM zones)"""
+
+
+def base_objects(spark, sf):
+    """Buildings, roads and zones of the base layer in one table."""
+    parts = (("buildings", "building", "building_id", "population"), ("roads", "road", "road_id", "cast(null as bigint)"), ("zones", "zone", "zone_id", "total_population"))
+    out = None
+    for table, kind, key, people in parts:
+        rows = city.derive(spark, sf, table).selectExpr(f"{key} as id", f"'{kind}' as type", f"{people} as population")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("a05_upsert_objects", cte("buildings", "roads", "zones", "proposals") + f""", {_STORE},
+batch AS (SELECT id, type, population, updated_at, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, ord DESC) AS rn FROM proposals)
+SELECT COALESCE(b.id, p.id) AS id, COALESCE(p.type, b.type) AS type, CASE WHEN p.id IS NULL THEN b.population ELSE p.population END AS population,
+ CASE WHEN b.id IS NULL THEN p.updated_at ELSE TIMESTAMP '2026-01-01' END AS created_at,
  COALESCE(p.updated_at, TIMESTAMP '2026-01-01') AS updated_at
-FROM buildings b FULL JOIN (SELECT * FROM batch WHERE rn = 1) p ON p.id = b.building_id""")
+FROM base b FULL JOIN (SELECT * FROM batch WHERE rn = 1) p ON p.id = b.id""")
 def upsert(spark, sf):
-    table = city.derive(spark, sf, "buildings").selectExpr(
-        "building_id as id", "population", "-1L as ord", f"{store.BASE_TIME} as created_at", f"{store.BASE_TIME} as updated_at")
-    batch = city.derive(spark, sf, "proposals").filter("type = 'building'").selectExpr(
-        "id", "population", "ord", "updated_at as created_at", "updated_at")
+    """Proposals of every type put into a table of all base objects."""
+    table = base_objects(spark, sf).selectExpr("*", "-1L as ord", f"{store.BASE_TIME} as created_at", f"{store.BASE_TIME} as updated_at")
+    batch = city.derive(spark, sf, "proposals").selectExpr("id", "type", "population", "ord", "updated_at as created_at", "updated_at")
     return tb.upsert(table, batch, ["id"], ["updated_at", "ord"]).drop("ord")
 
 

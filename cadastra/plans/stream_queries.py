@@ -9,34 +9,44 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geo import fixed
-from ..session import scratch_path, stream_partitions
+from ..session import materialise, scratch_path, stream_partitions
 from ..sources import citydata as city
 from ..sources.citydata import cte, sql_fixed
 from ..streaming import streams as sm
+from .object_queries import _STORE, base_objects
 from .registry import query
 
 # A closing row far in the future moves the watermark past every real window.
 _CLOSE = "timestamp'2100-01-01 00:00:00'"
 
 
-def _stream(spark, df, order: str = "ts", files: int = 64):
-    """``df`` as a stream of files, ``files`` per batch, and how late its rows can be.
+#: Spans of time a replayed table is cut into.
+SPANS = 4
 
-    Files are read in no order of time, so a row can be as late as the whole input is long;
-    a last file closes all windows. A real source's lateness would be its own.
+
+def _stream(spark, df, order: str = "ts", files: int = 64, close: bool = True):
+    """``df`` as a stream of files in order of time, and how late its rows can be.
+
+    The table is written span by span, and files are read in the order they were written, so
+    a row is late by the length of a span at most and results leave as the stream goes on.
+    A last file closes all windows, unless ``close`` is off. A real source's lateness would be its own.
     """
     path = scratch_path(spark, "stream-in")
-    df.write.parquet(f"{path}/part=0")
-    written = spark.read.schema(df.schema).parquet(f"{path}/part=0")
-    seconds = written.agg(F.expr(f"coalesce(timestampdiff(second, min({order}), max({order})), 0) + 1")).first()[0]
-    tail = written.limit(1).withColumn(order, F.expr(_CLOSE))
+    df = materialise(df, "replay")
+    first, seconds = df.agg(F.min(order), F.expr(f"coalesce(timestampdiff(second, min({order}), max({order})), 0) + 1")).first()
+    length = -(-seconds // SPANS)
+    at = f"least({SPANS - 1}L, timestampdiff(second, timestamp'{first}', {order}) div {length})"
+    for span in range(SPANS):
+        df.filter(f"{at} = {span}").write.parquet(f"{path}/part={span}")
+    tail = df.limit(1).withColumn(order, F.expr(_CLOSE))
     for c, t in df.dtypes:
         if c in ("vehicle_id", "change_id"):
             tail = tail.withColumn(c, F.lit(-1).cast(t))
         elif c in ("road_id", "segment_key", "object_id"):
             tail = tail.withColumn(c, F.lit("closing"))
-    tail.write.parquet(f"{path}/part=1")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part=*"), f"{seconds} seconds"
+    if close:
+        tail.write.parquet(f"{path}/part={SPANS}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/part=*"), f"{length} seconds"
 
 
 def _finish(spark, out, mode: str = "append"):
@@ -91,16 +101,17 @@ def edit_sessions(spark, sf):
     return _finish(spark, out).filter("object_id <> 'closing'").select("object_id", "field", "started", "edits")
 
 
-@query("s05_stream_apply_changes", cte("buildings", "proposals") + """, b AS (SELECT id, population, updated_at, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, population DESC) AS rn FROM proposals WHERE type = 'building')
- SELECT COALESCE(x.building_id, p.id) AS id, COALESCE(p.updated_at, TIMESTAMP '1990-01-01') AS updated_at FROM buildings x FULL JOIN (SELECT * FROM b WHERE rn = 1) p ON p.id = x.building_id""")
+@query("s05_stream_apply_changes", cte("buildings", "roads", "zones", "proposals") + f""", {_STORE}, b AS (SELECT id, type, population, updated_at, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, ord DESC) AS rn FROM proposals)
+ SELECT COALESCE(x.id, p.id) AS id, COALESCE(p.type, x.type) AS type, CASE WHEN p.id IS NULL THEN x.population ELSE p.population END AS population, COALESCE(p.updated_at, TIMESTAMP '1990-01-01') AS updated_at
+ FROM base x FULL JOIN (SELECT * FROM b WHERE rn = 1) p ON p.id = x.id""")
 def apply_changes(spark, sf):
     table, state = scratch_path(spark, "objects"), scratch_path(spark, "stream-state")
     base = "timestamp'1990-01-01 00:00:00'"
-    city.derive(spark, sf, "buildings").selectExpr("building_id as id", "population", f"{base} as created_at", f"{base} as updated_at").write.parquet(f"{table}/v0")
-    changes = city.derive(spark, sf, "proposals").filter("type = 'building'").selectExpr("ord as change_id", "id", "population", "updated_at as created_at", "updated_at")
+    base_objects(spark, sf).selectExpr("*", "-1L as seq", f"{base} as created_at", f"{base} as updated_at").write.parquet(f"{table}/v0")
+    changes = city.derive(spark, sf, "proposals").selectExpr("ord as change_id", "id", "type", "population", "ord as seq", "updated_at as created_at", "updated_at")
     # The same changes arrive twice; each must count once.
     path = scratch_path(spark, "changes")
     changes.unionByName(changes).write.parquet(path)
     with stream_partitions(spark):
-        sm.stream_apply_changes(spark.readStream.schema(changes.schema).parquet(path), table, state).awaitTermination()
-    return spark.read.parquet(f"{table}/v{sm.newest_version(spark, table)}").select("id", "updated_at")
+        sm.stream_apply_changes(spark.readStream.schema(changes.schema).parquet(path), table, state, order=("updated_at", "seq")).awaitTermination()
+    return spark.read.parquet(f"{table}/v{sm.newest_version(spark, table)}").select("id", "type", "population", "updated_at")

@@ -15,7 +15,6 @@ TAGS = "tag array<struct<_k:string,_v:string>>"
 NODE_SCHEMA = f"_id bigint, _lat double, _lon double, {TAGS}"
 WAY_SCHEMA = f"_id bigint, nd array<struct<_ref:bigint>>, {TAGS}"
 RELATION_SCHEMA = f"_id bigint, member array<struct<_type:string,_ref:bigint,_role:string>>, {TAGS}"
-CAPABILITIES = ("roads", "signals", "buildings", "metro")
 TAG_MAP = "map_from_entries(transform(coalesce(tag, array()), _t -> struct(_t._k, _t._v)))"
 
 
@@ -41,27 +40,57 @@ def assemble_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:
         "*", f"{bounds('geometry')} as box")
 
 
-def build_map_index(nodes: DataFrame, ways: DataFrame, box: dict) -> dict[str, DataFrame]:
-    """Roads, signals and metro of an extract that overlap ``box``."""
+def extract_box(nodes: DataFrame) -> dict | None:
+    """Bounds of an extract's nodes, one row of the whole table; None if there are none."""
+    row = nodes.agg(*[F.expr(f"{f}({fixed(c, 7)})").alias(f"{f}_{c}") for f in ("min", "max") for c in ("lon", "lat")]).first()
+    return row.asDict() if row["min_lon"] is not None else None
+
+
+def build_map_index(nodes: DataFrame, ways: DataFrame, box: dict, relations: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Roads, signals, buildings and metro of an extract that overlap ``box``.
+
+    A building is a closed way, or the outer rings of a relation, with a ``building`` tag.
+    """
+    from ..operators.rings import assemble_buildings
     b = "named_struct(" + ", ".join(f"'{k}', {v!r}D" for k, v in box.items()) + ")"
-    kept = ways.filter(f"{T.is_vehicle_highway()} or {T.is_metro()}")
-    lines = assemble_ways(kept, nodes).filter(boxes_touch("box", b))
+    built = "coalesce(tags['building'], 'no') <> 'no'"
+    kept = ways.filter(f"{T.is_vehicle_highway()} or {T.is_metro()} or {built}")
+    lines = assemble_ways(kept, nodes).selectExpr("*", f"{b} as _b").filter(boxes_touch("box", "_b")).drop("_b")
     inside = nodes.filter(f"lon between {box['min_lon']!r}D and {box['max_lon']!r}D and lat between {box['min_lat']!r}D and {box['max_lat']!r}D")
     stations = inside.filter(T.is_metro()).selectExpr(
         "'node' as element_type", "id", "tags", "array(named_struct('lon', lon, 'lat', lat, 'z', 0D)) as geometry",
         "named_struct('min_lon', lon, 'min_lat', lat, 'max_lon', lon, 'max_lat', lat) as box")
     metro = lines.filter(T.is_metro()).selectExpr("'way' as element_type", "id", "tags", "geometry", "box").unionByName(stations)
-    return {"ways": lines.filter(T.is_vehicle_highway()), "metro": metro,
+    buildings = lines.filter(f"{built} and size(geometry) >= 4 and geometry[0] = element_at(geometry, -1)").selectExpr("'way' as element_type", "id", "tags", "geometry", "box")
+    if relations is not None:
+        rel = relations.filter(built)
+        members = ways.join(rel.selectExpr("explode(members) as m").selectExpr("m.ref as id").distinct(), "id", "left_semi")
+        rings = assemble_buildings(rel, assemble_ways(members, nodes)).filter("role = 'outer'").join(rel.selectExpr("id as relation_id", "tags"), "relation_id")
+        rings = rings.selectExpr("'relation' as element_type", "relation_id as id", "tags", "transform(coordinates, p -> named_struct('lon', p.lon, 'lat', p.lat, 'z', 0D)) as geometry")
+        rings = rings.selectExpr("*", f"{bounds('geometry')} as box", f"{b} as _b").filter(boxes_touch("box", "_b")).drop("_b")
+        buildings = buildings.unionByName(rings)
+    return {"ways": lines.filter(T.is_vehicle_highway()), "metro": metro, "buildings": buildings,
             "signals": inside.filter(T.is_signal()).selectExpr("id", f"{fixed('lon', 7)} as lon", f"{fixed('lat', 7)} as lat")}
 
 
-def write_map_index(index: dict[str, DataFrame], path: str, cell_deg: float = 0.05) -> None:
-    """Each category as Parquet, laid out by grid cell so box queries prune files."""
+def write_map_index(index: dict[str, DataFrame], path: str, box: dict, cell_deg: float = 0.05) -> None:
+    """Each category as Parquet, laid out by grid cell so box queries prune files, and what the index holds.
+
+    ``meta`` is written last, from the files themselves, so an index without it is not complete.
+    """
     for category, df in index.items():
         lon, lat = ("lon", "lat") if "lon" in df.columns else ("box.min_lon", "box.min_lat")
         cells = df.selectExpr("*", f"concat_ws('_', floor({lon} / {cell_deg}D), floor({lat} / {cell_deg}D)) as cell")
         # One shuffle on the cell, so a cell is written by few tasks and file counts stay low.
         cells.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/{category}")
+    spark = next(iter(index.values())).sparkSession
+    corners = [f"{v!r}D as {k}" for k, v in box.items()]
+    counts = [spark.read.schema(df.withColumn("cell", F.lit("")).schema).parquet(f"{path}/{c}").selectExpr(f"'{c}' as category") for c, df in index.items()]
+    held = counts[0]
+    for more in counts[1:]:
+        held = held.unionByName(more)
+    names = spark.createDataFrame([(c,) for c in index], "category string")
+    names.join(held.groupBy("category").agg(F.expr("count(1)").alias("features")), "category", "left").na.fill(0).selectExpr("*", *corners).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def read_index(features: DataFrame, boxes: DataFrame, key: Sequence[str] = ("id",), tile: float = 0.01) -> DataFrame:
@@ -73,19 +102,26 @@ def read_index(features: DataFrame, boxes: DataFrame, key: Sequence[str] = ("id"
     return features.join(hits, list(key), "left_semi")
 
 
-def index_status(index: dict[str, DataFrame], box: dict) -> DataFrame:
-    """One row: what the index holds and where."""
-    ways = index["ways"].agg(F.expr("count(1)").alias("ways"))
-    signals = index["signals"].agg(F.expr("count(1)").alias("signals"))
-    return ways.join(signals, F.lit(True)).selectExpr(
-        "true as available", f"'{','.join(CAPABILITIES)}' as capabilities", "ways", "signals", *[f"{v!r}D as {k}" for k, v in box.items()])
+#: What a category of the index is called to its users. Fixed values.
+CAPABILITY = {"ways": "roads", "signals": "signals", "buildings": "buildings", "metro": "metro"}
+META = "category string, features bigint, min_lon double, min_lat double, max_lon double, max_lat double"
+
+
+def index_status(spark: SparkSession, path: str) -> DataFrame:
+    """One row: whether there is a complete index at ``path``, what it can answer, its counts and its box."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    meta = spark.read.schema(META).parquet(f"{path}/meta") if there else spark.createDataFrame([], META)
+    names = "map(" + ", ".join(f"'{c}', '{n}'" for c, n in CAPABILITY.items()) + ")"
+    counts = [F.expr(f"coalesce(sum(features) filter (where category = '{c}'), 0)").alias(c) for c in CAPABILITY]
+    return meta.agg(F.expr("count(1) > 0").alias("available"), F.expr(f"array_join(array_sort(collect_list({names}[category])), ',')").alias("capabilities"), *counts,
+                    *[F.first(c).alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")])
 
 
-def covers(boxes: DataFrame, box: dict) -> DataFrame:
-    """Whether every query box lies inside the indexed box."""
-    return boxes.agg(F.expr(
-        f"every(box.min_lon >= {box['min_lon']!r}D and box.min_lat >= {box['min_lat']!r}D"
-        f" and box.max_lon <= {box['max_lon']!r}D and box.max_lat <= {box['max_lat']!r}D)").alias("covered"))
+def covers(boxes: DataFrame, status: DataFrame) -> DataFrame:
+    """Whether every query box lies inside the indexed box (one row; no index covers nothing)."""
+    inside = "box.min_lon >= min_lon and box.min_lat >= min_lat and box.max_lon <= max_lon and box.max_lat <= max_lat"
+    return boxes.join(F.broadcast(status.select("min_lon", "min_lat", "max_lon", "max_lat")), F.lit(True)).agg(F.expr(f"coalesce(every(coalesce({inside}, false)), true)").alias("covered"))
 
 
-__all__ = ["read_osm_xml", "assemble_ways", "build_map_index", "write_map_index", "read_index", "index_status", "covers"]
+__all__ = ["read_osm_xml", "assemble_ways", "extract_box", "build_map_index", "write_map_index", "read_index", "index_status", "covers"]

@@ -7,6 +7,8 @@ unless it starts a query.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,8 +79,8 @@ def newest_version(spark: SparkSession, table_path: str) -> int:
     return max(int(f.getPath().getName()[1:]) for f in found if f.getPath().getName()[1:].isdigit())
 
 
-def stream_apply_changes(changes: DataFrame, table_path: str, checkpoint: str):
-    """Upsert a change stream into the object table at ``table_path``; the newest change of a row wins.
+def stream_apply_changes(changes: DataFrame, table_path: str, checkpoint: str, order: Sequence[str] = ("updated_at",)):
+    """Upsert a change stream into the object table at ``table_path``; the newest change of a row, by ``order``, wins.
 
     The table is a folder of versions: batch n reads version n and writes n + 1, so
     repeating a batch after a failure gives the same result. A change counts only if it is
@@ -90,7 +92,7 @@ def stream_apply_changes(changes: DataFrame, table_path: str, checkpoint: str):
             table = spark.read.parquet(f"{table_path}/v{number}")
         except Exception as missing:  # the folder was never seeded
             raise ValueError(f"no table version v{number} below {table_path}") from missing
-        last = newest(batch.drop("change_id"), ["id"], ["updated_at"])
-        fresh = last.join(table.select("id", F.col("updated_at").alias("_have")), "id", "left").filter("_have is null or updated_at >= _have").select(*last.columns)
-        upsert(table, fresh, ["id"], ["updated_at"]).write.mode("overwrite").parquet(f"{table_path}/v{number + 1}")
+        last = newest(batch.drop("change_id"), ["id"], order)
+        fresh = last.join(table.select("id", F.struct(*order).alias("_have")), "id", "left").filter(F.col("_have").isNull() | (F.struct(*order) >= F.col("_have"))).select(*last.columns)
+        upsert(table, fresh, ["id"], order).write.mode("overwrite").parquet(f"{table_path}/v{number + 1}")
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
