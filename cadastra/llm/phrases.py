@@ -10,13 +10,13 @@ Each length reads the relation of the length before:
 
 1. merge-join: where two occurrences of length k - 1 are adjacent in a piece, one of length k
    starts; both sides are the sorted places, so the join is a lookup at the next place;
-2. group-count: 64-bit hashes of the new phrases are counted in the block, then over all
-   blocks; a phrase that is frequent has a hash that is;
+2. group-count: hashes of the new phrases are counted in the block, then over all blocks; a
+   phrase that is frequent has a hash that is;
 3. semi-join: only occurrences with such a hash are kept. Their phrases are then counted by
    their text, so a clash of hashes changes no result.
 
-Only (block, hash, count) rows are shuffled for all phrases, texts for the frequent ones
-alone. A frequent word or passage has one row per block.
+Only (block, code, hash, count) rows are shuffled for all phrases, texts for the frequent
+ones alone. A frequent word or passage has one row per block.
 """
 
 from __future__ import annotations
@@ -168,13 +168,18 @@ def _blocks(batch: pa.RecordBatch, length: int):
 _INPUT = ["block", "lang", "n", "vocabulary", "words", "starts"]
 
 
-def hashed(relation: DataFrame, length: int) -> DataFrame:
-    """(block, code, hash, count) of the phrases of ``length`` that adjacent occurrences of the relation make."""
+def hashed(relation: DataFrame, length: int, bits: int = 63) -> DataFrame:
+    """(block, code, hash, count) of the phrases of ``length`` that adjacent occurrences of the relation make.
+
+    ``bits`` of the hash are given out: some more than the number of words has keep clashes few.
+    """
+    mask = np.uint64((1 << bits) - 1)
+
     def run(batches):
         for batch in batches:
             for _, block, _, _, rows in _blocks(batch, length):
                 hashes, counts = np.unique(rows.hashes, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), block)), pa.array(np.arange(len(hashes), dtype=np.int32)), pa.array(hashes.view(np.int64)), pa.array(counts)],
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), block)), pa.array(np.arange(len(hashes), dtype=np.int32)), pa.array((hashes & mask).view(np.int64)), pa.array(counts)],
                                                  names=["block", "code", "hash", "count"])
 
     return relation.select(*_INPUT).mapInArrow(run, "block bigint, code int, hash bigint, count bigint")
@@ -199,17 +204,17 @@ def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[D
     """
     relation = materialise(word_blocks(docs), "words")
     totals = materialise(relation.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    words = totals.agg(F.sum("n")).first()[0] or 0
+    bits = min(63, max(16, words.bit_length() + 8))
     found = None
     for length in range(1, longest + 1):
-        rows = hashed(relation, length)
-        heavy = materialise(rows.groupBy("hash").agg(F.sum("count").alias("f")).where(F.col("f") >= least).select("hash"), "heavy")
-        kept = rows.join(heavy, "hash", "left_semi").groupBy("block").agg(F.collect_list("code").alias("codes"))
+        rows = hashed(relation, length, bits).withColumn("f", F.sum("count").over(Window.partitionBy("hash")))
+        kept = rows.where(F.col("f") >= least).groupBy("block").agg(F.collect_list("code").alias("codes"))
         before, relation = relation, materialise(longer_relation(relation, kept, length), "phrases")
         named = relation.select("lang", F.inline(F.arrays_zip("phrases", "counts"))).groupBy("lang", F.col("phrases").alias("phrase")).agg(F.sum("counts").alias("f"))
         level = materialise(named.where(F.col("f") >= least).select("lang", F.lit(length).alias("length"), "phrase", "f"), "frequent")
         found = level if found is None else found.unionByName(level)
         forget(before)
-        forget(heavy)
     forget(relation)
     return found, totals
 
