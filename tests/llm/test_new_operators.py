@@ -231,3 +231,23 @@ def test_run_edges(spark, odd):
     assert next(g for g in got if g.doc_id == 4).collapsed == "word"
     assert next(g for g in got if g.doc_id == 2).collapsed == "" and next(g for g in got if g.doc_id is None).runs == []
     assert periodic.digests(periodic.find(odd.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clustered"])
+def test_neighbour_recall_on_full_shards(spark, kind):
+    """Two full shards: isotropic vectors, the hardest case, and tight clusters."""
+    from cadastra.llm import ann
+    rng = np.random.default_rng(7)
+    n = 2 * ann.SHARD
+    vectors = rng.standard_normal((n, 64))
+    if kind == "clustered":
+        vectors = rng.standard_normal((200, 64))[rng.integers(0, 200, n)] + 0.15 * vectors
+    vectors = vectors.astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(vectors)}), "vec_id bigint, embedding array<float>")
+    got = ann.nearest(rows, every=40).toPandas()
+    asked = np.arange(0, n, 40)
+    products = vectors[asked].astype(float) @ vectors.T.astype(float)
+    products[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-products, axis=1, kind="stable")[:, :20]
+    found = got.groupby("query_id").vec_id.agg(set)
+    assert np.mean([len(found[q] & set(b)) / 20 for q, b in zip(asked, best.tolist(), strict=True)]) >= 0.95
