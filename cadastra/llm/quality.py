@@ -2,11 +2,13 @@
 
 Every text is measured once. The measures of a group (language, source) are kept as a
 quantile sketch: counts of logarithmic bins, exact to one part in 32, which merge by adding
-up. The sketches of a language's sources merge into the language's sketch. A threshold is
-the median plus a multiple of the distance from the median to the third quartile plus a
-slack; a source's threshold is drawn towards its language's by the weight of ``PRIOR``
-documents, so that a source with few documents does not set its own standard. Documents are
-then filtered by a join with the thresholds.
+up. The sketches of a language's sources merge into the language's sketch. Thresholds lie
+around the shortest interval of values that holds half of a group's documents: its ends plus
+a multiple of its length plus a slack. Bad documents scatter, so they do not move that
+interval, on whichever side they are, until they are more than half of a group. A source's
+threshold is drawn towards its language's by the weight of ``PRIOR`` documents, so that a
+source with few documents does not set its own standard. Documents are then filtered by a
+join with the thresholds.
 
 A few bins per group are all that is shuffled, whatever a group's share of the rows.
 """
@@ -23,9 +25,9 @@ from .text import free_name, map_batches, texts
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Measure -> (multiple of the upper half-width, slack, multiple below, slack below or None).
+#: Measure -> (multiple of the interval's length, slack, slack below or None, largest threshold or None).
 #: Symbols and doubled lines are per thousand words and lines, word length in hundredths.
-FENCES = {"symbols": (4, 250, None), "doubled": (4, 400, None), "length": (6, 300, 300)}
+FENCES = {"symbols": (2, 250, None, None), "doubled": (2, 400, None, 900), "length": (3, 300, 300, None)}
 PRIOR = 100
 #: A threshold table of at most this many rows (about 100 bytes each) is broadcast; a larger one is joined by key.
 BROADCAST_ROWS = 20_000
@@ -79,9 +81,10 @@ def _value(m: str, kind: str) -> Column:
     return F.expr(f"coalesce(({part}) div nullif({m}.{whole}, 0), 0)".format(m=m))
 
 
-#: Bin of a value v: exact below 64, then 32 bins for each doubling; and the largest value of a bin.
+#: Bin of a value v: exact below 64, then 32 bins for each doubling; and the largest and smallest value of a bin.
 BIN = "shiftright({v}, greatest(length(bin({v})) - 6, 0)) + 32 * greatest(length(bin({v})) - 6, 0)"
 TOP = "CASE WHEN {b} < 64 THEN {b} ELSE shiftleft({b} - 32 * ({b} div 32 - 1) + 1, cast({b} div 32 - 1 AS int)) - 1 END"
+LOW = "CASE WHEN {b} < 64 THEN {b} ELSE shiftleft({b} - 32 * ({b} div 32 - 1), cast({b} div 32 - 1 AS int)) END"
 
 
 def sketches(rows: DataFrame, measures: str, by: list[str]) -> DataFrame:
@@ -91,37 +94,38 @@ def sketches(rows: DataFrame, measures: str, by: list[str]) -> DataFrame:
             .groupBy(*by, "kind", "bin").agg(F.count("*").alias("n")))
 
 
-def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of a group, median and third quartile of each measure, from its bins in order.
+def shortest_half(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of a group and, for each measure, the shortest interval ``low`` to ``top`` of bins with half of them (ties: lowest).
 
     A group has at most some hundreds of bins, so the array of one group stays small.
     """
     bins = sketch.groupBy(*by, "kind").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("rows"))
-
-    def at(percent: int) -> str:
-        found = ("aggregate(bins, named_struct('seen', 0L, 'bin', -1L), (s, x) -> named_struct('seen', s.seen + x.n, 'bin', "
-                 f"if(s.bin < 0 AND 100 * (s.seen + x.n) >= {percent} * rows, x.bin, s.bin))).bin")
-        return TOP.format(b=found)
-
-    return bins.select(*by, "kind", "rows", F.expr(at(50)).cast("bigint").alias("q50"), F.expr(at(75)).cast("bigint").alias("q75"))
+    bins = bins.withColumn("before", F.expr("transform(sequence(1, size(bins)), i -> aggregate(slice(bins, 1, i - 1), 0L, (s, x) -> s + x.n))"))
+    # for an interval that ends with bin x, the last bin it can start with
+    start = "size(filter(before, b -> 2 * (before[j] + x.n - b) >= rows))"
+    ends = (f"filter(transform(bins, (x, j) -> named_struct('from', {start}, 'bin', x.bin)), e -> e.from > 0)")
+    low, top = LOW.format(b="bins[e.from - 1].bin"), TOP.format(b="e.bin")
+    best = F.expr(f"array_min(transform({ends}, e -> named_struct('length', cast({top} - {low} AS bigint), 'low', cast({low} AS bigint), 'top', cast({top} AS bigint))))")
+    return bins.select(*by, "kind", "rows", best.alias("half")).select(*by, "kind", "rows", "half.low", "half.top")
 
 
 def thresholds(rows: DataFrame, measures: str, language: str = "lang", source: str = "source") -> DataFrame:
     """One row per (language, source) with the upper threshold of each measure and the lower one of word length."""
     own = rows.select(F.col(language).alias("_lang"), F.col(source).alias("_source"), measures)
     fine = materialise(sketches(own, measures, ["_lang", "_source"]), "sketch")
-    coarse = quartiles(fine.groupBy("_lang", "kind", "bin").agg(F.sum("n").alias("n")), ["_lang"])
-    both = quartiles(fine, ["_lang", "_source"]).alias("g").join(coarse.alias("l"), F.expr("g._lang <=> l._lang AND g.kind = l.kind"))
+    coarse = shortest_half(fine.groupBy("_lang", "kind", "bin").agg(F.sum("n").alias("n")), ["_lang"])
+    both = shortest_half(fine, ["_lang", "_source"]).alias("g").join(coarse.alias("l"), F.expr("g._lang <=> l._lang AND g.kind = l.kind"))
 
     def drawn(side: str) -> str:
         return f"(g.rows * ({side.format(t='g')}) + {PRIOR} * ({side.format(t='l')})) div (g.rows + {PRIOR})"
 
     bounds = []
-    for kind, (times, slack, below) in FENCES.items():
-        upper = drawn(f"{{t}}.q50 + {times} * ({{t}}.q75 - {{t}}.q50) + {slack}")
+    for kind, (times, slack, below, ceiling) in FENCES.items():
+        upper = drawn(f"{{t}}.top + {times} * ({{t}}.top - {{t}}.low) + {slack}")
+        upper = upper if ceiling is None else f"least({upper}, {ceiling}L)"
         bounds.append(F.max(F.expr(f"CASE WHEN g.kind = '{kind}' THEN {upper} END")).alias(f"_{kind}_most"))
         if below is not None:
-            lower = drawn(f"{{t}}.q50 - {times} * ({{t}}.q75 - {{t}}.q50) - {below}")
+            lower = drawn(f"{{t}}.low - {times} * ({{t}}.top - {{t}}.low) - {below}")
             bounds.append(F.max(F.expr(f"CASE WHEN g.kind = '{kind}' THEN {lower} END")).alias(f"_{kind}_least"))
     return both.groupBy("g._lang", "g._source").agg(*bounds)
 
@@ -136,7 +140,7 @@ def judged(rows: DataFrame, measures: str, limits: DataFrame, language: str = "l
     m = measures
     failed = F.expr(f"{m}.n_words < 10 OR 100 * {m}.n_repeat_words > 20 * {m}.n_words")
     odd = F.lit(False)
-    for kind, (_, _, below) in FENCES.items():
+    for kind, (_, _, below, _) in FENCES.items():
         odd = odd | (_value(m, kind) > F.col(f"{bounds}._{kind}_most"))
         if below is not None:
             odd = odd | (_value(m, kind) < F.col(f"{bounds}._{kind}_least"))
@@ -187,18 +191,20 @@ v AS (
   SELECT row_id, lang, source, unnest(['symbols', 'doubled', 'length']) AS kind,
          unnest([coalesce(1000 * n_symbols // nullif(n_words, 0), 0), coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0), coalesce(100 * word_chars // nullif(n_words, 0), 0)]) AS v FROM m),
 b AS (SELECT *, greatest(length(bin(v)) - 6, 0) AS e FROM v),
-c AS (SELECT *, (v >> e) + 32 * e AS bin, (((v >> e) + 1) << e) - 1 AS top FROM b),
-fine AS (SELECT lang, source, kind, bin, CASE WHEN bin < 64 THEN bin ELSE top END AS top, count(*) AS n FROM c GROUP BY ALL),
-coarse AS (SELECT lang, kind, bin, top, sum(n) AS n FROM fine GROUP BY ALL),
+c AS (SELECT *, (v >> e) + 32 * e AS bin, (v >> e) << e AS low, (((v >> e) + 1) << e) - 1 AS top FROM b),
+fine AS (SELECT lang, source, kind, bin, low, CASE WHEN bin < 64 THEN bin ELSE top END AS top, count(*) AS n FROM c GROUP BY ALL),
+coarse AS (SELECT lang, kind, bin, low, top, sum(n) AS n FROM fine GROUP BY ALL),
 run_fine AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, kind ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY lang, source, kind) AS total FROM fine),
 run_coarse AS (SELECT *, sum(n) OVER (PARTITION BY lang, kind ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY lang, kind) AS total FROM coarse),
-g AS (SELECT lang, source, kind, max(total) AS total, min(top) FILTER (100 * seen >= 50 * total) AS q50, min(top) FILTER (100 * seen >= 75 * total) AS q75 FROM run_fine GROUP BY ALL),
-l AS (SELECT lang, kind, min(top) FILTER (100 * seen >= 50 * total) AS q50, min(top) FILTER (100 * seen >= 75 * total) AS q75 FROM run_coarse GROUP BY ALL),
-fence(kind, times, slack, below) AS (VALUES ('symbols', 4, 250, NULL), ('doubled', 4, 400, NULL), ('length', 6, 300, 300)),
+g AS (SELECT a.lang, a.source, a.kind, a.total, a.low, b.top FROM run_fine a JOIN run_fine b ON a.lang IS NOT DISTINCT FROM b.lang AND a.source IS NOT DISTINCT FROM b.source AND a.kind = b.kind AND a.bin <= b.bin AND 2 * (b.seen - a.seen + a.n) >= a.total
+  QUALIFY row_number() OVER (PARTITION BY a.lang, a.source, a.kind ORDER BY b.top - a.low, a.low) = 1),
+l AS (SELECT a.lang, a.kind, a.low, b.top FROM run_coarse a JOIN run_coarse b ON a.lang IS NOT DISTINCT FROM b.lang AND a.kind = b.kind AND a.bin <= b.bin AND 2 * (b.seen - a.seen + a.n) >= a.total
+  QUALIFY row_number() OVER (PARTITION BY a.lang, a.kind ORDER BY b.top - a.low, a.low) = 1),
+fence(kind, times, slack, below, ceiling) AS (VALUES ('symbols', 2, 250, NULL, NULL), ('doubled', 2, 400, NULL, 900), ('length', 3, 300, 300, NULL)),
 limits AS (
   SELECT g.lang, g.source, g.kind,
-         trunc((total * (g.q50 + times * (g.q75 - g.q50) + slack) + 100 * (l.q50 + times * (l.q75 - l.q50) + slack)) // (total + 100)) AS most,
-         (total * (g.q50 - times * (g.q75 - g.q50) - below) + 100 * (l.q50 - times * (l.q75 - l.q50) - below)) // (total + 100) AS least
+         least(trunc((total * (g.top + times * (g.top - g.low) + slack) + 100 * (l.top + times * (l.top - l.low) + slack)) // (total + 100)), coalesce(ceiling, 1000000000000)) AS most,
+         (total * (g.low - times * (g.top - g.low) - below) + 100 * (l.low - times * (l.top - l.low) - below)) // (total + 100) AS least
   FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.kind = l.kind JOIN fence ON fence.kind = g.kind),
 odd AS (
   SELECT row_id, bool_or(v > most OR coalesce(v < least, false)) AS odd

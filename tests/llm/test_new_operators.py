@@ -251,3 +251,20 @@ def test_neighbour_recall_on_full_shards(spark, kind):
     best = np.argsort(-products, axis=1, kind="stable")[:, :20]
     found = got.groupby("query_id").vec_id.agg(set)
     assert np.mean([len(found[q] & set(b)) / 20 for q, b in zip(asked, best.tolist(), strict=True)]) >= 0.95
+
+
+@pytest.mark.parametrize("junk", [16, 60, 140])
+@pytest.mark.parametrize("kind", ["symbols", "long", "lines"])
+def test_quality_thresholds_hold_with_much_junk(spark, junk, kind):
+    """140 good documents and 10, 30 or 50 % of bad ones in the same source: none of the bad stay, all the good do."""
+    from cadastra.llm import quality
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.choice([2, 3, 4, 5, 6, 7])))
+    bad = {"symbols": lambda: " ".join(word() + "#" * rng.randint(1, 4) if rng.random() < 0.8 else word() for _ in range(80)),
+           "long": lambda: " ".join(word() * rng.randint(4, 12) for _ in range(60)),
+           "lines": lambda: "\n".join([" ".join(word() for _ in range(4))] * 2 + [word() + str(i) for i in range(2)] * rng.randint(6, 9))}[kind]
+    rows = [(i, "\n".join(" ".join(word() for _ in range(12)) for _ in range(8)), "en", "s", 0) for i in range(140)] + [(1000 + i, bad(), "en", "s", 0) for i in range(junk)]
+    rows += [(2000 + i, "\n".join(" ".join(word() for _ in range(12)) for _ in range(8)), "en", f"s{i % 5}", 0) for i in range(100)]
+    got = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()}
+    assert all(kept for doc, kept in got.items() if not 1000 <= doc < 2000)
+    assert not any(kept for doc, kept in got.items() if 1000 <= doc < 2000)
