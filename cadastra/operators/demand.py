@@ -14,7 +14,7 @@ from ..functions.polygons import in_polygon, mean_of, shoelace
 from ..session import materialise, pin
 from .graph import shortest
 from .polygons import clip_rings
-from .spatial import join_points, nearest_global
+from .spatial import join_points, k_nearest_global, nearest_global
 
 ZONE_TILE_DEG = 0.002
 
@@ -271,9 +271,9 @@ def zone_access_weights(zones: DataFrame, nodes: DataFrame, edges: DataFrame, *,
 
 def nearest_k(centres: DataFrame, nodes: DataFrame, k: int, *, by: Sequence[str] = ("city",)) -> DataFrame:
     """The ``k`` nodes nearest to each centre (``zlon``, ``zlat``) of its own group."""
-    df = centres.join(nodes.select(*by, "node", "lon", "lat"), list(by)).withColumn("d", F.expr(haversine("zlon", "zlat", "lon", "lat")))
-    rank = F.row_number().over(W.partitionBy(*by, "zone_id").orderBy("d", "node"))
-    return df.withColumn("rank", rank).filter(F.col("rank") <= k).select(*by, "node", "zone_id")
+    at = centres.selectExpr(*by, "zone_id", "zlon as lon", "zlat as lat")
+    found = k_nearest_global(at, nodes, k, haversine("lon", "lat", "plon", "plat"), point_key=["zone_id"], place_key="node", by=by)
+    return found.select(*by, "node", "zone_id")
 
 
 # ---- routing readiness ---------------------------------------------------------------

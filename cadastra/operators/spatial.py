@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import grid_span, segment_box
@@ -97,3 +97,34 @@ def nearest_global(points: DataFrame, shapes: DataFrame, rank: str, *, point_key
         if rest.isEmpty():
             return points.join(done, list(point_key))
         size *= 2
+
+
+def k_nearest_global(points: DataFrame, places: DataFrame, k: int, distance: str, *, point_key: Sequence[str], place_key: str,
+                     by: Sequence[str] = ("city",), first_size: float = 0.002) -> DataFrame:
+    """The ``k`` places nearest to each point at any distance (all, where a group has fewer), with ``d`` and ``rank``.
+
+    ``points`` and ``places`` have ``lon`` and ``lat``; ``distance`` is SQL text in metres over ``lon``, ``lat``,
+    ``plon``, ``plat``; equals rank by ``place_key``. Tiles start small and double. A point is settled once its
+    k-th place is nearer than the padding searched, so nothing outside can come before it;
+    only unsettled points go on to the next, wider round.
+    """
+    key = [*by, *point_key]
+    order = Window.partitionBy(*key).orderBy("d", place_key)
+    there = places.selectExpr(*by, place_key, "lon as plon", "lat as plat").selectExpr("*", "named_struct('min_lon', plon, 'min_lat', plat, 'max_lon', plon, 'max_lat', plat) as box")
+    wanted = there.groupBy(*by).agg(F.least(F.lit(k), F.expr("count(1)")).alias("wanted"))
+    todo = points.select(*key, "lon", "lat").join(wanted, list(by))
+    size, done, cached = first_size, None, None
+    while True:
+        near = join_points(todo, there, size, by=by, pad=size).withColumn("d", F.expr(distance))
+        best = materialise(near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*key, "lat", "wanted", place_key, "d", "rank"), "nearest")
+        sure = best.groupBy(*key).agg(F.expr("count(1)").alias("n"), F.max("d").alias("far"), F.first("wanted").alias("wanted"), F.expr("max(cos(radians(lat)))").alias("shrink"))
+        sure = sure.filter(f"n = wanted and far <= {size * SAFE_METRES_PER_DEG!r}D * shrink").select(*key)
+        found = materialise(best.join(sure, key, "left_semi").select(*key, place_key, "d", "rank"), "nearest")
+        done = found if done is None else done.unionByName(found)
+        rest = materialise(todo.join(sure, key, "left_anti"), "unsettled")
+        forget(best)
+        forget(cached)
+        cached = todo = rest
+        if rest.isEmpty():
+            return done
+        size *= 2
