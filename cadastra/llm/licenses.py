@@ -29,27 +29,50 @@ NOTICES = [
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction."),
     ("mit", "This project is licensed under the terms of the MIT license."),
+    ("mit", "SPDX-License-Identifier: MIT"),
     ("apache", "Licensed under the Apache License, Version 2.0."),
     ("apache", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0."),
     ("apache", "Distributed under the Apache 2.0 license."),
+    ("apache", "SPDX-License-Identifier: Apache-2.0"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."),
     ("gpl", "Released under the GPL version 2 or later."),
+    ("gpl", "Licensed under the GPL."),
+    ("gpl", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("gpl", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("agpl", "Licensed under the GNU Affero General Public License, version 3."),
+    ("agpl", "Released under the AGPL version 3 or later."),
+    ("agpl", "SPDX-License-Identifier: AGPL-3.0-only"),
     ("lgpl", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
     ("lgpl", "Licensed under the LGPL."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("bsd", "Licensed under the BSD 3-Clause License."),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("bsl", "Licensed under the BSL 1.1 license."),
+    ("bsl", "Use of this software is governed by the Business Source License 1.1."),
+    ("isc", "Licensed under the ISC License."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("epl", "Licensed under the Eclipse Public License 2.0."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by", "Licensed under CC BY 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     ("cc0", "Dedicated to the public domain under the CC0 1.0 Universal license waiver."),
     ("proprietary", "All rights reserved."),
     ("proprietary", "Unauthorized copying of this file is strictly prohibited. Proprietary and confidential license."),
 ]
-#: Sentences with licence words that grant nothing.
+#: Sentences with licence words that grant nothing, and grants of licences outside the families.
 OTHERS = [
+    "Licensed under the zlib license.", "Distributed under the Boost Software License, Version 1.0.", "Released under the Artistic License 2.0.", "This font is licensed under the SIL Open Font License, Version 1.1.",
+    "Licensed under the Common Development and Distribution License.", "Licensed under the European Union Public Licence 1.2.", "This is free and unencumbered software released under the Unlicense.", "Licensed under the terms of the WTFPL.",
+    "Released under the PostgreSQL License.", "Licensed under the Microsoft Public License.", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: BSL-1.0",
     "He lost his driving licence on the way home.", "The city council renewed the restaurant's alcohol license last week.", "Human rights groups met the minister.", "A fishing license costs ten dollars.",
     "She has the copyright lawyer's number.", "The apache helicopter landed near the road.", "The warranty covers two years of repairs.", "They fought for equal rights in the workplace.",
     "Permission to enter the building was refused.", "His licence plate was stolen.", "The license fee was raised again by the government.", "A general public meeting will be held in the town hall.",
@@ -60,9 +83,13 @@ OTHERS = [
 LEADS = ["", "", "this file is", "copyright 2020 the authors", "note that", "unless stated otherwise", "the code in this folder is"]
 CUES = ["licen", "copyright", "all rights", "redistribut", "permission", "creative commons", "public domain", "cc by", "cc0"]
 #: Names of licences, which are cues as whole words; with ``CUES`` every notice holds a cue.
-NAMES = ["gpl", "lgpl", "mit", "bsd", "mpl", "apache", "mozilla"]
+NAMES = ["gpl", "lgpl", "agpl", "bsd", "mpl", "epl", "apache", "mozilla", "eclipse"]
+#: Names that are words of other languages in small letters.
+CAPITALS = ["MIT", "ISC", "BSL"]
 VARIANTS, SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 14, 100, 500
 CONFIRM = 0.5
+#: Penalty of the regression and its L1 share.
+PENALTY, L1_SHARE = 0.0005, 0.5
 
 
 def words(text: Column) -> Column:
@@ -87,7 +114,7 @@ def has_cue(text: Column) -> Column:
 def may_hold(text: Column) -> Column:
     """Whether a text or line has a licence word; of cues of two words, which a line break may part, the last counts."""
     cues = [c.split()[-1] for c in CUES if c != "cc by"]
-    return F.lower(text).rlike("|".join([*cues, rf"\b(?:{'|'.join(['cc', *NAMES])})\b"]))
+    return F.lower(text).rlike("|".join([*cues, rf"\b(?:{'|'.join(['cc', *NAMES])})\b"])) | text.rlike(rf"\b(?:{'|'.join(CAPITALS)})\b")
 
 
 def training_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -134,7 +161,7 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
     fit = rows.where("NOT held")
     counted = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0, vocabSize=1 << 15).fit(fit)
     indexed = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
-    fitted = LogisticRegression(maxIter=60, regParam=0.003, elasticNetParam=0.7, family="multinomial", standardization=False).fit(indexed.transform(counted.transform(fit)))
+    fitted = LogisticRegression(maxIter=100, regParam=PENALTY, elasticNetParam=L1_SHARE, family="multinomial", standardization=False).fit(indexed.transform(counted.transform(fit)))
     families, matrix = list(indexed.labels), fitted.coefficientMatrix.toArray()
     kept = [(g, [float(x) for x in matrix[:, i]]) for i, g in enumerate(counted.vocabulary) if abs(matrix[:, i]).max() > 1e-9]
     weights = spark.createDataFrame(kept, "gram string, w array<double>")

@@ -268,3 +268,20 @@ def test_quality_thresholds_hold_with_much_junk(spark, junk, kind):
     got = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()}
     assert all(kept for doc, kept in got.items() if not 1000 <= doc < 2000)
     assert not any(kept for doc, kept in got.items() if 1000 <= doc < 2000)
+
+
+def test_licence_families_apart(spark):
+    """Near namesakes get their own family, licences outside the families none, and German "mit" is no cue."""
+    from cadastra.llm import licenses
+    cases = {"Licensed under CC BY-SA 4.0.": "cc-by-sa", "This text is licensed under CC BY-ND 4.0.": "cc-by-nd", "Licensed under CC BY 4.0.": "cc-by", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+             "This program is licensed under the GNU Affero General Public License, version 3.": "agpl", "This work is licensed under the GNU General Public License, version 3.": "gpl",
+             "Licensed under the BSL 1.1 license.": "bsl", "Licensed under the GPL.": "gpl", "Licensed under the LGPL.": "lgpl", "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: GPL-2.0-only": "gpl",
+             "SPDX-License-Identifier: Apache-2.0": "apache", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "bsd",
+             "Licensed under the ISC License.": "isc", "Licensed under the Eclipse Public License 2.0.": "epl", "Released under the MIT License.": "mit",
+             "Distributed under the Boost Software License, Version 1.0.": "", "Licensed under the zlib license.": "", "Er kam mit dem Zug und ging mit ihr.": "", "The driving licence was renewed.": ""}
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    prose = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = licenses.train(spark, prose.selectExpr("doc_id AS id", "text"))
+    got = {r.doc_id: r.families for r in licenses.scan(docs, model=model).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    assert docs.where(licenses.may_hold(docs.text) & docs.text.contains(" mit ")).count() == 0
