@@ -38,7 +38,7 @@ _NAMES = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}")
+_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}")
 #: Runs shorter than this hold no finding: 12 bytes are too few for a name, a sign and 6 characters.
 SHORTEST = 16
 #: A run goes on over a line break, with what may stand around one in wrapped, indented or quoted text.
@@ -49,6 +49,7 @@ _OPEN = re.compile(r"[A-Za-z0-9+/_-]*+(?:[\x20\t>#*]*+\n\r?\\?[\x20\t]*+[A-Za-z0
 _STANDARD = str.maketrans("-_", "+/")
 #: A finding, or what encodes one, is a stretch of at least 12 such bytes.
 _READABLE = re.compile(rb"[\t\n\r -~]{12}")
+_STREAMED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0")
 _PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0|PK\x03\x04")
 #: Compressed data is unpacked and scanned in parts of this many bytes, each with at least the last characters of the one before.
 PART, OVERLAP = 4 << 20, 1 << 16
@@ -142,8 +143,9 @@ def _percent(run: str) -> list[tuple[str, int, int]]:
 
 
 def _unicode(run: str) -> list[tuple[str, int, int]]:
-    if run[1] == "x":
-        return [(chr(int(run[2:], 16)), 0, 4)]
+    if run[1] in "xU" or run[2] == "{":  # one character
+        code = int(run[2:].strip("{}"), 16)
+        return [(chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else "\ufffd", 0, len(run))]
     out, at = [], 0
     for c in bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "replace"):
         n = 12 if ord(c) > 0xFFFF else 6
@@ -169,15 +171,16 @@ def _base64(layer: Layer) -> Iterator[Layer]:
         for k in range(4):
             part = plain[k:len(plain) - ((len(plain) - k) % 4 == 1)]
             raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
-            done = 0
-            for hit in _PACKED.finditer(raw):
-                if hit.start() < done:
-                    continue
-                origin = layer.origin(m.start(), m.end())
-                stream = unpack(raw, hit.start())
+            path, origin = f"{layer.path}/base64" if layer.path else "base64", layer.origin(m.start(), m.end())
+            yield from _unpacked(raw, path, origin)
+            if (stream := deflated(raw)) is not None:
                 for text in parts(stream):
-                    yield Layer(text, f"{layer.path}/base64/zip" if layer.path else "base64/zip", whole=origin)
-                done = stream.end
+                    yield Layer(text, f"{path}/zip", whole=origin)
+            if 3 * raw.count(0) > len(raw):
+                for code in ("utf-16-le", "utf-16-be"):
+                    wide = raw[:len(raw) & -2].decode(code, "replace")
+                    if _READABLE.search(wide.encode("ascii", "ignore")):
+                        yield Layer(wide, f"{path}/utf16", whole=origin)
             if not _READABLE.search(raw):
                 continue
             if places is None:
@@ -195,6 +198,98 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             yield layer.child("base64", found, starts, ends)
 
 
+def _unpacked(raw: bytes, path: str, origin: tuple[int, int]) -> Iterator[Layer]:
+    """Layers of all compressed data in some bytes, and of what is compressed again inside, to any depth."""
+    done = 0
+    for hit in _PACKED.finditer(raw):
+        if hit.start() < done:
+            continue
+        depth, some = 0, True
+        while some:  # each depth is unpacked from the start again, so that memory stays bounded
+            some, outer, stream = False, unpack(raw, hit.start()), None
+            stream = outer
+            for _ in range(depth):
+                stream = inflated(stream)
+            depth += 1
+            for text in parts(stream):
+                some = True
+                yield Layer(text, path + "/zip" * depth, whole=origin)
+            done = max(done, outer.end)
+
+
+def _compressed(layer: Layer) -> Iterator[Layer]:
+    """Layers of compressed data in a decoded layer: bytes that escapes gave, or a zip archive that was inside another file."""
+    if layer.path.rsplit("/", 1)[-1] in ("url", "unicode"):
+        raw, last = layer.text.encode("latin-1", "replace"), len(layer.text)
+        if (hit := _PACKED.search(raw)) is not None:
+            if layer.whole is None:  # up to the last character that was escaped
+                last = max((i + 1 for i, (a, b) in enumerate(zip(layer.starts, layer.ends, strict=True)) if b - a > 1), default=last)
+            if hit.start() < last:
+                yield from _unpacked(raw[hit.start():last], layer.path, layer.origin(hit.start(), last))
+    elif "PK\3\4" in layer.text and layer.path.endswith("zip"):
+        raw = layer.text.encode("utf-8", "surrogateescape")
+        yield from _unpacked(raw[raw.index(b"PK\3\4"):], layer.path, layer.origin(0, len(layer.text)))
+
+
+def deflated(raw: bytes) -> Iterator[bytes] | None:
+    """Parts of bytes that are one raw deflate stream of text as a whole; None for other bytes."""
+    def run() -> Iterator[bytes]:
+        stream, data = zlib.decompressobj(-15), raw
+        while not stream.eof:
+            out = stream.decompress(data, PART)
+            data = stream.unconsumed_tail
+            if not out and not data:
+                return
+            yield out
+
+    try:
+        first = zlib.decompressobj(-15).decompress(raw, 1 << 12)
+        if not _READABLE.search(first) or sum(map(len, run())) < len(first):
+            return None
+    except zlib.error:
+        return None
+    return run()
+
+
+def inflated(stream) -> Iterator[bytes]:
+    """Unpacked bytes of all gzip, zlib, bzip2 and xz data in a stream of bytes, in parts; nothing if there is none."""
+    waiting, current = b"", None
+    for part in stream:
+        waiting += part
+        while waiting:
+            if current is None:
+                hit = _STREAMED.search(waiting)
+                if hit is None:
+                    waiting = waiting[-5:]
+                    break
+                waiting = waiting[hit.start():]
+                current = _opened(waiting)
+                begun = False
+            try:
+                out = current.decompress(waiting, PART)
+                if hasattr(current, "unconsumed_tail"):
+                    rest, more = current.unconsumed_tail, bool(current.unconsumed_tail)
+                else:
+                    rest, more = b"", not current.needs_input and not current.eof
+            except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
+                current, waiting = None, waiting if begun else waiting[1:]
+                continue
+            begun = True
+            if out:
+                yield out
+            while more and not hasattr(current, "unconsumed_tail"):
+                yield current.decompress(b"", PART)
+                more = not current.needs_input and not current.eof
+            waiting = rest
+            if current.eof:
+                waiting, current = current.unused_data, None
+                yield b"\n"
+
+
+def _opened(raw: bytes):
+    return bz2.BZ2Decompressor() if raw.startswith(b"BZh") else lzma.LZMADecompressor() if raw.startswith(b"\xfd7z") else zlib.decompressobj(47)
+
+
 class unpack:
     """Iterates over the unpacked bytes, in parts, of the compressed data at a place: all members, up to the first error.
 
@@ -273,6 +368,8 @@ def parts(stream: unpack) -> Iterator[str]:
 
 def _following(layer: Layer) -> Iterator[Layer]:
     yield from _base64(layer)
+    if layer.path:
+        yield from _compressed(layer)
     if "%" in layer.text:
         yield from _escaped(layer, "url", _URL, _percent)
     if "\\" in layer.text:

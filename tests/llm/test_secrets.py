@@ -99,3 +99,41 @@ def test_rows(spark):
     docs = spark.createDataFrame([(1, 'token = "abcdef1"', "z"), (2, None, "z"), (None, "", "z"), (1, 'token = "abcdef1"', "z")], "doc_id bigint, text string, spans string")
     assert sorted((str(r.doc_id), r.n_assign, r.spans) for r in secrets.report(docs).collect()) == sorted([("1", 1, "assign:0:16")] * 2 + [("2", 0, ""), ("None", 0, "")])
     assert secrets.report(docs.limit(0)).count() == 0
+
+
+def test_layers_in_layers_to_any_depth():
+    import base64
+    import bz2
+    import gzip
+    import io
+    import lzma
+    import zipfile
+    import zlib
+
+    from cadastra.llm import secrets
+    plain = b"some words before\npassword = hunter2hunter2\nand behind " + b"filler words " * 20
+    b64 = lambda raw: base64.b64encode(raw).decode()
+
+    def archive(raw):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("a.txt", b"nothing here")
+            z.writestr("b.gz", raw)
+        return out.getvalue()
+
+    raw_deflate = zlib.compressobj(9, zlib.DEFLATED, -15)
+    bare = raw_deflate.compress(plain) + raw_deflate.flush()
+    cases = {
+        "gzip in gzip": b64(gzip.compress(gzip.compress(plain))), "three deep": b64(gzip.compress(bz2.compress(lzma.compress(plain)))), "gz in zip": b64(archive(gzip.compress(plain))),
+        "zip in gzip": b64(gzip.compress(archive(plain))), "escaped gzip": "".join(f"%{b:02x}" for b in gzip.compress(plain)), "raw deflate": b64(bare), "utf-16": b64(plain.decode().encode("utf-16")), "utf-16 be": b64(plain.decode().encode("utf-16-be")),
+        "base64 in gzip in gzip": b64(gzip.compress(gzip.compress(b64(plain).encode()))),
+    }
+    for name, text in cases.items():
+        whole = f"start {text} end"
+        found = [s for s in secrets.find(whole) if s[0].endswith(">assign")]
+        assert found, name
+        assert all(6 <= a < b <= 6 + len(text) for _, a, b in found), name
+    for text in (r"pass\u{77}ord = abcdefgh1", r"pass\U00000077ord = abcdefgh1"):
+        assert ("unicode>assign", 0, len(text)) in secrets.find(text)
+    for text in ("x\x9c no data", "\\U99999999 \\u{110000} \\u{d800}", "%1f%8b%08%00", b64(b"x\x9c" * 30), b64(b"\0" * 60)):
+        assert secrets.find(text) == []
