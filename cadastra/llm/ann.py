@@ -22,7 +22,7 @@ from cadastra.session import materialise
 from . import hnsw
 
 #: Points per shard and queries per block, about; beam width of the search.
-SHARD, BLOCK, BEAM = 8192, 1024, 384
+SHARD, BLOCK, BEAM = 8192, 1024, 144
 _INDEX = "shard int, dim int, points binary, ids binary, id_ends binary, nodes array<binary>, links array<binary>"
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Links per node on upper layers (twice as many at the bottom), and beam width when building.
-LINKS, BUILD_BEAM, BATCH = 16, 64, 256
+LINKS, BUILD_BEAM, BATCH = 32, 96, 256
 
 
 class Graph:
