@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
@@ -74,6 +74,12 @@ def clip_buildings(buildings: DataFrame, areas: DataFrame, *, by: Sequence[str]
     return join_points(b, shapes, TILE_DEG * 4, by=by).filter(in_polygon("lon", "lat", "boundary", "boundary")).drop("boundary", "box", "lon", "lat")
 
 
+def fold_order(edges: DataFrame, join_m: float = 12.0, *, by: Sequence[str] = ("city",)) -> DataFrame:
+    """Short stretches in the order in which their ends are folded: ``rank`` by length, then ``ord_key``."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("length", "ord_key"))
+    return edges.filter(f"length < {join_m}").select(*by, "ord_key", "length", rank.cast("bigint").alias("rank"))
+
+
 def fold_junctions(edges: DataFrame, nodes: DataFrame, join_m: float = 12.0, max_span_m: float = 30.0) -> DataFrame:
     """Junction of every node after merging nodes joined by short stretches, shortest first.
 
@@ -135,4 +141,4 @@ def road_connections(edges: DataFrame, ends: DataFrame, *, by: Sequence[str] = (
 
 
 __all__ = ["repair_plan", "apply_repair", "restore_sections", "clip_lines", "clip_buildings",
-           "fold_junctions", "flyovers_connected", "road_connections"]
+           "fold_order", "fold_junctions", "flyovers_connected", "road_connections"]

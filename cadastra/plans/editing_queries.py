@@ -171,6 +171,12 @@ def import_area(spark, sf):
     return touched.join(known, "id", "left").groupBy(F.expr("coalesce(reason, seen, 'added')").alias("outcome")).agg(F.expr("count(1)").alias("ways"))
 
 
+@query("f06_fold_order", EDGES + f" SELECT city, edge_id, {sql_fixed('length', 3)} AS metres, row_number() OVER (PARTITION BY city ORDER BY length, edge_id) AS rank FROM edges WHERE length < 92")
+def fold_order(spark, sf):
+    e = grid_edges(spark, sf).selectExpr("city", "length", "edge_id as ord_key")
+    return ed.fold_order(e, 92.0).selectExpr("city", "ord_key as edge_id", f"{G.fixed('length', 3)} as metres", "rank")
+
+
 @query("g06_fold_junctions", None)
 def fold(spark, sf):
     """On the street grid, with limits scaled to its block length so that merges occur."""
