@@ -285,3 +285,14 @@ def test_licence_families_apart(spark):
     got = {r.doc_id: r.families for r in licenses.scan(docs, model=model).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
     assert docs.where(licenses.may_hold(docs.text) & docs.text.contains(" mit ")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op5_lm_scores", "op3_quality"])
+def test_same_rows_without_broadcasts(spark, monkeypatch, name):
+    """The ways for tables too large to broadcast give what the broadcasts give."""
+    from cadastra.llm import lm, quality
+    rows = lambda: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in QUERIES[name](spark, SF).collect()), key=str)
+    want = rows()
+    for module, limit in ((lm, "BROADCAST_ROWS"), (lm, "BROADCAST_IDS"), (quality, "BROADCAST_ROWS")):
+        monkeypatch.setattr(module, limit, 0)
+    assert rows() == want and len(want) > 100
