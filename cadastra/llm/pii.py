@@ -36,18 +36,22 @@ _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOGIN = re.compile(r"://[A-Za-z0-9._%+~-]+(?::[^\s:@/]*)?@[A-Za-z0-9.-]*[A-Za-z0-9](?::[0-9]+)?(?:/[^\s<>\"']*[A-Za-z0-9/])?")
-_LEAD = re.compile(r"(?:[ ]?(?:number|no\.?|num\.?|nr\.?))?[ ]?[:=#]?[ ]?", re.IGNORECASE)
+_LEAD = re.compile(r"(?:[ -]?(?:number|nummer|num[ée]ro|n[úu]mero|no\.?|num\.?|nr\.?|n[°º]|n\.[°º]))?[ ]?[:=#]?[ ]?", re.IGNORECASE)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")
+_SSN = re.compile(r"[0-9]{3}(-?)[0-9]{2}\1[0-9]{4}(?![0-9])")
+#: Six to twelve capitals and digits, three of them digits.
+_MIXED = re.compile(r"(?=(?:[A-Z]*[0-9]){3})[A-Z0-9]{6,12}(?![A-Za-z0-9])")
 _PLAIN = re.compile(r"[A-Z]{0,3}[0-9](?:[ -]?[0-9]){5,16}(?![A-Za-z0-9])")
-#: Cue -> the test of what follows. Cues are found in any letter case.
-CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "plain", "acct": "plain", "passport": "plain"}
+#: Cue (English, German, French, Spanish) -> the test of what follows. Cues are found in any letter case.
+CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "plain", "acct": "plain", "passport": "passport",
+        "konto": "plain", "kontonummer": "plain", "reisepass": "passport", "reisepassnummer": "passport", "compte": "plain", "passeport": "passport", "cuenta": "plain", "pasaporte": "passport"}
 #: Street words after the names (English), at the end of a name (German), before the names with the number first (French) or last (Spanish).
 STREETS = ["Street", "Avenue", "Road", "Boulevard", "Lane", "Drive", "Court", "Square", "Place", "Terrace", "Parkway", "Highway", "St", "Ave", "Rd", "Blvd", "Ln", "Dr", "Ct", "Sq", "Pl", "Pkwy", "Hwy"]
 GERMAN = ["straße", "strasse", "str.", "weg", "platz", "allee", "gasse"]
 FRENCH = ["rue", "avenue", "av.", "boulevard", "bd", "place", "chemin", "impasse", "quai"]
 SPANISH = ["calle", "avenida", "avda.", "paseo", "plaza", "carretera"]
-_HOUSE = re.compile(r"[0-9]{1,5}[A-Za-z]?(?: [A-Z][a-z]+){1,3} $")
+#: House number, one to six names, and the space before an English street word.
+_HOUSE = re.compile(r"[0-9]{1,5}[A-Za-z]?(?: [A-Z][a-z]+){1,6} $")
 _NAMES = r"(?: (?:de|des|du|la|las|le|les|los|del|l'|d'))* ?(?:[dl]['’])?[A-ZÀ-Þ][\w'’-]*(?:(?: (?:de|des|du|la|las|le|les|los|del))* [A-ZÀ-Þ][\w'’-]*){0,3}"
 _NUMBER_LAST = re.compile(r" [0-9]{1,4}(?: ?[a-z])?(?!\w)")
 _GERMAN_NAME = re.compile(r"(?:[A-ZÄÖÜ][\wß]*[ -]){0,2}[A-ZÄÖÜ][\wß]*[ -]?$")
@@ -74,15 +78,25 @@ def _lower(text: str) -> str:
     return lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def _words_before(text: str, at: int, count: int, marks: str = " ") -> int:
+    """Where the last ``count`` words before a place begin, however long they are."""
+    for _ in range(count):
+        at = max(text.rfind(m, 0, at) for m in marks)
+        if at < 0:
+            return 0
+    return at + 1
+
+
 def _address(text: str, kind: str, at: int, end: int) -> tuple[int, int] | None:
     """The address around a street word."""
     if kind == "address":
         if not text[at + 1].isupper() or not _bounded(text, at + 1, end):
             return None
-        found = _HOUSE.search(text, max(0, at - 60), at + 1)
+        found = _HOUSE.search(text, _words_before(text, at, 7), at + 1)
         return (found.start(), end) if found and _bounded(text, found.start(), end) else None
     if kind == "german":  # the anchor ends with a space
-        found, last = _GERMAN_NAME.search(text, max(0, at - 60), at), _NUMBER_LAST.match(text, end - 1)
+        last = _NUMBER_LAST.match(text, end - 1)
+        found = last and _GERMAN_NAME.search(text, _words_before(text, at, 4, " -\n"), at)
         return (found.start(), last.end()) if found and last and _bounded(text, found.start(), last.end()) else None
     if kind == "french":
         found, last = _FRENCH_NUMBER.search(text, max(0, at - 12), at + 1), _FRENCH_NAMES.match(text, end - 1)
@@ -119,6 +133,8 @@ def _account(text: str, kind: str, start: int, end: int) -> tuple[int, int] | No
             found = _IBAN.match(text, at, found.end() - 1)
     else:
         found = (_SSN if kind == "ssn" else _PLAIN).match(text, at)
+        if kind == "passport" and not found:
+            found = _MIXED.match(text, at)
     return found.span() if found else None
 
 
@@ -224,7 +240,12 @@ def mask_texts(docs: DataFrame, text_column: str = "text", length_column: str =
 
 
 def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Counts and digest of the base spans and the list of all spans, one row per document."""
+    """Counts and digest of the base spans and the list of all spans, one row per document.
+
+    Null and empty texts have no spans, repeated rows give repeated results, spans that start
+    together are listed in the order of kinds, an empty table gives an empty result, and
+    other columns are not read.
+    """
     rows = annotate(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
     counts = [count_kind("spans", k).alias(f"n_{k}") for k in BASE]
     return rows.select("doc_id", *counts, F.sha2(struct_text("spans", BASE), 256).alias("base_sha256"), struct_text("spans").alias("spans"))

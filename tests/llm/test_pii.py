@@ -51,6 +51,19 @@ def test_spellings():
         assert found(text) == [], text
 
 
+def test_cues_of_four_languages_and_long_names():
+    found = lambda text: [(k, text[a:b]) for k, a, b in pii.find(text, AUTOMATON) if k in ("account", "address")]
+    for lead, number in (("Kontonummer: ", "12345678"), ("Konto-Nr. ", "12345678"), ("cuenta: ", "12345678901"), ("numéro de compte ", "12345678"), ("número de cuenta n.º ", "12345678"), ("SSN ", "123456789"),
+                         ("passport ", "C01X00T47"), ("Reisepass Nr. ", "C01X00T47"), ("passeport n° ", "12AB34567"), ("Pasaporte: ", "XDB123456")):
+        assert found(f"x {lead}{number} y") == [("account", number)], lead
+    long = "Li" + "a" * 80
+    for place in (f"12 {long} Street", "4 One Two Three Four Five Street", f"{long}straße 12", f"{long}-Berliner Platz 7"):
+        assert found(f"x {place}, y") == [("address", place)], place
+    for text in ("er kam auf das Konto der Firma", "sans compte 12", "passport CONTROL", "SSN 12345678", "SSN 123-456789", "la cuenta, por favor"):
+        assert found(text) == [], text
+    assert found("Street " * 20_000) == []
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, "a x@y.zz", 8, "s"), (2, None, None, None), (None, "", 0, "s"), (1, "a x@y.zz", 8, "s")], "doc_id bigint, text string, n_chars bigint, spans string")
     out = {(r.doc_id, r.n_email, r.spans) for r in pii.report(docs).collect()}
