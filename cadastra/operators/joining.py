@@ -33,7 +33,7 @@ def with_vertex(spots: DataFrame, roads: DataFrame, reuse_m: float = REUSE_M, *,
     metres from the piece's first vertex, ``target_end`` 'start' or 'end' if the vertex is one.
     """
     at = segments(roads.withColumn("n", F.size("coordinates")), [*by, "road_id", "n"]).selectExpr(*by, "road_id as target", "seg", "n", "a", "b")
-    df = pin(spots.join(at, [*by, "target", "seg"]), to_a=_metres("a"), to_b=_metres("b"))
+    df = pin(spots.join(at.hint("merge"), [*by, "target", "seg"]), to_a=_metres("a"), to_b=_metres("b"))
     df = df.withColumn("vertex", F.expr(f"case when least(to_a, to_b) <= {reuse_m!r}D then if(to_a <= to_b, seg, seg + 1) end"))
     return df.selectExpr(*spots.columns, "vertex", "case when vertex = seg then a when vertex is not null then b else " + G.pt("x", "y", "z") + " end as spot",
                          "to_a as along", "case when vertex = 0 then 'start' when vertex = n - 1 then 'end' end as target_end")
@@ -146,7 +146,7 @@ def points_on_roads(roads: DataFrame, points: DataFrame, tolerance_deg: float =
     there = near
     for c, v in (("cx", "vlon"), ("cy", "vlat")):
         there = there.selectExpr("*", f"explode(sequence({cell(v)} - 1, {cell(v)} + 1)) as {c}")
-    same = here.join(there, [*by, "road_id", "cx", "cy"]).filter(f"abs(lon - vlon) < {SAME_DEG!r}D and abs(lat - vlat) < {SAME_DEG!r}D").select(*by, "road_id", "lon", "lat", "z")
+    same = here.join(there.hint("merge"), [*by, "road_id", "cx", "cy"]).filter(f"abs(lon - vlon) < {SAME_DEG!r}D and abs(lat - vlat) < {SAME_DEG!r}D").select(*by, "road_id", "lon", "lat", "z")
     return first.join(same, [*by, "road_id", "lon", "lat", "z"], "left_anti").selectExpr(*by, "road_id", "lon", "lat", "z", "m.seg as seg", "m.t as t", "m.az as az")
 
 
