@@ -231,6 +231,10 @@ def insert_vertex(spark, sf):
 
 # ---- map extract: the derived roads written as XML, then read back -------------
 
+# Fixed value: rows of a file of the extract. A file of XML is read whole by one task, so its size must not grow with the city.
+EXTRACT_ROWS = 50_000
+
+
 def _extract(spark, sf, buildings: bool = False):
     """The derived city as a map extract in the shared folder; with ``buildings`` their outlines too, as closed ways."""
     path = scratch_path(spark, "extract")
@@ -251,7 +255,7 @@ def _extract(spark, sf, buildings: bool = False):
     nodes = pts.selectExpr("x * 1000000000 + y as _id", "y / 1e7 as _lat", "x / 1e7 as _lon",
                            "case when o % 40 = 7 then array(struct('highway' as _k, 'traffic_signals' as _v)) end as tag")
     for tag, df in (("node", nodes), ("way", ways)):
-        df.write.format("xml").option("rootTag", "osm").option("rowTag", tag).save(f"{path}/{tag}")
+        df.write.format("xml").option("rootTag", "osm").option("rowTag", tag).option("maxRecordsPerFile", EXTRACT_ROWS).save(f"{path}/{tag}")
     return osm.read_osm_xml(spark, [f"{path}/node", f"{path}/way"])
 
 

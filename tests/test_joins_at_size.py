@@ -1,8 +1,10 @@
 """Plans and files that must not grow in one place with the tables."""
+from pyspark.sql import functions as F
+
 from cadastra.operators import joining as jo
 from cadastra.operators import nearest as ne
 from cadastra.operators.spatial import join_boxes, join_points, segments
-from cadastra.plans import nearest_queries
+from cadastra.plans import convert_queries, nearest_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +26,12 @@ def test_spots_meet_their_pieces_without_a_broadcast(spark):
     roads = nearest_queries.roads(spark, SF)
     spots = roads.selectExpr("city", "road_id as target", "0 as seg", "0.5D as t", "coordinates[0].lon as x", "coordinates[0].lat as y", "0D as z")
     assert "Broadcast" not in plan(jo.with_vertex(spots, roads))
+
+
+def test_no_file_of_the_extract_grows_with_the_city(spark, monkeypatch):
+    monkeypatch.setattr(convert_queries, "EXTRACT_ROWS", 30, raising=False)
+    nodes, ways, _ = convert_queries._extract(spark, SF)
+    for df in (nodes, ways):
+        read = df.withColumn("f", F.input_file_name()).groupBy("f").count()
+        assert read.agg(F.max("count")).first()[0] <= 30
+    assert ways.count() == convert_queries.city.table(spark, SF, "part").count()
