@@ -35,3 +35,30 @@ def test_no_file_of_the_extract_grows_with_the_city(spark, monkeypatch):
         read = df.withColumn("f", F.input_file_name()).groupBy("f").count()
         assert read.agg(F.max("count")).first()[0] <= 30
     assert ways.count() == convert_queries.city.table(spark, SF, "part").count()
+
+
+def test_buildings_beside_a_street_meet_no_whole_block(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, i, f"e{i}", i, i + 1, [(73.0 + i * 0.001, 18.0, 0.0), (73.001 + i * 0.001, 18.0, 0.0)]) for i in range(20)],
+                                  "city int, ord long, edge_id string, from_node long, to_node long, coordinates array<struct<lon:double,lat:double,z:double>>")
+    homes = spark.createDataFrame([(0, f"b{i}", 73.0002 + i * 0.001, 18.0003) for i in range(20)], "city int, id string, lon double, lat double")
+
+    def no_blocks(*_):
+        raise AssertionError("whole blocks compared")
+    monkeypatch.setattr(ne, "cells_crossed", no_blocks)
+    got = {r.id: (r.edge_id, r.access_node) for r in ne.building_access(homes, edges).collect()}
+    assert got == {f"b{i}": (f"e{i}", i) for i in range(20)}
+
+
+def test_access_beside_in_the_block_and_beyond_it(spark):
+    """A building whose block holds only a far edge takes that one, though a nearer edge lies outside the block."""
+    line = lambda x0, y0, x1, y1: [(x0, y0, 0.0), (x1, y1, 0.0)]
+    lon = lambda cell: cell * 200 / 111319.49079327358
+    w = lon(1)
+    x = lon(40650)  # west side of a column of cells near 73 degrees
+    for lat in (0.0005, 60.0):
+        edges = spark.createDataFrame([(0, 1, "corner", 1, 2, line(x + 1.9 * w, lat + 0.0008, x + 1.95 * w, lat + 0.0008)), (0, 2, "outside", 3, 4, line(x - 1.1 * w, lat, x - 1.1 * w, lat + 0.00001)),
+                                       (1, 3, "alone", 5, 6, line(x + 0.3, lat, x + 0.4, lat))],
+                                      "city int, ord long, edge_id string, from_node long, to_node long, coordinates array<struct<lon:double,lat:double,z:double>>")
+        homes = spark.createDataFrame([(0, "mid", x + 0.05 * w, lat), (0, "beside", x - 1.1 * w - 0.0002, lat), (1, "far", x, lat)], "city int, id string, lon double, lat double")
+        got = {r.id: (r.edge_id, r.access_node) for r in ne.building_access(homes, edges).collect()}
+        assert got["beside"] == ("outside", 3) and got["mid"] == ("corner", 1) and got["far"] == ("alone", 5)
