@@ -21,13 +21,25 @@ def newest(batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return batch.groupBy(*keys).agg(best).select(*keys, "_r.*").select(*batch.columns)
 
 
-def upsert(table: DataFrame, batch: DataFrame, keys: Sequence[str] = ("id",), order: Sequence[str] = ("updated_at",)) -> DataFrame:
-    """Insert or update by key; an update keeps the row's first ``created_at``."""
-    incoming = newest(batch, keys, order)
-    known = table.select(*keys, F.col("created_at").alias("_first"))
-    merged = (incoming.join(known, list(keys), "left")
-              .withColumn("created_at", F.coalesce("_first", "created_at")).drop("_first"))
-    return table.join(incoming.select(*keys), list(keys), "left_anti").unionByName(merged)
+def upsert(table: DataFrame, batch: DataFrame, keys: Sequence[str] = ("id",), order: Sequence[str] = ("updated_at",), *, keep_newer: bool = False) -> DataFrame:
+    """Insert or update by key; an update keeps the row's first ``created_at``.
+
+    With ``keep_newer`` a row stays as it is if it is newer, by ``order``, than what meets it. Both
+    tables meet once, by a full join, which no guess about their sizes turns into a broadcast.
+    """
+    rest = [c for c in table.columns if c not in keys]
+    there = table.select(*keys, F.struct(*rest).alias("_old"))
+    incoming = newest(batch, keys, order).select(*keys, F.struct(*rest).alias("_new"))
+    both = there.join(incoming, list(keys), "full_outer")
+    take = F.col("_new").isNotNull()
+    if keep_newer:
+        is_newer = F.struct(*[F.col(f"_new.{c}") for c in order]) >= F.struct(*[F.col(f"_old.{c}") for c in order])
+        take = take & (F.col("_old").isNull() | is_newer)
+
+    def value(c):
+        new = F.coalesce("_old.created_at", "_new.created_at") if c == "created_at" else F.col(f"_new.{c}")
+        return F.when(take, new).otherwise(F.col(f"_old.{c}")).alias(c)
+    return both.select(*[F.col(c) if c in keys else value(c) for c in table.columns])
 
 
 def apply_change_feed(table: DataFrame, changes: DataFrame, direction: str = "forward", key: str = "id") -> DataFrame:

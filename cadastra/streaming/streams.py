@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.observe import MOVING_ABOVE, STOP_BELOW, congestion_state
-from ..operators.tables import newest, upsert
+from ..operators.tables import upsert
 
 # Fixed value: a vehicle standing longer than this counts as stuck.
 STUCK_SECONDS = 180
@@ -92,7 +92,5 @@ def stream_apply_changes(changes: DataFrame, table_path: str, checkpoint: str, o
             table = spark.read.parquet(f"{table_path}/v{number}")
         except Exception as missing:  # the folder was never seeded
             raise ValueError(f"no table version v{number} below {table_path}") from missing
-        last = newest(batch.drop("change_id"), ["id"], order)
-        fresh = last.join(table.select("id", F.struct(*order).alias("_have")), "id", "left").filter(F.col("_have").isNull() | (F.struct(*order) >= F.col("_have"))).select(*last.columns)
-        upsert(table, fresh, ["id"], order).write.mode("overwrite").parquet(f"{table_path}/v{number + 1}")
+        upsert(table, batch.drop("change_id"), ["id"], order, keep_newer=True).write.mode("overwrite").parquet(f"{table_path}/v{number + 1}")
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

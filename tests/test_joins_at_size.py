@@ -1,8 +1,12 @@
 """Plans and files that must not grow in one place with the tables."""
+import datetime
+import re
+
 from pyspark.sql import functions as F
 
 from cadastra.operators import joining as jo
 from cadastra.operators import nearest as ne
+from cadastra.operators import tables
 from cadastra.operators.spatial import join_boxes, join_points, segments
 from cadastra.plans import convert_queries, nearest_queries
 
@@ -62,3 +66,19 @@ def test_access_beside_in_the_block_and_beyond_it(spark):
         homes = spark.createDataFrame([(0, "mid", x + 0.05 * w, lat), (0, "beside", x - 1.1 * w - 0.0002, lat), (1, "far", x, lat)], "city int, id string, lon double, lat double")
         got = {r.id: (r.edge_id, r.access_node) for r in ne.building_access(homes, edges).collect()}
         assert got["beside"] == ("outside", 3) and got["mid"] == ("corner", 1) and got["far"] == ("alone", 5)
+
+
+def test_upsert_meets_its_table_once(spark):
+    rows = "id string, population long, seq long, created_at timestamp, updated_at timestamp"
+    t = lambda day: datetime.datetime(2026, 1, day)
+    table = spark.createDataFrame([("a", 1, 0, t(1), t(5)), ("b", 2, 0, t(1), t(1)), ("c", 3, 0, t(1), t(1)), (None, 4, 0, t(1), t(1))], rows)
+    batch = spark.createDataFrame([("a", 10, 1, t(4), t(4)), ("b", 20, 1, t(4), t(4)), ("b", 21, 2, t(4), t(4)), ("d", 40, 1, t(4), t(4)), (None, 50, 1, t(4), t(4))], rows)
+
+    def held(**how):
+        out = tables.upsert(table, batch, ["id"], ["updated_at", "seq"], **how)
+        text = plan(out)
+        assert len(re.findall(r"\w*Join\b", text)) == 1 and "Broadcast" not in text
+        return sorted((r.id or "", r.population, r.created_at.day, r.updated_at.day) for r in out.collect())
+    kept = [("", 4, 1, 1), ("", 50, 4, 4), ("b", 21, 1, 4), ("c", 3, 1, 1), ("d", 40, 4, 4)]
+    assert held() == sorted([*kept, ("a", 10, 1, 4)])
+    assert held(keep_newer=True) == sorted([*kept, ("a", 1, 1, 5)])
