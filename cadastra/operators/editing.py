@@ -24,15 +24,15 @@ def repair_plan(roads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def apply_repair(roads: DataFrame, backup: DataFrame) -> DataFrame:
-    return roads.join(backup.select("id", "after"), "id", "left").withColumn("sections", F.coalesce("after", "sections")).drop("after")
+    return roads.join(backup.select("id", "after").hint("merge"), "id", "left").withColumn("sections", F.coalesce("after", "sections")).drop("after")
 
 
 def restore_sections(roads: DataFrame, backup: DataFrame) -> DataFrame:
     """Put the originals back; refuses if any row was edited since the repair."""
-    edited = backup.join(roads.select("id", "sections"), "id", "left").filter("not (sections <=> after)")
+    edited = backup.join(roads.select("id", "sections").hint("merge"), "id", "left").filter("not (sections <=> after)")
     if not edited.isEmpty():
         raise ValueError("a road was edited after the repair; nothing was restored")
-    return roads.join(backup.select("id", "before"), "id", "left").withColumn("sections", F.coalesce("before", "sections")).drop("before")
+    return roads.join(backup.select("id", "before").hint("merge"), "id", "left").withColumn("sections", F.coalesce("before", "sections")).drop("before")
 
 
 def clip_lines(lines: DataFrame, areas: DataFrame, *, by: Sequence[str] = ("city",)) -> DataFrame:

@@ -70,7 +70,8 @@ def repair(spark, sf):
     fixed = materialise(ed.apply_repair(table, backup), "fixed")
     again = cv.repaired_sections(fixed).selectExpr("id", "not changed as stable")
     back = ed.restore_sections(fixed, backup).selectExpr("id", "sections as back")
-    return (table.join(back, "id").join(again, "id").join(backup.selectExpr("id", "true as hit"), "id", "left")
+    # The tables are small in their files only, so none is gathered for a join.
+    return (table.join(back.hint("merge"), "id").join(again.hint("merge"), "id").join(backup.selectExpr("id", "true as hit").hint("merge"), "id", "left")
             .selectExpr("id", "coalesce(hit, false) as changed", "back = sections as restored", "stable"))
 
 
