@@ -12,7 +12,7 @@ from ..functions import demand as D
 from ..functions.geo import bounds, box, degrees_apart, haversine, js_round, planar
 from ..functions.polygons import in_polygon, mean_of, shoelace
 from ..session import materialise, pin
-from .graph import shortest
+from .graph import reversed_edges, shortest
 from .polygons import clip_rings
 from .spatial import join_points, k_nearest_global, nearest_global
 
@@ -278,6 +278,9 @@ def nearest_k(centres: DataFrame, nodes: DataFrame, k: int, *, by: Sequence[str]
 
 # ---- routing readiness ---------------------------------------------------------------
 
+# Fixed value: nodes per group that are searched both ways before any other.
+READINESS_PIVOTS = 3
+
 def nearest_seed_nodes(places: DataFrame, nodes: DataFrame, *, by: Sequence[str] = ("city",)) -> DataFrame:
     """Node nearest to each place in raw degrees (``id``, ``node``)."""
     n = nodes.selectExpr(*by, "node", "lon as nlon", "lat as nlat", f"{box('lon', 'lat', 'lon', 'lat')} as box")
@@ -288,14 +291,39 @@ def nearest_seed_nodes(places: DataFrame, nodes: DataFrame, *, by: Sequence[str]
 def route_readiness(pairs: DataFrame, seeded: DataFrame, edges: DataFrame, *, by: Sequence[str] = ("city",)) -> DataFrame:
     """Per group: OD pairs, those with a valid origin and destination, routed and failed ones.
 
-    Every pair is checked, not a sample. Reachability is found once per distinct start
-    node. A pair whose two ends share one node counts as failed.
+    Every pair is checked, not a sample. Pairs are counted by their nodes first. A few
+    pivots per group, searched both ways, settle nearly all: a pair that leads to a pivot and on
+    is routed; one that starts where a pivot leads but ends where it does not, or ends where
+    a pivot is reached from but starts elsewhere, is not. Only start nodes with a pair left over are
+    searched by themselves. A pair whose two ends share one node counts as failed.
     """
     p = pairs.select(*by, "origin_id", "destination_id").distinct()
     p = p.join(seeded.selectExpr(*by, "id as origin_id", "node as a"), [*by, "origin_id"], "left").join(
         seeded.selectExpr(*by, "id as destination_id", "node as b"), [*by, "destination_id"], "left")
-    p = materialise(p, "od_nodes")
-    reach = shortest(edges.selectExpr("src", "dst", "0D as w", "edge_id"), p.filter("a is not null").selectExpr("a as k", "a as node", "0D as d").distinct())
-    ok = p.join(reach.selectExpr("k as a", "node as b", "true as linked"), ["a", "b"], "left").selectExpr("*", "coalesce(linked, false) and a <> b as ok")
-    return ok.groupBy(*by).agg(F.expr("count(1)").alias("od_pairs"), F.expr("count(a)").alias("valid_origins"), F.expr("count(b)").alias("valid_destinations"),
-                               F.expr("count_if(ok)").alias("routed"), F.expr("count_if(not ok)").alias("failed"))
+    p = materialise(p.groupBy(*by, "a", "b").agg(F.expr("count(1)").alias("n")), "od_nodes")
+    e = edges.selectExpr("src", "dst", "0D as w", "edge_id")
+    degree = e.selectExpr("inline(array(struct(src as a, 1 as o, 0 as i), struct(dst as a, 0 as o, 1 as i)))").groupBy("a").agg(F.expr("sum(o) * sum(i)").alias("ways"))
+    best = W.partitionBy(*by).orderBy(F.desc("ways"), "a")
+    starts = p.filter("a is not null").select(*by, "a").distinct().join(degree, "a").withColumn("rank", F.row_number().over(best))
+    pivots = materialise(starts.filter(F.col("rank") <= READINESS_PIVOTS).selectExpr(*by, "a as k"), "pivots")
+    seeds = pivots.selectExpr("k", "k as node", "0D as d").distinct()
+    onward = shortest(e, seeds).select("k", "node", F.lit(True).alias("fed"))
+    back = shortest(reversed_edges(e), seeds).select("k", "node", F.lit(True).alias("feeds"))
+    seen = onward.join(back, ["k", "node"], "full_outer").na.fill(False)
+    # What each node is to the pivots of its group.
+    ties = materialise(pivots.join(seen, "k").groupBy(*by, "node").agg(
+        F.expr("collect_set(k) filter (where fed)").alias("fed_by"), F.expr("collect_set(k) filter (where feeds)").alias("feeds_to")), "ties")
+    at = lambda c: ties.selectExpr(*by, f"node as {c}", f"fed_by as {c}_fed", f"feeds_to as {c}_feeds")
+    known = p.filter("a <> b").join(at("a").hint("merge"), [*by, "a"], "left").join(at("b").hint("merge"), [*by, "b"], "left")
+    for c in ("a_fed", "a_feeds", "b_fed", "b_feeds"):
+        known = known.withColumn(c, F.coalesce(c, F.array().cast(dict(known.dtypes)[c])))
+    known = materialise(known.selectExpr(*by, "a", "b", """case when arrays_overlap(a_feeds, b_fed) then true
+        when size(array_except(a_fed, b_fed)) > 0 or size(array_except(b_feeds, a_feeds)) > 0 then false end as linked"""), "settled")
+    left = known.filter("linked is null").select(*by, "a", "b")
+    reach = shortest(e, left.selectExpr("a as k", "a as node", "0D as d").distinct())
+    late = left.join(reach.selectExpr("k as a", "node as b"), ["a", "b"]).selectExpr(*by, "a", "b", "true as linked")
+    linked = known.filter("linked").unionByName(late)
+    ok = p.join(linked.hint("merge"), [*by, "a", "b"], "left").selectExpr("*", "coalesce(linked, false) as ok")
+    some = lambda where, name: F.expr(f"coalesce(sum(n) filter (where {where}), 0)").alias(name)
+    return ok.groupBy(*by).agg(F.sum("n").alias("od_pairs"), some("a is not null", "valid_origins"), some("b is not null", "valid_destinations"),
+                               some("ok", "routed"), some("not ok", "failed"))

@@ -1,14 +1,15 @@
 """Plans and files that must not grow in one place with the tables."""
 import datetime
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from cadastra.operators import joining as jo
 from cadastra.operators import nearest as ne
-from cadastra.operators import tables
+from cadastra.operators import demand, tables
 from cadastra.operators.spatial import join_boxes, join_points, segments
-from cadastra.plans import convert_queries, nearest_queries
+from cadastra.plans import convert_queries, editing_queries, nearest_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +83,30 @@ def test_upsert_meets_its_table_once(spark):
     kept = [("", 4, 1, 1), ("", 50, 4, 4), ("b", 21, 1, 4), ("c", 3, 1, 1), ("d", 40, 4, 4)]
     assert held() == sorted([*kept, ("a", 10, 1, 4)])
     assert held(keep_newer=True) == sorted([*kept, ("a", 1, 1, 5)])
+
+
+def test_repair_and_restore_gather_no_table_in_the_driver(spark):
+    assert "Broadcast" not in plan(editing_queries.repair(spark, SF))
+
+
+def test_readiness_searches_only_nodes_that_pivots_leave_open(spark, monkeypatch):
+    rnd = random.Random(5)
+    edges = [(i, (i + 1) % 30, i) for i in range(30)] + [(30 + rnd.randrange(30), rnd.randrange(60), 100 + i) for i in range(25)]
+    seen = {i: {i} for i in range(62)}
+    for _ in range(62):
+        for s, d, _e in edges:
+            for k in seen:
+                if s in seen[k]:
+                    seen[k].add(d)
+    ids = [*range(62), 99]
+    pairs = [(0, f"p{a}", f"p{b}") for a in ids for b in ids if a != b]
+    node = {**{i: i for i in range(62)}, 61: 60}
+    want = sum(1 for _, a, b in pairs if a != "p99" and b != "p99" and node[int(a[1:])] != node[int(b[1:])] and node[int(b[1:])] in seen[node[int(a[1:])]])
+    searched, plainly = [], demand.shortest
+    monkeypatch.setattr(demand, "shortest", lambda e, seeds, *a, **k: searched.append(seeds.select("k").distinct().count()) or plainly(e, seeds, *a, **k))
+    got = demand.route_readiness(spark.createDataFrame(pairs, "city int, origin_id string, destination_id string"),
+                                 spark.createDataFrame([(0, f"p{i}", node[i]) for i in node], "city int, id string, node int"),
+                                 spark.createDataFrame(edges, "src int, dst int, edge_id int")).first()
+    assert (got.od_pairs, got.valid_origins, got.valid_destinations) == (len(pairs), len(pairs) - 62, len(pairs) - 62)
+    assert (got.routed, got.failed) == (want, len(pairs) - want)
+    assert searched[:2] == [3, 3] and searched[2] < 32
