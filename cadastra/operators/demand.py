@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import demand as D
 from ..functions.geo import bounds, box, degrees_apart, haversine, js_round, planar
-from ..functions.polygons import in_polygon, mean_of, shoelace
+from ..functions.polygons import in_polygon, in_reach, mean_of, shoelace
 from ..session import materialise, pin
 from .graph import reversed_edges, shortest
 from .polygons import clip_rings
@@ -47,7 +47,7 @@ def first_zone(points: DataFrame, zones: DataFrame, key: str = "id", *, by: Sequ
     """Zone of each point: the first in list order whose ring holds it."""
     shapes = zones.select(*by, "zone_id", F.col("ord").alias("zone_ord"), "boundary", F.expr(bounds("boundary")).alias("box"))
     hits = join_points(points.select(*by, key, "lon", "lat"), shapes, ZONE_TILE_DEG, by=by)
-    hits = hits.filter(in_polygon("lon", "lat", "boundary", mode))
+    hits = hits.filter(f"{in_reach('lon', 'lat')} and {in_polygon('lon', 'lat', 'boundary', mode)}")
     return hits.groupBy(*by, key).agg(F.min(F.struct("zone_ord", "zone_id"))["zone_id"].alias("zone_id"))
 
 
@@ -56,7 +56,7 @@ def points_in_zones(points: DataFrame, zones: DataFrame, keep: Sequence[str], *,
     """Every (point, zone) with the point inside the zone's ring."""
     shapes = zones.select(*by, "zone_id", "boundary", F.expr(bounds("boundary")).alias("box"))
     hits = join_points(points.select(*by, *keep, "lon", "lat"), shapes, ZONE_TILE_DEG, by=by)
-    return hits.filter(in_polygon("lon", "lat", "boundary", mode)).select(*by, *keep, "zone_id")
+    return hits.filter(f"{in_reach('lon', 'lat')} and {in_polygon('lon', 'lat', 'boundary', mode)}").select(*by, *keep, "zone_id")
 
 
 def with_mean_point(buildings: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def zone_access_weights(zones: DataFrame, nodes: DataFrame, edges: DataFrame, *,
     at = edges.selectExpr("ord_key", "capacity", "road_class", "explode(array_distinct(array(src, dst))) as node").groupBy("node").agg(
         F.expr("greatest(1000, max(capacity))").alias("cap"), F.expr("max_by(road_class, ord_key)").alias("cls"))
     m = "case cls " + " ".join(f"when '{c}' then {v}D" for c, v in ACCESS_MULTIPLIER.items()) + " when 'local' then 0.5D else 1D end"
-    w = inside.unionByName(ranked).join(at, "node", "left").selectExpr(*by, "zone_id", "node", f"{m} * ln(1 + coalesce(cap, 1000)) as weight")
+    w = inside.unionByName(ranked).join(at.hint("merge"), "node", "left").selectExpr(*by, "zone_id", "node", f"{m} * ln(1 + coalesce(cap, 1000)) as weight")
     return w.withColumn("weight", F.col("weight") / F.sum("weight").over(W.partitionBy(*by, "zone_id")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
-from ..functions.polygons import centroid, in_polygon
+from ..functions.polygons import centroid, in_polygon, in_reach
 from ..session import forget, materialise, pin
 from . import convert as cv
 from .nearest import TILE_DEG, road_ends
@@ -71,7 +71,7 @@ def clip_buildings(buildings: DataFrame, areas: DataFrame, *, by: Sequence[str]
     """Buildings whose footprint centroid lies in an area."""
     b = pin(buildings.filter("size(coordinates) >= 3"), _c=centroid("coordinates")).selectExpr("*", "_c.lon as lon", "_c.lat as lat").drop("_c")
     shapes = areas.selectExpr(*by, "area_id", "boundary", f"{G.bounds('boundary')} as box")
-    return join_points(b, shapes, TILE_DEG * 4, by=by).filter(in_polygon("lon", "lat", "boundary", "boundary")).drop("boundary", "box", "lon", "lat")
+    return join_points(b, shapes, TILE_DEG * 4, by=by).filter(f"{in_reach('lon', 'lat')} and {in_polygon('lon', 'lat', 'boundary', 'boundary')}").drop("boundary", "box", "lon", "lat")
 
 
 def fold_order(edges: DataFrame, join_m: float = 12.0, *, by: Sequence[str] = ("city",)) -> DataFrame:

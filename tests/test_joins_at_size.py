@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadastra.operators import joining as jo
 from cadastra.operators import nearest as ne
-from cadastra.operators import demand, tables
+from cadastra.operators import demand, editing, tables
 from cadastra.operators.spatial import join_boxes, join_points, segments
 from cadastra.plans import convert_queries, editing_queries, nearest_queries
 
@@ -110,3 +110,29 @@ def test_readiness_searches_only_nodes_that_pivots_leave_open(spark, monkeypatch
     assert (got.od_pairs, got.valid_origins, got.valid_destinations) == (len(pairs), len(pairs) - 62, len(pairs) - 62)
     assert (got.routed, got.failed) == (want, len(pairs) - want)
     assert searched[:2] == [3, 3] and searched[2] < 32
+
+
+def test_short_rows_are_dealt_out_before_they_unfold(spark):
+    for name, key in (("roads", "p_partkey"), ("buildings", "c_custkey")):
+        assert f"hashpartitioning({key}" in plan(nearest_queries.city.derive(spark, SF, name))
+
+
+def test_rings_are_asked_behind_their_boxes(spark):
+    zones = nearest_queries.city.zones(spark, SF).selectExpr("city", "zone_id as area_id", "boundary")
+    lines = nearest_queries.roads(spark, SF).selectExpr("city", "road_id as id", "coordinates")
+    homes = nearest_queries.city.buildings(spark, SF).selectExpr("city", "building_id as id", "coordinates")
+    for df in (ne.lines_touching_areas(lines, zones), editing.clip_buildings(homes, zones)):
+        shown = plan(df)
+        assert "1.0E-9" in shown and shown.index("1.0E-9") < shown.index("filter(transform(")
+    # On the ring and on a corner counts as inside, whatever the box.
+    area = spark.createDataFrame([(0, "a", [(73.0, 18.0, 0.0), (73.004, 18.0, 0.0), (73.004, 18.004, 0.0), (73.0, 18.004, 0.0)])], "city int, area_id string, boundary array<struct<lon:double,lat:double,z:double>>")
+    spots = [(73.0, 18.0), (73.004, 18.004), (73.002, 18.004), (73.002, 18.002), (73.0041, 18.002), (72.9999, 18.0)]
+    pts = spark.createDataFrame([(0, str(i), [(x, y, 0.0)] * 2) for i, (x, y) in enumerate(spots)], "city int, id string, coordinates array<struct<lon:double,lat:double,z:double>>")
+    assert sorted(r.id for r in ne.lines_touching_areas(pts, area).collect()) == ["0", "1", "2", "3"]
+
+
+def test_nodes_of_the_access_weights_are_not_gathered(spark):
+    zones, nodes = nearest_queries.city.zones(spark, SF), nearest_queries.grid_nodes(spark, SF)
+    edges = nearest_queries.city.derive(spark, SF, "roads").selectExpr("ord as ord_key", "capacity", "road_class", "city * 121 + r * 11 + c as src", "city * 121 + (r + vertical) * 11 + c + 1 - vertical as dst")
+    shown = plan(demand.zone_access_weights(zones, nodes, edges))
+    assert not re.search(r"BroadcastHashJoin \[node", shown)
