@@ -36,19 +36,20 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumnsRenamed({"src": "_d", "dst": "src"}).withColumnRenamed("_d", "dst")
 
 
-def shortest(edges: DataFrame, seeds: DataFrame, limit: float | None = None, hops: int = 3) -> DataFrame:
+def shortest(edges: DataFrame, seeds: DataFrame, limit: float | str | None = None, hops: int = 3) -> DataFrame:
     """Least cost from each source key ``k`` to every node it reaches.
 
     ``seeds``: ``k``, ``node`` and ``d`` (start cost). Nodes at ``limit`` or beyond are
-    recorded but not expanded. Several hops are taken per round to keep rounds few.
+    recorded but not expanded; it may depend on the source key (SQL text over ``k``).
+    Several hops are taken per round to keep rounds few.
     Result: ``k``, ``node``, ``d``, ``edge_id`` (arriving edge), ``prev`` (node before).
     """
     e = edges.select("src", "dst", "w", "edge_id")
     edge_type, node_type = dict(e.dtypes)["edge_id"], dict(e.dtypes)["src"]
     state = materialise(seeds.groupBy("k", "node").agg(F.min("d").alias("d")).selectExpr(
         "k", "node", "d", f"cast(null as {edge_type}) as edge_id", f"cast(null as {node_type}) as prev", "true as fresh"), "paths")
-    reach = "fresh" if limit is None else f"fresh and d < {float(limit)!r}D"
-    within = "true" if limit is None else f"d < {float(limit)!r}D"
+    within = "true" if limit is None else f"d < {limit if isinstance(limit, str) else repr(float(limit)) + 'D'}"
+    reach = f"fresh and {within}"
     while not state.filter(reach).isEmpty():  # costs are not negative, so improvements end
         wave = state.filter(reach).select("k", "node", "d")
         found = state.drop("fresh").withColumn("old", F.col("d"))
