@@ -43,7 +43,7 @@ def settled(spots: DataFrame, *, by: Sequence[str] = ("city",)) -> DataFrame:
     """Without the second of two ends that would each run to the other; the road that comes first (``own_ord``) keeps its join."""
     facing = spots.filter("target_end is not null").selectExpr(
         *by, "target as road_id", "target_end as which", "road_id as target", "which as target_end", "own_ord as other_ord", "road_id as other_id").distinct()
-    both = spots.join(facing, [*by, "road_id", "which", "target", "target_end"], "left")
+    both = spots.join(facing.hint("merge"), [*by, "road_id", "which", "target", "target_end"], "left")
     return both.filter("other_ord is null or struct(own_ord, road_id) < struct(other_ord, other_id)").select(*spots.columns)
 
 
@@ -78,11 +78,12 @@ def insert_points(roads: DataFrame, points: DataFrame, ends: DataFrame | None =
     """
     key = [*by, "road_id"]
     inner = points.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("seg").cast("int").alias("seg"), F.col("t").cast("double").alias("t"), "p"))).alias("_in"))
-    out = roads.join(inner, key, "left")
+    out = roads.join(inner.hint("merge"), key, "left")
     if ends is None:
         out = out.selectExpr("*", "cast(null as struct<p:struct<lon:double,lat:double,z:double>,move:boolean>) as _s").withColumn("_e", F.col("_s"))
     else:
-        out = out.join(ends.groupBy(*key).agg(*[F.max(F.when(F.col("which") == w, F.struct("p", "move"))).alias(c) for w, c in (("start", "_s"), ("end", "_e"))]), key, "left")
+        both = ends.groupBy(*key).agg(*[F.max(F.when(F.col("which") == w, F.struct("p", "move"))).alias(c) for w, c in (("start", "_s"), ("end", "_e"))])
+        out = out.join(both.hint("merge"), key, "left")
     out = out.withColumn("_in", F.coalesce("_in", F.filter(F.transform("coordinates", lambda p: F.struct(F.lit(0).alias("seg"), F.lit(0.0).alias("t"), p.alias("p"))), lambda x: F.lit(False))))
     moved = "case when i = 0 and _s.move then _s.p when i = size(coordinates) - 1 and _e.move then _e.p else p end"
     line = f"transform(array_sort(concat(transform(coordinates, (p, i) -> named_struct('seg', i, 't', -1D, 'p', {moved})), _in)), v -> v.p)"

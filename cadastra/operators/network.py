@@ -2,7 +2,8 @@
 
 All steps are joins and windows keyed by city and tile, vertex or road. Roads that
 come unedited from the map meet at shared vertices only; others also where they
-cross or end within the join tolerance.
+cross or end within the join tolerance. Written tables are small in their files only, so the
+joins ask for sorted merges and none is gathered in the driver.
 """
 
 from __future__ import annotations
@@ -113,12 +114,12 @@ def shared_vertex_splits(roads: DataFrame) -> DataFrame:
     v = vertex_rows(roads.filter("osm").selectExpr("city", "ord", "size(coordinates) as n", "coordinates"), ["city", "ord", "n"])
     at = v.groupBy("city", "kx", "ky").agg(
         F.min("ord").alias("o0"), F.max("ord").alias("o1"), F.min("z").alias("z0"), F.max("z").alias("z1")).filter("o0 <> o1")
-    rows = v.join(at, ["city", "kx", "ky"])
+    rows = v.join(at.hint("merge"), ["city", "kx", "ky"])
     flat = rows.filter(f"z1 - z0 <= {LEVEL}D")
     steep = rows.filter(f"z1 - z0 > {LEVEL}D")
     levels = steep.selectExpr("city", "kx", "ky", "ord as other", "z as other_z").distinct()
     near = steep.alias("s").join(
-        levels.alias("l"), (F.col("s.city") == F.col("l.city")) & (F.col("s.kx") == F.col("l.kx")) & (F.col("s.ky") == F.col("l.ky"))
+        levels.hint("merge").alias("l"), (F.col("s.city") == F.col("l.city")) & (F.col("s.kx") == F.col("l.kx")) & (F.col("s.ky") == F.col("l.ky"))
         & (F.col("s.ord") != F.col("l.other")) & (F.abs(F.col("s.z") - F.col("l.other_z")) <= LEVEL), "left_semi")
     return flat.unionByName(near).selectExpr("city", "ord", "least(pos, n - 2) as seg", "lon", "lat", "z")
 
@@ -128,7 +129,7 @@ def cut_roads(roads: DataFrame, splits: DataFrame) -> DataFrame:
     verts = roads.selectExpr("city", "ord", "posexplode(coordinates) as (seg, p)").selectExpr(
         "city", "ord", "seg", "-1D as d2", "p.lon", "p.lat", "p.z", "0 as cut")
     starts = roads.selectExpr("city", "ord", "posexplode(coordinates) as (seg, s)")
-    cuts = splits.join(starts, ["city", "ord", "seg"]).selectExpr(
+    cuts = splits.join(starts.hint("merge"), ["city", "ord", "seg"]).selectExpr(
         "city", "ord", "seg", "power(lon - s.lon, 2) + power(lat - s.lat, 2) as d2", "lon", "lat", "z", "1 as cut")
     near = (f"cut = 1 and lag(cut) over (partition by city, ord, seg order by d2, lon, lat, z) = 1"
             f" and abs(lon - lag(lon) over (partition by city, ord, seg order by d2, lon, lat, z)) < {MIN_SPLIT_GAP}D"
@@ -142,7 +143,7 @@ def cut_roads(roads: DataFrame, splits: DataFrame) -> DataFrame:
     lines = rows.groupBy("city", "ord", "idx").agg(F.array_sort(F.collect_list(F.struct("seg", "d2", "lon", "lat", "z"))).alias("_c"))
     return lines.filter("size(_c) >= 2").selectExpr(
         "city", "ord", "idx", "transform(_c, _p -> named_struct('lon', _p.lon, 'lat', _p.lat, 'z', _p.z)) as coordinates").join(
-        roads.select("city", "ord", "road_id", "osm"), ["city", "ord"])
+        roads.select("city", "ord", "road_id", "osm").hint("merge"), ["city", "ord"])
 
 
 # ---- nodes --------------------------------------------------------------------
@@ -168,33 +169,33 @@ def cluster_nodes(ends: DataFrame) -> DataFrame:
     size = 4 * TOL
     here = pts.selectExpr("city", "first as later", "lon", "lat", "z", "osm", f"floor(lon / {size!r}D) as tx", f"floor(lat / {size!r}D) as ty")
     there = tile_boxes(box.selectExpr("city", "first as earlier", "lon as elon", "lat as elat", "z as ez", "osm as eosm", "box"), "box", size, TOL)
-    near = here.join(there, ["city", "tx", "ty"]).filter(
+    near = here.join(there.hint("merge"), ["city", "tx", "ty"]).filter(
         f"later > earlier and {G.degrees_apart('lon', 'lat', 'elon', 'elat')} < {TOL!r}D and abs(z - ez) < {LEVEL}D"
         f" and not (osm and eosm and ({G.e7('lon')} <> {G.e7('elon')} or {G.e7('lat')} <> {G.e7('elat')}))")
     near = materialise(near.select("city", "later", "earlier"), "near")
     # Verdicts, 1: a node, 0: taken by an earlier node. A point without earlier neighbours is a node.
     listed = near.select("city", F.col("later").alias("earlier")).distinct().withColumn("listed", F.lit(True))
-    todo = materialise(near.join(listed, ["city", "earlier"], "left").selectExpr("city", "later", "earlier", "case when listed is null then 1 end as e"), "open")
+    todo = materialise(near.join(listed.hint("merge"), ["city", "earlier"], "left").selectExpr("city", "later", "earlier", "case when listed is null then 1 end as e"), "open")
     settled = None
     while not todo.isEmpty():
         verdict = todo.groupBy("city", "later").agg(F.max("e").alias("any_node"), F.expr("count(*) - count(e)").alias("open"))
         now = materialise(verdict.selectExpr("city", "later", "case when any_node = 1 then 0 when open = 0 then 1 end as is_node").filter("is_node is not null"), "settled")
         if now.isEmpty():
             raise RuntimeError("no road end could be settled")
-        left = todo.join(now, ["city", "later"], "left_anti").join(now.selectExpr("city", "later as earlier", "is_node"), ["city", "earlier"], "left").selectExpr(
+        left = todo.join(now.hint("merge"), ["city", "later"], "left_anti").join(now.selectExpr("city", "later as earlier", "is_node").hint("merge"), ["city", "earlier"], "left").selectExpr(
             "city", "later", "earlier", "coalesce(e, is_node) as e")
         after = materialise(left, "open")
         forget(todo)
         todo = after
         settled = now if settled is None else settled.unionByName(now)
     taken = (near.selectExpr("city", "later", "0 as is_node").limit(0) if settled is None else settled).filter("is_node = 0").select("city", "later")
-    owner = near.join(taken, ["city", "later"], "left_semi").join(taken.withColumnRenamed("later", "earlier"), ["city", "earlier"], "left_anti").groupBy(
+    owner = near.join(taken.hint("merge"), ["city", "later"], "left_semi").join(taken.withColumnRenamed("later", "earlier").hint("merge"), ["city", "earlier"], "left_anti").groupBy(
         "city", "later").agg(F.min("earlier").alias("node_first"))
-    placed = pts.join(owner.withColumnRenamed("later", "first"), ["city", "first"], "left").withColumn(
+    placed = pts.join(owner.withColumnRenamed("later", "first").hint("merge"), ["city", "first"], "left").withColumn(
         "node_first", F.coalesce("node_first", "first"))
     at = placed.filter("node_first = first").selectExpr("city", "first as node_first", "lon as nlon", "lat as nlat", "z as nz")
     at = at.selectExpr("*", f"{node_name('nlon', 'nlat', 'nz')} as node_id")
-    return placed.join(at, ["city", "node_first"])
+    return placed.join(at.hint("merge"), ["city", "node_first"])
 
 
 def build_network(roads: DataFrame) -> Network:
@@ -217,11 +218,11 @@ def build_network(roads: DataFrame) -> Network:
     def end_node(df, which, name):
         p = f"element_at(coordinates, {which})"
         return df.selectExpr("*", f"{p}.lon as lon", f"{p}.lat as lat", f"{p}.z as z").join(
-            look.withColumnRenamed("node_id", name), ["city", "lon", "lat", "z", "osm"]).drop("lon", "lat", "z")
+            look.withColumnRenamed("node_id", name).hint("merge"), ["city", "lon", "lat", "z", "osm"]).drop("lon", "lat", "z")
     e = end_node(end_node(pieces, 1, "start_node"), -1, "end_node")
     e = e.selectExpr("*", f"{G.line_length('coordinates')} as length").filter("length >= 0.1")
     attrs = roads.select("city", "ord", "lane_count", "one_way", "speed_limit", "capacity", "lanes_a", "lanes_b")
-    e = e.join(attrs, ["city", "ord"]).selectExpr(
+    e = e.join(attrs.hint("merge"), ["city", "ord"]).selectExpr(
         "*", "coalesce(nullif(lane_count, 0), 2) as _n").selectExpr("*", "coalesce(nullif(capacity, 0), _n * 1000) as _cap").selectExpr(
         "*", "coalesce(lanes_a, greatest(1, ceil(_n / (case when one_way then 1 else 2 end)))) as _fwd",
         "case when lanes_b > 0 then lanes_b when one_way then 0 else greatest(1, floor(_n / 2)) end as _bwd")

@@ -129,8 +129,8 @@ def joined_network(spark, sf):
     joined, made = jo.connect_road_ends(drawn_roads(spark, sf), decks(spark, sf))
     net = build_network(materialise(joined.drop("changed"), "joined"))
     at = net.edges.selectExpr("city", "road_id", "explode(array(from_node, to_node)) as node").distinct()
-    both = made.select("city", "road_id", "which", "target").join(at, ["city", "road_id"]).join(at.withColumnRenamed("road_id", "target"), ["city", "target", "node"])
-    return made.select("road_id", "which", "target").join(both.selectExpr("road_id", "which", "target", "true as shared").distinct(), ["road_id", "which", "target"], "left").na.fill(False)
+    both = made.select("city", "road_id", "which", "target").join(at.hint("merge"), ["city", "road_id"]).join(at.withColumnRenamed("road_id", "target").hint("merge"), ["city", "target", "node"])
+    return made.select("road_id", "which", "target").join(both.selectExpr("road_id", "which", "target", "true as shared").distinct().hint("merge"), ["road_id", "which", "target"], "left").na.fill(False)
 
 
 @query("c14_carried_ends", _CARRIED + _joins("carried") + f""" SELECT own AS road_id, which, target, {sql_fixed('jx', 6)} AS x, {sql_fixed('jy', 6)} AS y,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cadastra.operators import joining as jo
 from cadastra.operators import nearest as ne
-from cadastra.operators import demand, editing, tables
+from cadastra import session
+from cadastra.operators import demand, editing, network, tables
 from cadastra.operators.spatial import join_boxes, join_points, segments
 from cadastra.plans import convert_queries, editing_queries, nearest_queries
 
@@ -136,3 +137,17 @@ def test_nodes_of_the_access_weights_are_not_gathered(spark):
     edges = nearest_queries.city.derive(spark, SF, "roads").selectExpr("ord as ord_key", "capacity", "road_class", "city * 121 + r * 11 + c as src", "city * 121 + (r + vertical) * 11 + c + 1 - vertical as dst")
     shown = plan(demand.zone_access_weights(zones, nodes, edges))
     assert not re.search(r"BroadcastHashJoin \[node", shown)
+
+
+def _written_without_broadcast(monkeypatch, *modules):
+    def checked(df, name="step"):
+        assert "Broadcast" not in plan(df), name
+        return session.materialise(df, name)
+    for m in modules:
+        monkeypatch.setattr(m, "materialise", checked)
+
+
+def test_roads_are_joined_and_built_into_a_network_without_a_broadcast(spark, monkeypatch):
+    _written_without_broadcast(monkeypatch, jo, network, editing_queries)
+    assert "Broadcast" not in plan(editing_queries.connect(spark, SF))
+    assert "Broadcast" not in plan(editing_queries.joined_network(spark, SF))
