@@ -66,6 +66,23 @@ def shortest(edges: DataFrame, seeds: DataFrame, limit: float | str | None = Non
     return state.drop("fresh")
 
 
+def reachable(edges: DataFrame, seeds: DataFrame, where: str = "true", hops: int = 3) -> DataFrame:
+    """Every node that each source key ``k`` of the seeds (``k``, ``node``) reaches, theirs included.
+
+    ``where`` says which edges a key may use (SQL text over ``k`` and the edges' columns). A
+    round goes on from, and writes, only the pairs that are new.
+    """
+    fresh = known = materialise(seeds.select("k", "node").distinct(), "reached")
+    while not fresh.isEmpty():  # pairs are finitely many, so new ones end
+        wave, found = fresh, None
+        for _hop in range(hops):
+            wave = wave.join(edges, wave["node"] == edges["src"]).filter(where).selectExpr("k", "dst as node").distinct()
+            found = wave if found is None else found.unionByName(wave)
+        fresh = materialise(found.distinct().join(known.hint("merge"), ["k", "node"], "left_anti"), "reached")
+        known = known.unionByName(fresh)
+    return known
+
+
 def route_trees(edges: DataFrame, targets: DataFrame, hops: int = 3) -> DataFrame:
     """Per target: cost from every node that can reach it and the next edge towards it."""
     t = shortest(reversed_edges(edges), targets.selectExpr("node as k", "node", "0D as d"), hops=hops)

@@ -116,12 +116,12 @@ def dependent_pairs(area: StudyArea) -> DataFrame:
     free = nodes.join(area.sources, ["city", "node"], "left_anti")
     entries = free.join(e.filter("not in_range").selectExpr("city", "dst as node"), ["city", "node"], "left_semi")
     exits = free.join(e.filter("not in_range").selectExpr("city", "src as node"), ["city", "node"], "left_semi")
-    seeds = entries.selectExpr("named_struct('city', city, 'entry', node) as k", "node", "0D as d")
-
-    def reach(graph):
-        r = G.shortest(graph.selectExpr("src", "dst", "0D as w", "edge_id"), seeds)
-        return r.selectExpr("k.city as city", "k.entry as entry", "node").join(exits, ["city", "node"]).filter("entry <> node")
-    with_seeds, without = reach(e.filter("in_range")), reach(e.filter("in_range and not seed"))
+    # Each entry sets out twice in the same rounds: over all roads, and bound to keep off the seed roads.
+    seeds = entries.selectExpr("city", "node", "explode(array(false, true)) as off").selectExpr("named_struct('city', city, 'entry', node, 'off', off) as k", "node")
+    ways = e.filter("in_range").select("src", "dst", "seed").distinct()
+    reached = G.reachable(ways, seeds, "not (k.off and seed)").selectExpr("k.city as city", "k.entry as entry", "k.off as off", "node")
+    reached = materialise(reached.join(exits, ["city", "node"]).filter("entry <> node"), "routes")
+    with_seeds, without = (reached.filter(which).drop("off") for which in ("not off", "off"))
     lost = with_seeds.join(without, ["city", "entry", "node"], "left_anti")
     return with_seeds.groupBy("city").agg(F.expr("count(1)").alias("pairs")).join(
         lost.groupBy("city").agg(F.expr("count(1)").alias("dependent")), "city", "left").na.fill(0)

@@ -191,9 +191,9 @@ _OD = _CAPQ + """, inc AS (SELECT src, dst FROM e1 WHERE (city, segment_key) IN
 
 
 def _inner_reach(area, flows):
-    inner = area.edges.join(area.segments.select("city", "segment_key"), ["city", "segment_key"], "left_semi").selectExpr("src", "dst", "0D as w", "edge_id")
-    seeds = flows.filter("in_vph > 0").selectExpr("named_struct('city', city, 'entry', node) as k", "node", "0D as d")
-    return gr.shortest(inner, seeds).selectExpr("k.city as city", "k.entry as entry", "node")
+    inner = area.edges.join(area.segments.select("city", "segment_key"), ["city", "segment_key"], "left_semi").select("src", "dst").distinct()
+    seeds = flows.filter("in_vph > 0").selectExpr("named_struct('city', city, 'entry', node) as k", "node")
+    return gr.reachable(inner, seeds).selectExpr("k.city as city", "k.entry as entry", "node")
 
 
 @query("g18_synthetic_od", _S + _OD + f""" SELECT city, entry, exit, v.kind, {sql_fixed('in_vph * 0.12::DOUBLE * out_vph / total * v.share', 5)} AS vph FROM pr, (VALUES ('car', 0.3::DOUBLE), ('two_wheeler', 0.6::DOUBLE), ('bus_auto', 0.1::DOUBLE)) v(kind, share)""")

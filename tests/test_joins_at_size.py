@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadastra.operators import joining as jo
 from cadastra.operators import nearest as ne
 from cadastra import session
-from cadastra.operators import demand, editing, network, tables
+from cadastra.operators import demand, editing, graph, network, tables
 from cadastra.operators.spatial import join_boxes, join_points, segments
 from cadastra.plans import area_queries, convert_queries, editing_queries, nearest_queries
 
@@ -156,3 +156,19 @@ def test_roads_are_joined_and_built_into_a_network_without_a_broadcast(spark, mo
 def test_clear_pieces_gather_no_gaps_in_the_driver(spark, monkeypatch):
     _written_without_broadcast(monkeypatch, area_queries)
     assert "Broadcast" not in plan(area_queries.clear_pieces(spark, SF))
+
+
+def test_reached_pairs_are_written_once(spark, monkeypatch):
+    """A chain of 30 nodes walked from both ends, one of the keys bound to keep off the marked edges."""
+    written = []
+
+    def counted(df, name="step"):
+        out = session.materialise(df, name)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(graph, "materialise", counted)
+    edges = spark.createDataFrame([(i, i + 1, i == 10) for i in range(30)], "src long, dst long, shut boolean")
+    seeds = spark.createDataFrame([(0, 0), (1, 0), (2, 25)], "k int, node long")
+    got = {tuple(r) for r in graph.reachable(edges, seeds, "not (k = 1 and shut)").collect()}
+    assert got == {(0, n) for n in range(31)} | {(1, n) for n in range(11)} | {(2, n) for n in range(25, 31)}
+    assert sum(written) == len(got)
