@@ -95,25 +95,18 @@ def paths(trees: DataFrame, pairs: DataFrame, hops: int = 4) -> DataFrame:
     ``pairs`` carries ``pair``, ``origin`` and ``target``; all routes advance together.
     """
     nxt = trees.filter("next_edge is not null").select("target", F.col("node").alias("at"), "next_edge", "next_node")
-    now = materialise(pairs.selectExpr("pair", "target", "origin as at", "0 as step"), "walk")
-    parts = []
+    now = materialise(pairs.selectExpr("pair", "target", "origin as at"), "walk")
+    first, parts = now, []
     while not now.isEmpty():  # next edges lead strictly nearer to the target, so routes end
-        rows, here = [], now
-        for _hop in range(hops):
-            moved = here.join(nxt, ["target", "at"]).selectExpr("pair", "target", "at", "step", "next_edge as edge_id", "next_node")
-            rows.append(moved)
-            here = moved.selectExpr("pair", "target", "next_node as at", "step + 1 as step")
-        walked = rows[0]
-        for r in rows[1:]:
-            walked = walked.unionByName(r)
-        walked = materialise(walked, "walked")
-        parts.append(walked.select("pair", "step", "edge_id"))
-        last = walked.agg(F.max("step").alias("m"))
-        heads = walked.join(F.broadcast(last), F.expr("step = m")).selectExpr("pair", "target", "next_node as at", "step + 1 as step").filter("at <> target")
-        # Routes that ended inside the block have no row at its last step.
-        forget(now)
-        now = materialise(heads.filter(f"step % {hops} = 0"), "walk")
-    out = parts[0] if parts else now.selectExpr("pair", "step", "cast(null as string) as edge_id")
+        here, begun = now, len(parts) * hops
+        for hop in range(hops):  # a route that has ended stays with nulls
+            here = here.join(nxt, ["target", "at"], "left").drop("at").withColumnsRenamed({"next_node": "at", "next_edge": f"_e{hop}"})
+        taken = ", ".join(f"struct({begun + hop} as step, _e{hop} as edge_id)" for hop in range(hops))
+        walked = materialise(here.selectExpr("pair", "target", "at", f"filter(array({taken}), _s -> _s.edge_id is not null) as taken"), "walked")
+        parts.append(walked.selectExpr("pair", "inline(taken)"))
+        now = walked.filter("at <> target").select("pair", "target", "at")
+    forget(first)
+    out = parts[0] if parts else pairs.limit(0).selectExpr("pair", "0 as step", "cast(null as string) as edge_id")
     for p in parts[1:]:
         out = out.unionByName(p)
     return out

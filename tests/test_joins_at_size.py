@@ -172,3 +172,17 @@ def test_reached_pairs_are_written_once(spark, monkeypatch):
     got = {tuple(r) for r in graph.reachable(edges, seeds, "not (k = 1 and shut)").collect()}
     assert got == {(0, n) for n in range(31)} | {(1, n) for n in range(11)} | {(2, n) for n in range(25, 31)}
     assert sum(written) == len(got)
+
+
+def test_walked_routes_are_written_once_a_block(spark, monkeypatch):
+    written = []
+
+    def named(df, name="step"):
+        written.append(name)
+        return session.materialise(df, name)
+    monkeypatch.setattr(graph, "materialise", named)
+    trees = spark.createDataFrame([(9, n, f"e{n}" if n < 9 else None, n + 1 if n < 9 else None) for n in range(10)], "target long, node long, next_edge string, next_node long")
+    pairs = spark.createDataFrame([(n, n, 9) for n in range(10)] + [(99, 50, 9)], "pair int, origin long, target long")
+    got = {tuple(r) for r in graph.paths(trees, pairs, hops=4).collect()}
+    assert got == {(n, step, f"e{n + step}") for n in range(9) for step in range(9 - n)}
+    assert written == ["walk", "walked", "walked", "walked"]
