@@ -76,7 +76,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, where: str = "true", hops: int
     while not fresh.isEmpty():  # pairs are finitely many, so new ones end
         wave, found = fresh, None
         for _hop in range(hops):
-            wave = wave.join(edges, wave["node"] == edges["src"]).filter(where).selectExpr("k", "dst as node").distinct()
+            wave = wave.join(edges.hint("merge"), wave["node"] == edges["src"]).filter(where).selectExpr("k", "dst as node").distinct()
             found = wave if found is None else found.unionByName(wave)
         fresh = materialise(found.distinct().join(known.hint("merge"), ["k", "node"], "left_anti"), "reached")
         known = known.unionByName(fresh)

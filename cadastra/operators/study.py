@@ -122,7 +122,7 @@ def dependent_pairs(area: StudyArea) -> DataFrame:
     reached = G.reachable(ways, seeds, "not (k.off and seed)").selectExpr("k.city as city", "k.entry as entry", "k.off as off", "node")
     reached = materialise(reached.join(exits, ["city", "node"]).filter("entry <> node"), "routes")
     with_seeds, without = (reached.filter(which).drop("off") for which in ("not off", "off"))
-    lost = with_seeds.join(without, ["city", "entry", "node"], "left_anti")
+    lost = with_seeds.join(without.hint("merge"), ["city", "entry", "node"], "left_anti")
     return with_seeds.groupBy("city").agg(F.expr("count(1)").alias("pairs")).join(
         lost.groupBy("city").agg(F.expr("count(1)").alias("dependent")), "city", "left").na.fill(0)
 
