@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags as T
 from ..functions.geo import bounds, boxes_touch, fixed
+from ..session import forget, materialise
 
 
 TAGS = "tag array<struct<_k:string,_v:string>>"
@@ -30,12 +31,15 @@ def read_osm_xml(spark: SparkSession, path: str | Sequence[str]):
 
 
 def assemble_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Way geometry in node order at seven decimals; ways lacking a node, or below two, are dropped."""
+    """Way geometry in node order at seven decimals; ways lacking a node, or below two, are dropped.
+
+    Nodes and lines unfold far beyond what their files tell the optimizer, so both joins ask for sorted merges.
+    """
     refs = ways.selectExpr("id", "posexplode(refs) as (pos, ref)")
     pts = nodes.selectExpr("id as ref", f"{fixed('lon', 7)} as lon", f"{fixed('lat', 7)} as lat")
-    line = refs.join(pts, "ref").groupBy("id").agg(
+    line = refs.join(pts.hint("merge"), "ref").groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("_p"))
-    out = ways.join(line, "id").filter("size(_p) = size(refs) and size(_p) >= 2")
+    out = ways.join(line.hint("merge"), "id").filter("size(_p) = size(refs) and size(_p) >= 2")
     return out.selectExpr("id", "tags", "transform(_p, _q -> named_struct('lon', _q.lon, 'lat', _q.lat, 'z', 0D)) as geometry").selectExpr(
         "*", f"{bounds('geometry')} as box")
 
@@ -50,12 +54,14 @@ def build_map_index(nodes: DataFrame, ways: DataFrame, box: dict, relations: Dat
     """Roads, signals, buildings and metro of an extract that overlap ``box``.
 
     A building is a closed way, or the outer rings of a relation, with a ``building`` tag.
+    The ways wanted and their lines are written once, so no category parses the extract again.
     """
     from ..operators.rings import assemble_buildings
     b = "named_struct(" + ", ".join(f"'{k}', {v!r}D" for k, v in box.items()) + ")"
     built = "coalesce(tags['building'], 'no') <> 'no'"
-    kept = ways.filter(f"{T.is_vehicle_highway()} or {T.is_metro()} or {built}")
-    lines = assemble_ways(kept, nodes).selectExpr("*", f"{b} as _b").filter(boxes_touch("box", "_b")).drop("_b")
+    kept = materialise(ways.filter(f"{T.is_vehicle_highway()} or {T.is_metro()} or {built}"), "ways")
+    lines = materialise(assemble_ways(kept, nodes).selectExpr("*", f"{b} as _b").filter(boxes_touch("box", "_b")).drop("_b"), "lines")
+    forget(kept)
     inside = nodes.filter(f"lon between {box['min_lon']!r}D and {box['max_lon']!r}D and lat between {box['min_lat']!r}D and {box['max_lat']!r}D")
     stations = inside.filter(T.is_metro()).selectExpr(
         "'node' as element_type", "id", "tags", "array(named_struct('lon', lon, 'lat', lat, 'z', 0D)) as geometry",
@@ -64,8 +70,8 @@ def build_map_index(nodes: DataFrame, ways: DataFrame, box: dict, relations: Dat
     buildings = lines.filter(f"{built} and size(geometry) >= 4 and geometry[0] = element_at(geometry, -1)").selectExpr("'way' as element_type", "id", "tags", "geometry", "box")
     if relations is not None:
         rel = relations.filter(built)
-        members = ways.join(rel.selectExpr("explode(members) as m").selectExpr("m.ref as id").distinct(), "id", "left_semi")
-        rings = assemble_buildings(rel, assemble_ways(members, nodes)).filter("role = 'outer'").join(rel.selectExpr("id as relation_id", "tags"), "relation_id")
+        members = ways.join(rel.selectExpr("explode(members) as m").selectExpr("m.ref as id").distinct().hint("merge"), "id", "left_semi")
+        rings = assemble_buildings(rel, assemble_ways(members, nodes)).filter("role = 'outer'").join(rel.selectExpr("id as relation_id", "tags").hint("merge"), "relation_id")
         rings = rings.selectExpr("'relation' as element_type", "relation_id as id", "tags", "transform(coordinates, p -> named_struct('lon', p.lon, 'lat', p.lat, 'z', 0D)) as geometry")
         rings = rings.selectExpr("*", f"{bounds('geometry')} as box", f"{b} as _b").filter(boxes_touch("box", "_b")).drop("_b")
         buildings = buildings.unionByName(rings)
@@ -78,12 +84,14 @@ def write_map_index(index: dict[str, DataFrame], path: str, box: dict, cell_deg:
 
     ``meta`` is written last, from the files themselves, so an index without it is not complete.
     """
+    spark = next(iter(index.values())).sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for category, df in index.items():
         lon, lat = ("lon", "lat") if "lon" in df.columns else ("box.min_lon", "box.min_lat")
         cells = df.selectExpr("*", f"concat_ws('_', floor({lon} / {cell_deg}D), floor({lat} / {cell_deg}D)) as cell")
-        # One shuffle on the cell, so a cell is written by few tasks and file counts stay low.
-        cells.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/{category}")
-    spark = next(iter(index.values())).sparkSession
+        # One shuffle on the cell, so a cell is one file. The number of tasks is fixed: opening files is the
+        # work, and left to their bytes all cells of small features would fall to one task.
+        cells.repartition(tasks, "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/{category}")
     corners = [f"{v!r}D as {k}" for k, v in box.items()]
     counts = [spark.read.schema(df.withColumn("cell", F.lit("")).schema).parquet(f"{path}/{c}").selectExpr(f"'{c}' as category") for c, df in index.items()]
     held = counts[0]

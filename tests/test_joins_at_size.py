@@ -11,6 +11,7 @@ from cadastra import session
 from cadastra.operators import demand, editing, graph, network, tables
 from cadastra.operators.spatial import join_boxes, join_points, segments
 from cadastra.plans import area_queries, convert_queries, editing_queries, nearest_queries
+from cadastra.sources import osm
 
 SF = "/root/testdata/sf0.001"
 
@@ -186,3 +187,35 @@ def test_walked_routes_are_written_once_a_block(spark, monkeypatch):
     got = {tuple(r) for r in graph.paths(trees, pairs, hops=4).collect()}
     assert got == {(n, step, f"e{n + step}") for n in range(9) for step in range(9 - n)}
     assert written == ["walk", "walked", "walked", "walked"]
+
+
+def test_the_map_index_parses_an_extract_once(spark):
+    nodes, ways, _ = convert_queries._extract(spark, SF, buildings=True)
+    nodes = session.materialise(nodes, "nodes")
+    assert "Broadcast" not in plan(osm.assemble_ways(ways, nodes))
+    index = osm.build_map_index(nodes, ways, osm.extract_box(nodes))
+    for category, df in index.items():
+        assert "xml" not in plan(df).lower(), category
+    assert index["buildings"].count() == convert_queries.city.table(spark, SF, "customer").count()
+
+
+def test_buildings_of_relations_meet_their_tags_without_a_broadcast(spark):
+    tag = "tags map<string,string>"
+    at = {1: (73.0, 18.0), 2: (73.001, 18.0), 3: (73.001, 18.001), 4: (73.0, 18.001)}
+    nodes = spark.createDataFrame([(i, x, y, {}) for i, (x, y) in at.items()], f"id long, lon double, lat double, {tag}")
+    ways = spark.createDataFrame([(10, [1, 2, 3], {}), (11, [3, 4, 1], {})], f"id long, refs array<long>, {tag}")
+    relations = spark.createDataFrame([(7, [("way", 10, "outer"), ("way", 11, "outer")], {"building": "yes"})], f"id long, members array<struct<type:string,ref:long,role:string>>, {tag}")
+    nodes, ways, relations = (session.materialise(df) for df in (nodes, ways, relations))
+    held = osm.build_map_index(nodes, ways, osm.extract_box(nodes), relations)["buildings"]
+    assert "Broadcast" not in plan(held)
+    assert [(r.element_type, r.id, len(r.geometry)) for r in held.collect()] == [("relation", 7, 5)]
+
+
+def test_cells_of_small_features_are_written_by_several_tasks(spark, tmp_path):
+    box = {"min_lon": 70.0, "min_lat": 18.0, "max_lon": 80.0, "max_lat": 18.0}
+    signals = spark.range(100).selectExpr("id", "70D + id / 10 as lon", "18D as lat")
+    osm.write_map_index({"signals": signals}, str(tmp_path), box)
+    files = spark.read.parquet(f"{tmp_path}/signals").withColumn("f", F.input_file_name()).select("cell", "f").distinct().collect()
+    assert len({r.cell for r in files}) == len(files) == 100
+    assert len({re.search(r"part-(\d+)", r.f)[1] for r in files}) > 1
+    assert spark.read.parquet(f"{tmp_path}/meta").first().features == 100
